@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from sparkseek.llm import quality, sharding
+from sparkseek.llm import bpe, packing, quality, sharding, token_files
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
+    "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
+    "op6_bpe": bpe.op6_bpe,
     "op9_sharding": sharding.op9_sharding,
 }
 
