@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkseek.llm import bpe, packing, quality, sharding, token_files
+from sparkseek.llm import bpe, packing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op3_token_files": token_files.op3_token_files,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_bpe": bpe.op6_bpe,
     "op9_sharding": sharding.op9_sharding,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 #: What SQL cannot express is tested against brute force in tests/llm.
