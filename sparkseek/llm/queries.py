@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkseek.llm import bpe, ngram_join, packing, quality, sharding, token_files, toxicity
+from sparkseek.llm import bpe, ngram_join, packing, quality, sharding, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_bpe": bpe.op6_bpe,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
 }
