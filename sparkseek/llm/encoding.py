@@ -3,9 +3,11 @@
 A text is split at ASCII white space in Arrow; each distinct chunk of a slice is
 encoded once by the tokenizers library and the ids are gathered in numpy.  This
 equals encoding the whole text for tokenizers that never look across white
-space (their normaliser works character by character or composes within a word,
-and their pre-tokeniser drops white space), as word_bpe_49k does;
-tests/llm/test_tokens.py compares the two.  Null texts count as empty.
+space, whose pre-tokeniser drops it, cuts between a letter and a full stop or
+comma, and which lower-case ASCII letters, as word_bpe_49k does;
+tests/llm/test_tokens.py compares the two.  Chunks of letters alone are encoded
+many in one string: their last id, and no other, is one of a token that ends a
+word.  Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -19,11 +21,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20  # text encoded at once; one longer text is a slice of its own
-MEMO = 400_000  # distinct chunks remembered by a worker; then it starts anew
+JOINED = 4000  # words of one string
+WORD_END = "</w>"
+
+
+def gather(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """pool[begins[0]:begins[0] + lengths[0]], then the next range, and so on."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
 
 
 class ChunkEncoder:
-    """White-space-free chunks to ids, remembered from slice to slice."""
+    """White-space-free chunks to ids."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,34 +41,55 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the chunks end to end, and how many each has."""
+        coded = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.concatenate([*coded, np.zeros(0, np.uint32)]), np.fromiter(map(len, coded), np.int64, len(coded))
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.memo) + len(chunks) > MEMO:
-            self.memo.clear()
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.memo[chunk] = np.array(e.ids, dtype=np.uint32).tobytes()
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks of letters alone."""
+        joined = [" ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
+        ids, _ = self._each(joined)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return self._each(words)  # a letter whose lower case is no letter alone
+        return ids, np.diff(ends, prepend=0)
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        low = pc.ascii_lower(chunks)
+        stem = pc.utf8_rtrim(low, characters=".,")
+        tail = pc.subtract(pc.binary_length(low), pc.binary_length(stem)).to_numpy()
+        letters = pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False) & (tail <= 1)
+        words = stem.filter(pa.array(letters)).dictionary_encode()
+        others = low.filter(pa.array(~letters)).dictionary_encode()
+        parts = [self._words(words.dictionary.to_pylist()), self._each(others.dictionary.to_pylist()), self._each([".", ","])]
+        pool, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+        begins = np.cumsum(lengths) - lengths
+        n_words, n_others = len(words.dictionary), len(others.dictionary)
+        # two entries for each chunk: its word or itself, and its full stop or comma if any
+        entry = np.full((len(chunks), 2), -1, dtype=np.int64)
+        entry[letters, 0] = words.indices.to_numpy()
+        entry[~letters, 0] = n_words + others.indices.to_numpy()
+        closed = letters & (tail == 1)
+        stop = pc.ends_with(low, ".").to_numpy(zero_copy_only=False)
+        entry[closed, 1] = n_words + n_others + np.where(stop[closed], 0, 1)
+        sizes = np.where(entry >= 0, lengths[entry], 0)
+        return gather(pool, begins[entry].ravel(), sizes.ravel()), sizes.sum(axis=1)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each closed by end_id, and where each text begins."""
         parts = pc.ascii_split_whitespace(texts.fill_null(""))
         words = parts.flatten().dictionary_encode()
-        chunks = words.dictionary.to_pylist()
-        if new := [c for c in chunks if c not in self.memo]:
-            self._learn(new)
-            if len(new) < len(chunks) and (lost := [c for c in chunks if c not in self.memo]):
-                self._learn(lost)
-        coded = [self.memo[c] for c in chunks]
-        known = np.frombuffer(b"".join(coded), dtype=np.uint32)
-        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
-        begins = np.cumsum(lengths) - lengths
+        pool, lengths = self._distinct(words.dictionary)
         which = words.indices.to_numpy()
         each = lengths[which]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = known[np.repeat(begins[which] - (ends - each), each) + np.arange(total)]
+        ids = gather(pool, (np.cumsum(lengths) - lengths)[which], each)
         of_text = np.asarray(parts.offsets)[1:] - parts.offsets[0].as_py()
-        closes = np.concatenate([[0], ends])[of_text]
+        closes = np.concatenate([[0], np.cumsum(each)])[of_text]
         ids = np.insert(ids, closes, np.uint32(end_id)) if len(closes) else ids
         starts = np.concatenate([[0], closes + np.arange(1, len(closes) + 1)]).astype(np.int64)
         return ids, starts
