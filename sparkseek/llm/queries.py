@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkseek.llm import bpe, ngram_join, packing, quality, sharding, suffix_dedup, token_files, toxicity
+from sparkseek.llm import bpe, lm, ngram_join, packing, quality, sharding, suffix_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_lm": lm.op1_lm,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_token_files": token_files.op3_token_files,
     "op4_packing": packing.op4_packing,
