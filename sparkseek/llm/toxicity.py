@@ -95,20 +95,23 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    found = [present(texts[a : a + 200]) for a in range(0, len(texts), 200)]
-    counts = np.zeros((2, 1 << BITS))
-    for i, (bins, of) in enumerate(found):
-        kind = toxic[of + 200 * i]
+    counts = np.zeros((2, 1 << BITS), dtype=np.int32)
+    found, held = [], []  # bins of 32 bits, and how many each text has
+    for a in range(0, len(texts), 100):
+        bins, of = present(texts[a : a + 100])
         for k in (0, 1):
-            counts[k] += np.bincount(bins[kind == k], minlength=1 << BITS)
+            counts[k] += np.bincount(bins[toxic[of + a] == k], minlength=1 << BITS).astype(np.int32)
+        found.append(bins.astype(np.int32))
+        held.append(np.bincount(of, minlength=min(100, len(texts) - a)))
     ratio = np.log((counts[1] + 1) / (n1 + 2)) - np.log((counts[0] + 1) / (n0 + 2))
     use = (np.abs(ratio) >= MIN_RATIO) & (counts.sum(axis=0) >= MIN_DOCS)
-    number = np.cumsum(use) - 1
+    number = np.cumsum(use, dtype=np.int32) - 1
     columns, rows = [], []
-    for i, (bins, of) in enumerate(found):
+    for i, (bins, n) in enumerate(zip(found, held, strict=True)):
         hit = use[bins]
         columns.append(number[bins[hit]])
-        rows.append(of[hit] + 200 * i)
+        rows.append((100 * i + np.repeat(np.arange(len(n), dtype=np.int32), n))[hit])
+        found[i] = bins[:0]
     column, row, r = np.concatenate(columns), np.concatenate(rows), ratio[use]
     value = r[column]
     w, b = np.zeros(len(r)), 0.0
