@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -43,8 +44,9 @@ class Blocks:
     buckets: int
 
 
-def write(docs: DataFrame, name: str) -> Blocks:
-    """Write doc_id and text in blocks; null texts as they are."""
+def write(docs: DataFrame, name: str, block_bytes: int | None = None) -> Blocks:
+    """Write all columns in blocks, by the size of `text` (or binary); nulls as they are."""
+    block_bytes = block_bytes or BLOCK_BYTES
     folder = common.work_dir(docs.sparkSession, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,9 +65,9 @@ def write(docs: DataFrame, name: str) -> Blocks:
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for part in encoding.slices(batch):
-                part_bytes = part.column("text").fill_null("").cast(pa.large_binary()).nbytes
-                if held and size + part_bytes > BLOCK_BYTES:
+            for part in encoding.slices(batch, limit=block_bytes // 2):
+                part_bytes = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if held and size + part_bytes > block_bytes:
                     yield done()
                     held, size, number = [], 0, number + 1
                 held.append(part)
@@ -73,7 +75,7 @@ def write(docs: DataFrame, name: str) -> Blocks:
         if held:
             yield done()
 
-    table = common.stored(docs.select("doc_id", "text").mapInArrow(run, "block long, uri string, docs long, bytes long"), name + "-list")
+    table = common.stored(docs.mapInArrow(run, "block long, uri string, docs long, bytes long"), name + "-list")
     n, size = table.selectExpr("count(*)", "coalesce(sum(bytes), 0)").first()
     return Blocks(table, folder, n, max(FEWEST, min(MOST, size // BUCKET_BYTES)))
 

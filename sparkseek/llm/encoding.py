@@ -101,10 +101,10 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of at most SLICE_BYTES of text, or of one row."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of about `limit` bytes of text, or of one row."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float))
-    group = (np.cumsum(sizes) // SLICE_BYTES).astype(np.int64)
+    group = (np.cumsum(sizes) // limit).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:

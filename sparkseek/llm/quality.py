@@ -30,6 +30,7 @@ DELTA = 0.05
 PENALTY = 10
 QUANTILES = (0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998, 0.999, 1.0)
 SLACK = (1.0, 1.25, 1.5)  # multiples of the largest good value, also tried
+MOST_BROADCAST = 10_000  # strata; with more, cutoffs are joined by a shuffle
 SYMBOLS = "#*$%&|<>"
 RULES = {
     "symbol_ratio": "n_symbols / n_words",
@@ -56,16 +57,19 @@ _REPEATED = f"""
 """
 
 
-def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The counts of each document and the base rule.
+def describe(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """The counts of each document and the base rule, beside the extra columns.
 
     n_repeat_words is the union of the 3-word windows that occur twice: a start
     p covers min(3, p - previous start) words that earlier ones do not.
     """
     text = common.text_or_empty(text_col)
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
-    split = docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum"), text.alias("t"))
+    split = docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum"), text.alias("t"), *extra)
     with_words = split.selectExpr(
+        *extra,
         "doc_id",
         "stratum",
         f"""transform(array(filter(split(t, r'{common.SPACE}'), x -> x <> '')), w -> named_struct(
@@ -75,7 +79,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
               'n', size(l), 'd', size(l) - size(array_distinct(l))))[0] AS b""",
     )
     return with_words.selectExpr(
-        "doc_id", "stratum", "CAST(a.n_words AS BIGINT) n_words", "CAST(a.word_chars AS BIGINT) word_chars", "n_symbols",
+        *extra, "doc_id", "stratum", "CAST(a.n_words AS BIGINT) n_words", "CAST(a.word_chars AS BIGINT) word_chars", "n_symbols",
         "CAST(b.n AS BIGINT) n_lines", "CAST(b.d AS BIGINT) n_dup_lines", "a.n_repeat_words",
         "a.n_words < 50 OR 100 * a.n_repeat_words > 50 * a.n_words AS base_failed",
     )
@@ -133,13 +137,18 @@ def certified_cutoffs(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id
     return best.select("stratum", "rule", "b.*")
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", extra: tuple[str, ...] = ()
+) -> DataFrame:
     """describe() with kept: false by the base rule or by a certified cutoff."""
-    feats = common.stored(describe(docs, id_col, text_col, stratum_col), "quality-features")
-    cutoffs = certified_cutoffs(feats, labels, id_col)
-    wide = cutoffs.groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES]
-    )
+    feats = describe(docs, id_col, text_col, stratum_col, extra)
+    if not extra:  # small rows: keep them rather than count twice
+        feats = common.stored(feats, "quality-features")
+    cutoffs = certified_cutoffs(feats, labels)
+    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
+    wide = common.stored(wide, "quality-cutoffs")
+    if wide.count() <= MOST_BROADCAST:
+        wide = F.broadcast(wide)
     over = " OR ".join(f"coalesce(try_divide({x.split(' / ')[0]}, {x.split(' / ')[1]}) > max_{r}, false)" for r, x in RULES.items())
     return feats.join(wide, "stratum", "left").selectExpr("*", f"NOT base_failed AND NOT ({over}) AS kept")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sparkseek.llm import bpe, lm, ngram_join, packing, quality, sharding, suffix_dedup, token_files, toxicity
+import corpus_pipeline
+from sparkseek.llm import bpe, lm, media, ngram_join, packing, quality, sharding, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -11,10 +12,13 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_bpe": bpe.op6_bpe,
+    "op7_media": media.op7_media,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 #: What SQL cannot express is tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}

@@ -270,7 +270,7 @@ def answer_strings(folder: str):
     return reply
 
 
-def finish(n_buckets: int):
+def finish(n_buckets: int, extra: tuple[str, ...] = ()):
     def cut(block: int, table: pa.Table, answers: dict[int, bytes], shared: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         data, offsets, ids, first, n, which, owner, strings, least, of = _strings(table, shared, n_buckets)
         order, at = _by_bucket(of, n_buckets)
@@ -293,21 +293,24 @@ def finish(n_buckets: int):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         names = ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"]
         for a in range(0, len(rows), 1000):
-            columns = zip(*rows[a : a + 1000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows[a : a + 1000], strict=True), kinds, strict=True)]
+            more = [table.column(c).slice(a, 1000).combine_chunks() for c in extra]
+            columns += [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in more]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *extra])
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, removed runs (starts, ends), kept bytes."""
-    kept = blocks.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "suffix-blocks")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: doc_id, n_bytes, n_removed, removed runs (starts, ends), kept bytes, extra columns."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    kept = blocks.write(rows, "suffix-blocks")
     shared = blocks.answer(kept, blocks.ask(kept, ask_anchors(kept.buckets)), answer_anchors)
     shared = common.stored(shared, "suffix-shared")
     strings = blocks.resolve_and_ask(kept, shared, ask_strings(kept.buckets))
     masks = blocks.answer(kept, strings, answer_strings(kept.folder))
     both = shared.selectExpr("*", "0 AS step").unionByName(masks.selectExpr("*", "1 AS step"))
-    cut = finish(kept.buckets)
+    cut = finish(kept.buckets, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in blocks.groups(batches, "block"):
@@ -315,7 +318,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from cut(own[0]["block"], blocks.read(own[0]["uri"]), parts[1], parts[0])
 
     spread = both.repartition(max(1, kept.n), "block").sortWithinPartitions("block", "step", "bucket")
-    return spread.mapInArrow(run, SCHEMA)
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
+    return spread.mapInArrow(run, SCHEMA + kinds)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
