@@ -33,10 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import blocks, bwt, common
+from sparkseek.llm import blocks, bwt, common, lm
 
 LENGTH = 50
 K = 20
+SIDE = (LENGTH - K) // 2
+COLLECTION = 2048  # strings ordered together, unless more have one hash
 RUN = 64  # windows of one string at most; longer runs are cut
 CHUNK = 2 << 20  # windows looked at together
 NULL_ID = -(1 << 63)
@@ -110,20 +112,23 @@ def _by_bucket(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def _distinct_hashes(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, and whether two ids have one."""
-    order = np.argsort(hashes, kind="stable")
+def _distinct_hashes(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, whether two ids have one, and which one each is."""
+    order = np.argsort(hashes)
     h, i = hashes[order], ids[order]
-    begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    new = np.concatenate([np.ones(min(len(h), 1), dtype=bool), h[1:] != h[:-1]])
+    begins = np.flatnonzero(new)
     several = np.minimum.reduceat(i, begins) < np.maximum.reduceat(i, begins) if len(h) else np.zeros(0, bool)
-    return h[begins], several
+    which = np.empty(len(h), dtype=np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return h[begins], several, which
 
 
 def ask_anchors(n_buckets: int):
-    def question(block: int, table: pa.Table) -> blocks.Packed:
+    def question(uri: str, table: pa.Table) -> blocks.Packed:
         data, offsets, ids = joined(table)
         first, _, hashes = runs(data, offsets)
-        known, several = _distinct_hashes(hashes, ids[_documents(first, offsets)])
+        known, several, _ = _distinct_hashes(hashes, ids[_documents(first, offsets)])
         order, at = _by_bucket(known, n_buckets)
         out = {}
         for b in range(n_buckets):
@@ -156,13 +161,13 @@ def _strings(table: pa.Table, answers: blocks.Packed, n_buckets: int):
     """The shared runs of a block and their distinct strings."""
     data, offsets, ids = joined(table)
     first, n, hashes = runs(data, offsets)
-    known, _ = _distinct_hashes(hashes, ids[_documents(first, offsets)])
+    known, _, which = _distinct_hashes(hashes, ids[_documents(first, offsets)])
     order, at = _by_bucket(known, n_buckets)
     shared = np.zeros(len(known), dtype=bool)
     for b, payload in answers.items():
         own = order[at[b] : at[b + 1]]
         shared[own] = np.unpackbits(np.frombuffer(payload, np.uint8), count=len(own)).astype(bool)
-    keep = shared[np.searchsorted(known, hashes)] if len(known) else np.zeros(0, bool)
+    keep = shared[which]
     first, n, hashes = first[keep], n[keep], hashes[keep]
     size = n + LENGTH - 1
     ends = np.cumsum(size)
@@ -176,12 +181,15 @@ def _strings(table: pa.Table, answers: blocks.Packed, n_buckets: int):
     np.minimum.at(least, which, owner)
     of = np.zeros(len(least), dtype=np.uint64)
     of[which] = hashes
-    return data, offsets, ids, first, n, which, owner, coded.dictionary, least, of
+    # every window of a copy in a later document than the block's first is a repeat
+    later = owner > least[which]
+    return first, n, which, later, coded.dictionary, least, of
 
 
 def ask_strings(n_buckets: int):
-    def question(block: int, table: pa.Table, answers: blocks.Packed) -> blocks.Packed:
-        *_, strings, least, of = _strings(table, answers, n_buckets)
+    def question(uri: str, table: pa.Table, answers: blocks.Packed) -> blocks.Packed:
+        first, n, which, later, strings, least, of = _strings(table, answers, n_buckets)
+        common.write_file(f"{uri}-runs", lm.pack([x.astype(np.uint64) for x in (first, n, which, later, of)]))
         order, at = _by_bucket(of, n_buckets)
         out = {}
         for b in range(n_buckets):
@@ -197,22 +205,70 @@ def ask_strings(n_buckets: int):
     return question
 
 
-def repeated_windows(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, folder: str | None = None) -> np.ndarray:
-    """For each window of each string, the least id of all strings that have it."""
+def comparable(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings that may share a window with another one, and the hash each is filed under.
+
+    A window has SIDE bytes at least before or after the piece it is filed under.
+    So two strings can only share one if they have the piece with SIDE bytes before
+    it, or with SIDE bytes after it, in common.  A string in which the piece occurs
+    twice is always compared."""
     n = len(starts) - 1
+    hashes = _hashes(flat)
+    lengths = np.diff(starts)
+    of = np.repeat(np.arange(n), lengths - K + 1)
+    at = np.arange(len(of)) + of * (K - 1)  # the piece's first byte in flat
+    least = np.minimum.reduceat(hashes[at], np.cumsum(lengths - K + 1) - (lengths - K + 1))
+    hit = hashes[at] == least[of]
+    where, owner = at[hit], of[hit]
+    out = np.bincount(owner, minlength=n) > 1
+    first = np.zeros(n, dtype=np.int64)
+    first[owner] = where
+    eight = np.ndarray(len(flat), dtype="<u8", buffer=np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
+    mult = np.uint64(0xBF58476D1CE4E5B9)
+    for begin, fits in ((first - SIDE, first - SIDE >= starts[:-1]), (first + K, first + K + SIDE <= starts[1:])):
+        own = np.flatnonzero(fits)
+        a = begin[own]
+        key = (least[own] ^ (eight[a] * mult)) * mult
+        key = (key ^ (key >> np.uint64(31)) ^ (eight[a + SIDE - 8] * mult)) * mult
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[own] |= count[inverse] > 1
+    return out, least
+
+
+def repeated_windows(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, folder: str | None = None) -> np.ndarray:
+    """For each window of each of the distinct strings, the least id of all strings that have it."""
     lengths = np.diff(starts)
     windows = lengths - LENGTH + 1
+    some, filed = comparable(flat, starts)
+    out = np.repeat(least, windows)  # a string that has nothing in common with another
+    base = np.cumsum(windows) - windows
+    own = np.flatnonzero(some)
+    own = own[np.argsort(filed[own], kind="stable")]
+    new = np.flatnonzero(np.concatenate([[True], filed[own][1:] != filed[own][:-1]])) if len(own) else own
+    # strings filed apart share nothing: collections of about COLLECTION strings, cut between hashes
+    cuts = new[np.concatenate([[True], new[1:] // COLLECTION != new[:-1] // COLLECTION])] if len(own) else new
+    for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
+        part = own[a:b]
+        size, n = lengths[part], windows[part]
+        ends = np.cumsum(size)
+        symbols = flat[np.repeat(starts[:-1][part] - (ends - size), size) + np.arange(ends[-1])]
+        places = np.repeat(base[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[places] = _ordered(symbols, np.append(0, ends), least[part], folder)
+    return out
+
+
+def _ordered(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, folder: str | None) -> np.ndarray:
+    windows = np.diff(starts) - LENGTH + 1
     base = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), dtype=np.int64)
-    # 0 marks a begin in the transform; texts may hold it, so bytes are moved up where it occurs
-    bytes_, lift = (flat, 0) if flat.all() else (flat, 1)
-    if lift:
-        values, codes = np.unique(flat, return_inverse=True)
-        if len(values) == 256:  # one symbol too many: double the strings instead
-            wide = np.stack([(flat >> 4) + 1, (flat & 15) + 1], axis=1).ravel().astype(np.uint8)
-            return _least_by_suffix(wide, 2 * starts, least, base, out, 2, folder)
-        bytes_ = (codes + 1).astype(np.uint8)
-    return _least_by_suffix(bytes_, starts, least, base, out, 1, folder)
+    # 0 marks a begin in the transform; where texts hold it, bytes are numbered from 1
+    if flat.all():
+        return _least_by_suffix(flat, starts, least, base, out, 1, folder)
+    values, codes = np.unique(flat, return_inverse=True)
+    if len(values) < 256:
+        return _least_by_suffix((codes + 1).astype(np.uint8), starts, least, base, out, 1, folder)
+    wide = np.stack([(flat >> 4) + 1, (flat & 15) + 1], axis=1).ravel().astype(np.uint8)  # half bytes
+    return _least_by_suffix(wide, 2 * starts, least, base, out, 2, folder)
 
 
 def _least_by_suffix(flat, starts, least, base, out, unit, folder) -> np.ndarray:
@@ -271,14 +327,15 @@ def answer_strings(folder: str):
 
 
 def finish(n_buckets: int, extra: tuple[str, ...] = ()):
-    def cut(block: int, table: pa.Table, answers: dict[int, bytes], shared: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        data, offsets, ids, first, n, which, owner, strings, least, of = _strings(table, shared, n_buckets)
+    def cut(uri: str, table: pa.Table, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        data, offsets, _ = joined(table)
+        first, n, which, later, of = lm.unpack(common.read_file(f"{uri}-runs").to_pybytes())
+        first, n, which = (x.astype(np.int64) for x in (first, n, which))
         order, at = _by_bucket(of, n_buckets)
-        masks = np.zeros(len(least), dtype=np.uint64)
+        masks = np.zeros(len(of), dtype=np.uint64)
         for b, payload in answers.items():
             masks[order[at[b] : at[b + 1]]] = np.frombuffer(payload, "<u8")
-        everything = ~np.uint64(0)
-        own = np.where(owner > least[which], everything, masks[which]) if len(which) else np.zeros(0, np.uint64)
+        own = np.where(later > 0, ~np.uint64(0), masks[which]) if len(which) else np.zeros(0, np.uint64)
         of_run = np.repeat(np.arange(len(n)), n)
         nth = np.arange(len(of_run)) - np.repeat(np.cumsum(n) - n, n)
         hit = (own[of_run] >> nth.astype(np.uint64)) & np.uint64(1) > 0
@@ -306,20 +363,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
     kept = blocks.write(rows, "suffix-blocks")
     shared = blocks.answer(kept, blocks.ask(kept, ask_anchors(kept.buckets)), answer_anchors)
-    shared = common.stored(shared, "suffix-shared")
     strings = blocks.resolve_and_ask(kept, shared, ask_strings(kept.buckets))
     masks = blocks.answer(kept, strings, answer_strings(kept.folder))
-    both = shared.selectExpr("*", "0 AS step").unionByName(masks.selectExpr("*", "1 AS step"))
-    cut = finish(kept.buckets, extra)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in blocks.groups(batches, "block"):
-            parts = [{r["bucket"]: r["payload"] for r in own if r["step"] == s} for s in (0, 1)]
-            yield from cut(own[0]["block"], blocks.read(own[0]["uri"]), parts[1], parts[0])
-
-    spread = both.repartition(max(1, kept.n), "block").sortWithinPartitions("block", "step", "bucket")
     kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
-    return spread.mapInArrow(run, SCHEMA + kinds)
+    return blocks.resolve(kept, masks, finish(kept.buckets, extra), SCHEMA + kinds)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
