@@ -231,6 +231,8 @@ def decode_postings(data: bytes) -> tuple[list[int], list[list[int]]]:
     n, version = struct.unpack_from("<IB", data)
     at, streams = 5, []
     for codec in VERSIONS[version]:
+        if at + 8 > len(data):
+            raise ValueError("postings are cut off")
         size, count = struct.unpack_from("<II", data, at)
         if at + 8 + size > len(data):
             raise ValueError("postings are cut off")
