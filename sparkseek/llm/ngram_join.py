@@ -95,9 +95,9 @@ class Links:
     def __init__(self, similarity: float):
         self.similarity = similarity
 
-    def find(self, sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """side: 0 or 1, the block of each set; pairs across are compared if both
-        occur, else all.  (documents linked to, first set of the component)."""
+    def find(self, sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """side: the block of each set, of two whose own pairs are another task's;
+        None: all pairs.  (documents linked to, first set of the component)."""
         n = len(sets)
         sizes = np.array([len(s) for s in sets], dtype=np.float64)
         common_to = np.zeros((n, n), dtype=np.float32)
@@ -116,7 +116,7 @@ class Links:
             common_to += has @ has.T
         linked = common_to >= self.similarity * (sizes[:, None] + sizes - common_to) - 1e-9
         np.fill_diagonal(linked, False)
-        if side.any() and not side.all():
+        if side is not None:
             linked &= side[:, None] != side
         root = np.arange(n)
         for i in range(n):
@@ -135,7 +135,7 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             nodes = np.array([h[0] for h in held], dtype=np.int64)
-            side = np.array([h[3] for h in held])
+            side = np.array([h[3] for h in held]) if key[1] != key[2] else None
             links, root = finder.find([h[2] for h in held], np.array([h[1] for h in held], dtype=np.int64), side)
             return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(nodes[root])], ["node", "links", "root"])
 
@@ -151,7 +151,7 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
                     if held and held[-1][0] == node:  # a repeated row
                         continue
                     key = (grp, i, j)
-                    held.append((node, copies, own, int(blk != i)))
+                    held.append((node, copies, own, blk))
         if held:
             yield done()
 

@@ -243,10 +243,12 @@ def repeated_windows(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, fo
     out = np.repeat(least, windows)  # a string that has nothing in common with another
     base = np.cumsum(windows) - windows
     own = np.flatnonzero(some)
+    if not len(own):
+        return out
     own = own[np.argsort(filed[own], kind="stable")]
-    new = np.flatnonzero(np.concatenate([[True], filed[own][1:] != filed[own][:-1]])) if len(own) else own
+    new = np.flatnonzero(np.concatenate([[True], filed[own][1:] != filed[own][:-1]]))
     # strings filed apart share nothing: collections of about COLLECTION strings, cut between hashes
-    cuts = new[np.concatenate([[True], new[1:] // COLLECTION != new[:-1] // COLLECTION])] if len(own) else new
+    cuts = new[np.concatenate([[True], new[1:] // COLLECTION != new[:-1] // COLLECTION])]
     for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
         part = own[a:b]
         size, n = lengths[part], windows[part]
