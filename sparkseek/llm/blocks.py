@@ -75,7 +75,7 @@ def write(docs: DataFrame, name: str, block_bytes: int | None = None) -> Blocks:
         if held:
             yield done()
 
-    table = common.stored(docs.mapInArrow(run, "block long, uri string, docs long, bytes long"), name + "-list")
+    table = common.stored(docs.mapInArrow(common.trimmed(run), "block long, uri string, docs long, bytes long"), name + "-list")
     n, size = table.selectExpr("count(*)", "coalesce(sum(bytes), 0)").first()
     return Blocks(table, folder, n, max(FEWEST, min(MOST, size // BUCKET_BYTES)))
 
@@ -90,16 +90,16 @@ def _rows(block: int, uri: str, packed: Packed) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, NAMES)
 
 
-def ask(blocks: Blocks, question: Callable[[int, pa.Table], Packed]) -> DataFrame:
+def ask(blocks: Blocks, question: Callable[[str, pa.Table], Packed]) -> DataFrame:
     """Rows of ROW: what each block asks each bucket; one that asks nothing sends an empty row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, uri in zip(batch.column("block").to_pylist(), batch.column("uri").to_pylist(), strict=True):
-                yield _rows(block, uri, question(block, read(uri)) or {0: b""})
+                yield _rows(block, uri, question(uri, read(uri)) or {0: b""})
 
     spread = blocks.table.select("block", "uri").repartition(max(1, blocks.n), "block")
-    return spread.mapInArrow(run, ROW)
+    return spread.mapInArrow(common.trimmed(run), ROW)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
@@ -124,29 +124,66 @@ def answer(blocks: Blocks, asked: DataFrame, reply: Callable[[int, list[bytes]],
                 yield _rows(row["block"], row["uri"], {row["bucket"]: payload})
 
     spread = asked.repartition(blocks.buckets, "bucket").sortWithinPartitions("bucket", "block")
-    return spread.mapInArrow(run, ROW)
+    return spread.mapInArrow(common.trimmed(run), ROW)
 
 
 def resolve(
-    blocks: Blocks, answered: DataFrame, finish: Callable[[int, pa.Table, Packed], Iterator[pa.RecordBatch]], schema: str
+    blocks: Blocks, answered: DataFrame, finish: Callable[[str, pa.Table, Packed], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """finish(block, documents, answers by bucket) for every block."""
+    """finish(file, documents, answers by bucket) for every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in groups(batches, "block"):
-            yield from finish(own[0]["block"], read(own[0]["uri"]), {r["bucket"]: r["payload"] for r in own})
+            yield from finish(own[0]["uri"], read(own[0]["uri"]), {r["bucket"]: r["payload"] for r in own})
 
     spread = answered.repartition(max(1, blocks.n), "block").sortWithinPartitions("block", "bucket")
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(common.trimmed(run), schema)
 
 
-def resolve_and_ask(blocks: Blocks, answered: DataFrame, question: Callable[[int, pa.Table, Packed], Packed]) -> DataFrame:
+def resolve_and_ask(blocks: Blocks, answered: DataFrame, question: Callable[[str, pa.Table, Packed], Packed]) -> DataFrame:
     """The next questions of every block, given the last answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in groups(batches, "block"):
             block, uri = own[0]["block"], own[0]["uri"]
-            yield _rows(block, uri, question(block, read(uri), {r["bucket"]: r["payload"] for r in own}) or {0: b""})
+            yield _rows(block, uri, question(uri, read(uri), {r["bucket"]: r["payload"] for r in own}) or {0: b""})
 
     spread = answered.repartition(max(1, blocks.n), "block").sortWithinPartitions("block", "bucket")
-    return spread.mapInArrow(run, ROW)
+    return spread.mapInArrow(common.trimmed(run), ROW)
+
+
+def gather(blocks: Blocks, answered: DataFrame, note: Callable[[Packed], list[int]]) -> DataFrame:
+    """Write each block's answers to a file of its own, for use more than once.
+
+    A stored row per block: block, uri, answers (the file), note(answers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in groups(batches, "block"):
+            packed = {r["bucket"]: r["payload"] for r in own}
+            sink = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array(list(packed.values()), pa.binary())], ["bucket", "payload"])
+            with pa.ipc.new_file(sink, batch.schema) as f:
+                f.write_batch(batch)
+            uri = f"{own[0]['uri']}-answers-{uuid.uuid4().hex[:8]}"
+            common.write_file(uri, sink.getvalue())
+            row = {"block": [own[0]["block"]], "uri": [own[0]["uri"]], "answers": [uri], "note": pa.array([note(packed)], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(row)
+
+    spread = answered.repartition(max(1, blocks.n), "block").sortWithinPartitions("block", "bucket")
+    return common.stored(spread.mapInArrow(common.trimmed(run), "block long, uri string, answers string, note array<long>"), "answers")
+
+
+def each(
+    blocks: Blocks, gathered: DataFrame, finish: Callable[[str, pa.Table, Packed], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """finish(file, documents, answers by bucket) for every row of gather()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                packed = read(row["answers"])
+                answers = dict(zip(packed.column("bucket").to_pylist(), packed.column("payload").to_pylist(), strict=True))
+                yield from finish(row["uri"], read(row["uri"]), answers)
+
+    spread = gathered.select("block", "uri", "answers").repartition(max(1, blocks.n), "block")
+    return spread.mapInArrow(common.trimmed(run), schema)

@@ -14,8 +14,9 @@ are "deleted" of them; all training folds make the final counts.
 
 Counting and looking up are one exchange (blocks.py): every block asks for each
 distinct n-gram it has once, sending its own counts along, and the store of a
-bucket of n-grams adds them up and sends back the sums.  N-grams are known by
-64-bit hashes, sent as compressed differences.  All are counted, none pruned.
+bucket of n-grams adds them up and sends back what the others have, which is
+mostly nothing.  Words are known by 64-bit hashes and longer n-grams by the upper
+KEY_BITS of theirs, sent as compressed differences.  All are counted, none pruned.
 The expectation step needs only how the estimates of orders 3 and 2 compare to
 that of order 1, so the driver gathers one histogram of fixed size (bucket and
 two ratios in STEPS per factor e) for all its rounds.
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from sparkseek.llm import blocks, common, shingles
 
 ORDER = 3
+KEY_BITS = 56  # of the hash of an n-gram of two words or more; one pair in 2 ** 56 is taken for the same
 FOLDS, TEST_FOLD, HELD_FOLD = 5, 1, 4
 END = np.uint64(0x51ED270B7A14E3C5)
 STEPS = 4  # histogram steps for a factor e
@@ -55,17 +57,15 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, starts + np.arange(len(starts))
 
 
-def ngrams(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+def ngrams(flat: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
     """Keys of the 1-, 2- and 3-gram that end at each token; END stands before a text."""
-    out = [shingles.mix(flat + np.uint64(1))]
-    before = flat
-    rolled = flat
+    before = rolled = flat
+    yield shingles.mix(flat + np.uint64(1))
     for order in range(2, ORDER + 1):
-        before = np.concatenate([[END], before[:-1]]) if len(flat) else before
+        before = np.concatenate([[END], before[:-1]])
         before[starts[:-1]] = END
         rolled = rolled + before * _A ** np.uint64(order - 1)
-        out.append(shingles.mix(rolled + np.uint64(order)))
-    return out
+        yield shingles.mix(rolled + np.uint64(order)) >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS)
 
 
 def folds(ids: pa.Array) -> np.ndarray:
@@ -105,36 +105,37 @@ def _edges(n_buckets: int) -> np.ndarray:
 
 
 class _Block:
-    """Tokens and distinct n-grams of a block, the same each time it is read."""
+    """Tokens of a block, and for each order its distinct n-grams, which one ends at
+    each token, and how many training and held-out tokens of its own each has."""
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("doc_id")
         self.flat, self.starts = tokens(table.column("text").combine_chunks())
         self.fold = folds(self.ids)
-        self.keys, self.at = [], []  # of each order: distinct n-grams, and which of them ends at each token
+        of = np.repeat(self.fold, np.diff(self.starts))
+        self.keys, self.at, self.own = [], [], []
         for k in ngrams(self.flat, self.starts):
             u, at = np.unique(k, return_inverse=True)
+            del k
             self.keys.append(u)
             self.at.append(at.astype(np.int32))
+            self.own.append([np.bincount(at[of != TEST_FOLD], minlength=len(u)).astype(np.uint32), np.bincount(at[of == HELD_FOLD], minlength=len(u)).astype(np.uint32)])
 
 
 def ask_counts(n_buckets: int):
     edges = _edges(n_buckets)
 
-    def question(block: int, table: pa.Table) -> blocks.Packed:
+    def question(uri: str, table: pa.Table) -> blocks.Packed:
         b = _Block(table)
-        of = np.repeat(b.fold, np.diff(b.starts))
-        train, held = (of != TEST_FOLD).astype(float), (of == HELD_FOLD).astype(float)
-        cuts, parts = [], []
-        for keys, at in zip(b.keys, b.at, strict=True):
-            cuts.append(np.append(np.searchsorted(keys, edges), len(keys)))
-            parts.append((keys, *(np.bincount(at, weights=w, minlength=len(keys)).astype(np.uint64) for w in (train, held))))
+        b.at = []
+        cuts = [np.append(np.searchsorted(keys, edges), len(keys)) for keys in b.keys]
         out = {}
         for i in range(n_buckets):
             arrays = []
-            for cut, (keys, n_train, n_held) in zip(cuts, parts, strict=True):
+            for order, (cut, keys, (n_train, n_held)) in enumerate(zip(cuts, b.keys, b.own, strict=True)):
                 own = slice(cut[i], cut[i + 1])
-                arrays += [np.diff(keys[own], prepend=np.uint64(0)), n_train[own], n_held[own]]
+                gaps = np.diff(keys[own], prepend=np.uint64(0))
+                arrays += [gaps >> np.uint64(64 - KEY_BITS) if order else gaps, n_train[own], n_held[own]]
             out[i] = pack(arrays)
         return out
 
@@ -142,36 +143,39 @@ def ask_counts(n_buckets: int):
 
 
 def answer_counts(bucket: int, payloads: list[bytes]) -> list[bytes]:
-    """Sums for each n-gram asked; first the bucket's distinct and total training tokens."""
+    """For each n-gram asked, what others have; first the bucket's distinct, training and held-out tokens."""
     asked = [unpack(p) if p else [np.zeros(0, np.uint64)] * (3 * ORDER) for p in payloads]
     replies: list[list[np.ndarray]] = [[] for _ in payloads]
     head = [0, 0, 0]
     for order in range(ORDER):
-        keys = [np.cumsum(a[3 * order], dtype=np.uint64) for a in asked]
+        keys = [np.cumsum(a[3 * order], dtype=np.uint64) for a in asked]  # order 2 and 3: of KEY_BITS
         flat = np.concatenate(keys)
         u, at = np.unique(flat, return_inverse=True)
         ends = np.cumsum([len(k) for k in keys])[:-1]
         for which in (1, 2):
-            sums = np.bincount(at, weights=np.concatenate([a[3 * order + which] for a in asked]), minlength=len(u)).astype(np.uint64)
+            own = np.concatenate([a[3 * order + which] for a in asked])
+            sums = np.bincount(at, weights=own, minlength=len(u)).astype(np.uint64)
             if order == 0:
                 head = [int((sums > 0).sum()), int(sums.sum()), 0] if which == 1 else [*head[:2], int(sums.sum())]
-            for reply, part in zip(replies, np.split(sums[at], ends), strict=True):
+            for reply, part in zip(replies, np.split(sums[at] - own, ends), strict=True):
                 reply.append(part)
     lead = b"".join(x.to_bytes(8, "big") for x in head)
     return [lead + pack(r) for r in replies]
 
 
-def _totals(answered: DataFrame) -> tuple[int, int, int]:
-    """V, N, and the tokens of the held fold: a bucket's own stand at the head of each of its rows."""
-    parts = [F.conv(F.hex(F.substring("payload", 1 + 8 * i, 8)), 16, 10).cast("long").alias(f"x{i}") for i in range(3)]
-    own = answered.filter(F.octet_length("payload") > 0).select("bucket", *parts).groupBy("bucket").agg(*[F.max(f"x{i}").alias(f"x{i}") for i in range(3)])
-    return tuple(own.agg(*[F.coalesce(F.sum(f"x{i}"), F.lit(0)) for i in range(3)]).first())
+def _totals(answers: blocks.Packed) -> list[int]:
+    """V, N, and the tokens of the held fold, from the heads of all buckets' answers."""
+    return [sum(int.from_bytes(p[8 * i : 8 * i + 8], "big") for p in answers.values()) for i in range(3)]
 
 
-def _counts(b: _Block, answers: blocks.Packed) -> list[np.ndarray]:
-    """For each order, training and held-out counts of the distinct n-grams."""
-    parts = [unpack(answers[i][24:]) for i in sorted(answers)]
-    return [np.concatenate([p[i] for p in parts]).astype(np.float64) for i in range(2 * ORDER)]
+def _counts(b: _Block, answers: blocks.Packed, which: int) -> list[np.ndarray]:
+    """For each order, training (0) or held-out (1) counts of the distinct n-grams."""
+    parts = [[] for _ in range(ORDER)]
+    for i in sorted(answers):
+        others = unpack(answers[i][24:])
+        for order in range(ORDER):
+            parts[order].append(others[2 * order + which].astype(np.uint32))
+    return [b.own[o][which] + np.concatenate(parts[o]) for o in range(ORDER)]
 
 
 def _estimates(b: _Block, counts: list[np.ndarray], own: np.ndarray):
@@ -181,7 +185,7 @@ def _estimates(b: _Block, counts: list[np.ndarray], own: np.ndarray):
     first = np.zeros(len(b.flat), dtype=bool)
     first[b.starts[:-1]] = True
     n_docs = counts[0][b.at[0][b.starts[1] - 1]]  # of END, which stands before each text
-    seen = [c[at] for c, at in zip(counts, b.at, strict=True)]
+    seen = [c[at].astype(np.float64) for c, at in zip(counts, b.at, strict=True)]
     context = []
     for c in seen[:-1]:
         shifted = np.concatenate([[n_docs], c[:-1]])
@@ -207,13 +211,12 @@ def _mixture_inputs(seen, context, n: float, v: float):
 
 
 def held_out_histogram(v: int, n: int):
-    def run(block: int, table: pa.Table, answers: blocks.Packed) -> Iterator[pa.RecordBatch]:
+    def run(uri: str, table: pa.Table, answers: blocks.Packed) -> Iterator[pa.RecordBatch]:
         b = _Block(table)
-        counts = _counts(b, answers)
         own = np.repeat(b.fold == HELD_FOLD, np.diff(b.starts))
         if not own.any():
             return
-        kept = [counts[2 * o] - counts[2 * o + 1] for o in range(ORDER)]
+        kept = [total - held for total, held in zip(_counts(b, answers, 0), _counts(b, answers, 1), strict=True)]
         seen, context = _estimates(b, kept, own)
         base, p2, p3 = _mixture_inputs(seen, context, n, v)
         steps = []
@@ -256,10 +259,9 @@ def scores(v: int, n: int, weights: dict[int, tuple[float, float, float]]):
             if i not in weights and i > low + 1:
                 table[i] = table[i - 1]
 
-    def run(block: int, data: pa.Table, answers: blocks.Packed) -> Iterator[pa.RecordBatch]:
+    def run(uri: str, data: pa.Table, answers: blocks.Packed) -> Iterator[pa.RecordBatch]:
         b = _Block(data)
-        counts = _counts(b, answers)
-        seen, context = _estimates(b, counts[0::2], np.ones(len(b.flat), dtype=bool))
+        seen, context = _estimates(b, _counts(b, answers, 0), np.ones(len(b.flat), dtype=bool))
         base, p2, p3 = _mixture_inputs(seen, context, n, v)
         w = table[bucket_of(context)]
         # weights of an order whose context is new go to the others
@@ -289,11 +291,13 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document; held_out marks those that the model did not see."""
     held = blocks.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "lm-blocks")
-    answered = common.stored(blocks.answer(held, blocks.ask(held, ask_counts(held.buckets)), answer_counts), "lm-counts")
-    v, n, n_held = _totals(answered)
-    found = blocks.resolve(held, answered, held_out_histogram(v, n - n_held), "bucket long, r3 long, r2 long, n long")
+    answered = blocks.answer(held, blocks.ask(held, ask_counts(held.buckets)), answer_counts)
+    answers = blocks.gather(held, answered, _totals)  # every block asks every bucket, so all have the same totals
+    row = answers.select("note").first()
+    v, n, n_held = row.note if row else (0, 0, 0)
+    found = blocks.each(held, answers, held_out_histogram(v, n - n_held), "bucket long, r3 long, r2 long, n long")
     cells = found.groupBy("bucket", "r3", "r2").agg(F.sum("n").alias("n")).collect()  # as many as the grid has at most
-    return blocks.resolve(held, answered, scores(v, n, learn_weights([tuple(r) for r in cells])), SCHEMA)
+    return blocks.each(held, answers, scores(v, n, learn_weights([tuple(r) for r in cells])), SCHEMA)
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
