@@ -55,26 +55,37 @@ def with_gaps(postings: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     ).drop("_part", "_prev", "_before", "_start", "_rank")
 
 
-def pfordelta_blocks(gaps: DataFrame, by: str = "term") -> DataFrame:
-    """COD-2: a row per block of a list: its bytes, by counts of bit lengths alone."""
-    counted = gaps.groupBy(by, F.floor(F.col("rank") / BLOCK).alias("block")).agg(
-        F.count("*").alias("n"), *[F.count_if(bits(F.col("gap")) > b).alias(f"over{b}") for b in range(33)]
+def block_sizes(gaps: DataFrame, by: str = "term") -> DataFrame:
+    """COD-2: a row per block of a list: values, varint bytes, widest value, PForDelta bytes.
+
+    PForDelta's need only how many values are longer than each width."""
+    sized = gaps.select(by, F.floor(F.col("rank") / BLOCK).alias("block"), bits(F.col("gap")).alias("bits"))
+    # a histogram of widths 0..32 in five sums: seven counts of up to BLOCK, eight bits each, in a long
+    part = [F.when(F.floor(F.col("bits") / 7) == g, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bits") % 7 * 8).cast("int"))).otherwise(0) for g in range(5)]
+    counted = sized.groupBy(by, "block").agg(
+        F.count("*").alias("values"),
+        F.sum(F.greatest(F.lit(1), F.ceil(F.col("bits") / 7))).cast("long").alias("varint"),
+        F.max("bits").alias("widest"),
+        *[F.sum(x).alias(f"h{g}") for g, x in enumerate(part)],
     )
-    sizes = [
-        F.when(F.col(f"over{b}") <= EXCEPTIONS, 3 + F.ceil(F.col("n") * b / 8) + 5 * F.col(f"over{b}")) for b in range(33)
-    ]
-    return counted.select(by, "block", F.col("n").alias("values"), F.least(*sizes).cast("long").alias("bytes"))
+    of_width = F.array(*[F.shiftright(f"h{w // 7}", w % 7 * 8).bitwiseAND(F.lit(255)) for w in range(33)])
+
+    def cost(width: Column) -> Column:
+        over = F.aggregate(F.slice("of_width", width + 2, F.lit(33)), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.transform(F.array(over), lambda n: F.when(n <= EXCEPTIONS, 3 + F.ceil(F.col("values") * width / 8) + 5 * n))[0]
+
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(32)), cost))
+    return counted.withColumn("of_width", of_width).select(by, "block", "values", "varint", "widest", best.cast("long").alias("pfordelta"))
 
 
 def list_sizes(gaps: DataFrame) -> DataFrame:
     """A row per term: values and bytes of its document list by varint, bit packing and PForDelta."""
-    plain = gaps.groupBy("term").agg(
-        F.count("*").alias("values"),
-        F.sum(varint_bytes(F.col("gap"))).alias("varint"),
-        (1 + F.ceil(F.count("*") * F.max(bits(F.col("gap"))) / 8)).cast("long").alias("bitpack"),
+    return block_sizes(gaps).groupBy("term").agg(
+        F.sum("values").alias("values"),
+        F.sum("varint").alias("varint"),
+        (1 + F.ceil(F.sum("values") * F.max("widest") / 8)).cast("long").alias("bitpack"),
+        (4 + F.sum("pfordelta")).alias("pfordelta"),
     )
-    blocks = pfordelta_blocks(gaps).groupBy("term").agg((4 + F.sum("bytes")).alias("pfordelta"))
-    return plain.join(blocks, "term")
 
 
 def breakdown(sizes: DataFrame) -> DataFrame:

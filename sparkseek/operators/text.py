@@ -9,9 +9,12 @@ documents.  Both feed the same compiled Column, so both give the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,37 +40,62 @@ def tokenized(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def postings(tokenized_docs: DataFrame) -> DataFrame:
     """IR-2: a row per term and document: tf and ascending positions.
 
-    Grouping is by (term, document), so a frequent term is as many groups as it has documents."""
-    each = tokenized_docs.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy("term", "doc_id").agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("poss")
-    )
+    All tokens of a document are in its row, so its postings are made there, from
+    sorted Arrow batches: building an index shuffles nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            words = lists.flatten().dictionary_encode()
+            sizes = np.diff(np.asarray(lists.offsets))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = row * max(len(words.dictionary), 1) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            begins = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), dtype=bool), key[1:] != key[:-1]]))
+            offsets = np.append(begins, len(key)).astype(np.int32)
+            first = pa.array(order[begins])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.dictionary.take(words.indices.take(first)),
+                    batch.column("doc_id").take(pa.array(row[order[begins]])),
+                    pa.array(np.diff(offsets).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[order].astype(np.int32))),
+                ],
+                ["term", "doc_id", "tf", "poss"],
+            )
+
+    kind = tokenized_docs.schema["doc_id"].dataType.simpleString()
+    return tokenized_docs.select("doc_id", "tokens").mapInArrow(run, f"term string, doc_id {kind}, tf long, poss array<int>")
 
 
 @dataclass
 class Scan:
     """Position arrays straight from tokens."""
 
-    docs: DataFrame  # doc_id, tokens, n_tok
+    docs: DataFrame  # doc_id, tokens, perhaps title
 
     def documents(self) -> DataFrame:
         return self.docs
 
     def positions(self, words: list[str]) -> DataFrame:
-        # one pass keeps (word, place) of the wanted words; each word's places are then picked from few
-        wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-        hits = F.filter(
-            F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
-            lambda s: F.array_contains(wanted, s["t"]),
-        )
-        kept = [x for x in self.docs.columns if x != "tokens"]
-        found = self.docs.select(*kept, hits.alias("_hits"))
-
-        def of(word: str) -> Column:
-            return F.transform(F.filter("_hits", lambda s: s["t"] == F.lit(word)), lambda s: s["i"])
-
-        places = [of(w).alias(f"p{i}") for i, w in enumerate(words)]
-        return found.select(*kept, *places)
+        """n_tok and the places of each word, from one evaluation of the tokens.
+
+        The columns are made by a generator: a filter on them stays above it, where
+        one on a projection would be pushed below and compute the tokens again."""
+
+        def of(tokens_: Column, word: str) -> Column:
+            places = F.sequence(F.lit(0), F.size(tokens_) - 1)
+            return F.filter(places, lambda i: F.get(tokens_, i) == F.lit(word))
+
+        def row(t: Column) -> Column:
+            none = F.array().cast("array<int>")
+            each = [F.when(F.size(t) > 0, of(t, w)).otherwise(none).alias(f"p{i}") for i, w in enumerate(words)]
+            return F.struct(F.size(t).alias("n_tok"), *each)
+
+        kept = [x for x in self.docs.columns if x not in ("tokens", "n_tok")]
+        return self.docs.select(*kept, F.inline(F.transform(F.array("tokens"), row)))
 
 
 @dataclass

@@ -17,8 +17,24 @@ from pyspark.sql import functions as F
 from sparkseek.plans import query as q
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, as the variable of a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def near(a: Column, b: Column, k: int) -> Column:
-    return F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x - y) <= F.lit(max(k, 0))))
+    """Some |x - y| <= k: the closest two stand side by side in the merged order."""
+    merged = F.array_sort(F.concat(F.transform(a, lambda x: x * 2), F.transform(b, lambda y: y * 2 + 1)))
+
+    def close(m: Column) -> Column:
+        def pair(i: Column) -> Column:
+            x, y = F.get(m, i - 1), F.get(m, i)
+            return (x % 2 != y % 2) & (F.floor(y / 2) - F.floor(x / 2) <= max(k, 0))
+
+        return F.exists(F.sequence(F.lit(1), F.size(m) - 1), pair)
+
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(both, bound(merged, close)).otherwise(F.lit(False))
 
 
 def adjacent(a: Column, b: Column) -> Column:
@@ -26,14 +42,28 @@ def adjacent(a: Column, b: Column) -> Column:
 
 
 def within(width: int, needs: dict[str, int], at: Callable[[str], Column]) -> Column:
-    """Some window of positions l .. l + width holds every word as often as it is named."""
-    starts = F.concat(*[at(w) for w in needs])
+    """Some window of positions of this width holds every word as often as it is named.
+
+    One pass over the merged positions: each is the right end of a window, and of
+    each word the last few places, as many as it needs, are kept."""
+    words = list(needs)
+    tagged = [F.transform(at(w), _tag(i)) for i, w in enumerate(words)]
+    merged = F.array_sort(F.concat(*tagged))
+    far = -(1 << 30)
+    start = F.struct(*[F.array(*[F.lit(far)] * needs[w]).alias(f"w{i}") for i, w in enumerate(words)], F.lit(False).alias("found"))
+
+    def step(state: Column, hit: Column) -> Column:
+        last = [
+            F.when(hit["w"] == i, F.slice(F.concat(state[f"w{i}"], F.array(hit["p"])), 2, needs[w])).otherwise(state[f"w{i}"]) for i, w in enumerate(words)
+        ]
+        oldest = F.least(*[x[0] for x in last]) if len(last) > 1 else last[0][0]
+        return F.struct(*[x.alias(f"w{i}") for i, x in enumerate(last)], (state["found"] | (oldest >= hit["p"] - width)).alias("found"))
+
+    return F.aggregate(merged, start, step, lambda state: state["found"])
 
-    def holds(left: Column) -> Column:
-        each = [F.size(F.filter(at(w), lambda x: x.between(left, left + F.lit(width)))) >= n for w, n in needs.items()]
-        return reduce(Column.__and__, each)
 
-    return F.exists(starts, holds)
+def _tag(i: int) -> Callable[[Column], Column]:
+    return lambda p: F.struct(p.alias("p"), F.lit(i).alias("w"))
 
 
 def predicate(node: q.Node, at: Callable[[str], Column], n_tok: Column) -> Column:
@@ -47,7 +77,7 @@ def predicate(node: q.Node, at: Callable[[str], Column], n_tok: Column) -> Colum
         case q.Or(left, right):
             return predicate(left, at, n_tok) | predicate(right, at, n_tok)
         case q.Near(k, a, b):
-            return near(at(a), at(b), k)
+            return F.size(at(a)) > 0 if a == b else near(at(a), at(b), k)
         case q.Adj(a, b):
             return adjacent(at(a), at(b))
         case q.Msm(width, words):
