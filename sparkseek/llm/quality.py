@@ -28,6 +28,7 @@ from sparkseek.llm import common
 ALPHA = 0.02
 DELTA = 0.05
 PENALTY = 10
+HOLDOUT = "(doc_id % 1000003) * 7919 % 1009 % 2 = 1"  # half of the ids, by a rule that every SQL has
 QUANTILES = (0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998, 0.999, 1.0)
 SLACK = (1.0, 1.25, 1.5)  # multiples of the largest good value, also tried
 MOST_BROADCAST = 10_000  # strata; with more, cutoffs are joined by a shuffle
@@ -97,7 +98,7 @@ def certified_cutoffs(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id
     marks = marks.agg(F.min(label_col).alias("low"), F.max(label_col).alias("good")).filter("low = good").drop("low")
     known = feats.filter("NOT base_failed").join(marks, "doc_id")
     rows = common.stored(
-        _long(known.withColumn("holdout", common.fold("doc_id", 2) == 1), "stratum", "holdout", "good").filter("value IS NOT NULL"),
+        _long(known.withColumn("holdout", F.expr(HOLDOUT)), "stratum", "holdout", "good").filter("value IS NOT NULL"),
         "quality-labelled",
     )
     quantiles = ", ".join(map(str, QUANTILES))
@@ -156,3 +157,37 @@ def judge(
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_VALUES = ", ".join(f"('{name}', {ratio.split(' / ')[0]} / nullif({ratio.split(' / ')[1]}, 0)::DOUBLE)" for name, ratio in RULES.items())
+_RATE = f"{ALPHA / len(RULES)}e0"
+_OVER = " OR ".join(f"coalesce({ratio.split(' / ')[0]} / nullif({ratio.split(' / ')[1]}, 0)::DOUBLE > max_{name}, false)" for name, ratio in RULES.items())
+
+#: The same in DuckDB, the binomial tail by log-gamma.
+ORACLE_SQL = f"""WITH
+ d AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+   list_filter(regexp_split_to_array(coalesce(text, ''), '{common.SPACE}'), lambda x: x <> '') AS w,
+   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{common.SPACE[1:-2]}]')) AS l FROM documents),
+ x AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS often
+   FROM (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d))),
+ r AS (SELECT doc_id, sum(least(3, p - before))::BIGINT AS n_repeat_words
+   FROM (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -9) AS before FROM x WHERE often > 1) GROUP BY doc_id),
+ f AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+   SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[{SYMBOLS}]')) AS n_symbols,
+     len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id))),
+ y AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
+ v AS MATERIALIZED (SELECT stratum, rule, value, {HOLDOUT} AS holdout, good
+   FROM f JOIN y USING (doc_id), LATERAL (VALUES {_VALUES}) AS q(rule, value) WHERE NOT base_failed AND value IS NOT NULL),
+ o AS (SELECT stratum, rule, list_distinct(list_concat(quantile_disc(value, [{", ".join(map(str, QUANTILES))}]), [{", ".join(f"{x}e0 * max(value)" for x in SLACK)}])) AS cutoffs
+   FROM v WHERE NOT holdout AND good = 1 GROUP BY stratum, rule),
+ n AS (SELECT sum(len(cutoffs)) AS tests FROM o),
+ c AS (SELECT stratum, rule, cutoff, count(*) FILTER (holdout AND good = 1) AS n, count(*) FILTER (holdout AND good = 1 AND value > cutoff) AS k,
+   count(*) FILTER (NOT holdout AND good = 0 AND value > cutoff) AS junk, count(*) FILTER (NOT holdout AND good = 1 AND value > cutoff) AS lost
+   FROM v JOIN (SELECT stratum, rule, unnest(cutoffs) AS cutoff FROM o) USING (stratum, rule) GROUP BY ALL),
+ p AS (SELECT c.*, tests, CASE WHEN n = 0 OR k > {_RATE} * n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+   exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) END AS p_value FROM c, n),
+ b AS (SELECT stratum, rule, arg_max(cutoff, {{'gain': junk - {PENALTY} * lost, 'cutoff': cutoff}}) AS cutoff
+   FROM p WHERE n > 0 AND p_value <= {DELTA}e0 / tests AND junk - {PENALTY} * lost > 0 GROUP BY stratum, rule),
+ m AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (rule = '{r}') AS max_{r}" for r in RULES)} FROM b GROUP BY stratum)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OVER}) AS kept
+ FROM f LEFT JOIN m USING (stratum)"""
