@@ -2,6 +2,7 @@
 
     python -m sparkseek.cli index (--xml DUMP | --parquet DOCS) --out DIR [--max-docs N]
     python -m sparkseek.cli query --index DIR [-q QUERY] [--rank] [--limit N] [--k1 X] [--b X]
+    python -m sparkseek.cli vectors (--fvecs FILE | --parquet VECTORS | --synthetic N) --out DIR [--full]
 
 Without -q, queries are read line by line; `:rank on|off`, `:help` and `:q` are commands.
 """
@@ -15,9 +16,10 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from sparkseek.operators import benchmark
 from sparkseek.operators import text as t
 from sparkseek.plans.query import QueryError
-from sparkseek.sources import wiki
+from sparkseek.sources import fvecs, generators, wiki
 
 
 def build(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -56,6 +58,18 @@ def ask(spark: SparkSession, args: argparse.Namespace) -> None:
                 print(f"error: {e}")
 
 
+def compare(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.fvecs:
+        data = fvecs.read(spark, args.fvecs)
+    elif args.parquet:
+        data = spark.read.parquet(args.parquet)
+    else:
+        data = generators.gaussian(spark, args.synthetic or 10_000)
+    table = benchmark.run(spark, data, args.out, args.k, args.queries, args.full)
+    for r in table.orderBy("family", F.desc("recall")).collect():
+        print(f"{r.family}  {r.params}  recall {r.recall:.4f}  {r.index_bytes} bytes  build {r.build_sec:.2f} s  search {r.search_sec:.2f} s")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="sparkseek", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -71,10 +85,18 @@ def main(argv: list[str] | None = None) -> None:
     query.add_argument("--limit", type=int, default=20)
     query.add_argument("--k1", type=float, default=t.K1)
     query.add_argument("--b", type=float, default=t.B)
+    bench = commands.add_parser("vectors")
+    bench.add_argument("--fvecs")
+    bench.add_argument("--parquet")
+    bench.add_argument("--synthetic", type=int)
+    bench.add_argument("--out", required=True)
+    bench.add_argument("--k", type=int, default=10)
+    bench.add_argument("--queries", type=int, default=100)
+    bench.add_argument("--full", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sparkseek").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    (build if args.command == "index" else ask)(spark, args)
+    {"index": build, "query": ask, "vectors": compare}[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -61,3 +61,12 @@ def test_generators(spark):
     assert all(len(x) >= 96 for x in texts) and texts == [r.text for r in generators.documents(spark, 20).collect()]
     assert generators.points(spark, 100).filter("abs(lat) > 85 or abs(lng) > 180").isEmpty()
     assert generators.key_values(spark, 10).count() == 10
+
+
+def test_benchmark(spark, tmp_path, capsys):
+    from sparkseek import cli
+
+    cli.main(["vectors", "--synthetic", "1500", "--out", str(tmp_path), "--queries", "5"])
+    out = capsys.readouterr().out
+    assert all(family in out for family in ("IVF ", "IVF_PQ", "LSH", "HNSW"))
+    assert spark.read.json(str(tmp_path / "summary")).filter("global_best").count() == 1
