@@ -34,10 +34,10 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of the least id."""
-    key = F.coalesce("doc_id", F.lit(suffix_dedup.NULL_ID)).alias("row_key")
     classes = ngram_join.join_classes(docs.select("doc_id", "text"))
-    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(key)
-    return docs.select(*COLUMNS, key).join(firsts, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
+    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.xxhash64("doc_id", "text_hash").alias("row_key"))
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("row_key"))
+    return keyed.join(firsts, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*batch.schema.names[:-1], "text"])
 
     rows = cut.select("doc_id", "lang", "source", "n_removed", "kept")
-    texts = rows.mapInArrow(decode, "doc_id long, lang string, source string, n_removed long, text string")
+    texts = rows.mapInArrow(common.trimmed(decode), "doc_id long, lang string, source string, n_removed long, text string")
     left = texts.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 

@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from sparkseek.llm import common, encoding
 
 BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 8 << 20  # of text for each bucket of keys
+BUCKET_BYTES = 4 << 20  # of text for each bucket of keys
 FEWEST, MOST = 64, 8192  # buckets
+ZSTD = 6
 ROW = "block long, uri string, bucket int, payload binary"
 NAMES = ["block", "uri", "bucket", "payload"]
 
@@ -55,7 +56,7 @@ def write(docs: DataFrame, name: str, block_bytes: int | None = None) -> Blocks:
 
         def done() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_file(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            with pa.ipc.new_file(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD))) as f:
                 for b in held:
                     f.write_batch(b)
             block = (TaskContext.get().partitionId() << 24) + number

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm import common, encoding
 
-MEMO = 1_000_000  # pre-tokens of up to MEMO_BYTES remembered by a worker
+MEMO = 500_000  # pre-tokens of up to MEMO_BYTES remembered by a worker
 MEMO_BYTES = 64
 
 
@@ -170,7 +170,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 ids = [coder.encode(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.trimmed(run), "doc_id long, ids binary")
 
 
 def decode_documents(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -183,7 +183,7 @@ def decode_documents(coded: DataFrame, path: str, pattern: str) -> DataFrame:
                 texts = [coder.decode(b) for b in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return coded.select("doc_id", "ids").mapInArrow(common.trimmed(run), "doc_id long, ids binary, decoded binary")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

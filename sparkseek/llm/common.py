@@ -15,21 +15,30 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN_ROOT: dict[str, str] = {}  # by application, where the cluster names no folder
+_MADE: list[str] = []  # work folders of this process
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder; only where none is named is a local one set."""
+    """The shared folder as a full URI; only where none is named is a local one set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparkseek-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_ROOT:
+            _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="sparkseek-")
+            spark.sparkContext.setCheckpointDir(_OWN_ROOT[app])
+        root = _OWN_ROOT[app]
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, _, rest = full.partition(":")
+    return f"{scheme}://{rest.lstrip('/') if rest.startswith('//') else rest}".rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder name, unique to this call, in the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,10 +48,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_dir(spark: SparkSession, uri: str) -> None:
-    """Delete a work folder through Hadoop's file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_work(spark: SparkSession) -> None:
+    """Delete the work folders of this process.  Results that were not written yet are lost with them."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +72,7 @@ def open_fs(uri: str):
     """(pyarrow file system, path) of a URI; used on executors and the driver."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
 def write_file(uri: str, data) -> None:

@@ -39,8 +39,9 @@ LENGTH = 50
 K = 20
 SIDE = (LENGTH - K) // 2
 COLLECTION = 2048  # strings ordered together, unless more have one hash
+BLOCK = 8 << 20  # bytes of text in a block
 RUN = 64  # windows of one string at most; longer runs are cut
-CHUNK = 2 << 20  # windows looked at together
+CHUNK = 1 << 20  # windows looked at together
 NULL_ID = -(1 << 63)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
 
@@ -74,8 +75,6 @@ def _hashes(data: np.ndarray) -> np.ndarray:
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, hash) of each run; windows lie within documents."""
     found = []
-    lengths = np.diff(offsets)
-    last = np.repeat(offsets[1:] - LENGTH, lengths)  # last window of the document at each byte
     for a in range(0, max(len(data) - LENGTH + 1, 0), CHUNK):
         b = min(a + CHUNK, len(data) - LENGTH + 1)
         least = _hashes(data[a : b + LENGTH - 1])
@@ -84,7 +83,10 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         least = np.minimum(least[: b - a], least[width - span :][: b - a])
-        inside = np.flatnonzero(np.arange(a, b) <= last[a:b])
+        low, high = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b)
+        sizes = np.diff(np.clip(offsets[low : high + 1], a, b))
+        last = np.repeat(offsets[low + 1 : high + 1] - LENGTH, sizes)  # last window of the document at each byte
+        inside = np.flatnonzero(np.arange(a, b) <= last)
         if not len(inside):
             continue
         value = least[inside]
@@ -342,8 +344,11 @@ def finish(n_buckets: int, extra: tuple[str, ...] = ()):
         nth = np.arange(len(of_run)) - np.repeat(np.cumsum(n) - n, n)
         hit = (own[of_run] >> nth.astype(np.uint64)) & np.uint64(1) > 0
         windows = first[of_run[hit]] + nth[hit]
-        change = np.bincount(windows, minlength=len(data) + 1) - np.bincount(windows + LENGTH, minlength=len(data) + 1)[: len(data) + 1]
-        gone = np.cumsum(change)[: len(data)] > 0
+        change = np.zeros(len(data) + 1, dtype=np.int8)  # a window begins once at a place, so LENGTH at most are open
+        change[windows] += 1
+        change[windows + LENGTH] -= 1
+        gone = np.cumsum(change, dtype=np.int8)[: len(data)] > 0
+        del change, windows, of_run, nth, hit
         rows = []
         for doc_id, a, b in zip(table.column("doc_id").to_pylist(), offsets, offsets[1:], strict=False):
             mine = gone[a:b]
@@ -363,7 +368,7 @@ def finish(n_buckets: int, extra: tuple[str, ...] = ()):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, removed runs (starts, ends), kept bytes, extra columns."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
-    kept = blocks.write(rows, "suffix-blocks")
+    kept = blocks.write(rows, "suffix-blocks", BLOCK)
     shared = blocks.answer(kept, blocks.ask(kept, ask_anchors(kept.buckets)), answer_anchors)
     strings = blocks.resolve_and_ask(kept, shared, ask_strings(kept.buckets))
     masks = blocks.answer(kept, strings, answer_strings(kept.folder))

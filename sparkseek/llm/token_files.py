@@ -139,7 +139,7 @@ def write_tokens(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    parts = sorted(tuple(r) for r in ranged.mapInArrow(run, "part long, docs long, ids long").collect())  # a row per partition
+    parts = sorted(tuple(r) for r in ranged.mapInArrow(common.trimmed(run), "part long, docs long, ids long").collect())  # a row per partition
     before, out = 0, []
     for number, n_docs, n_ids in parts:
         out.append((number, n_docs, n_ids, before))
@@ -163,7 +163,7 @@ def read_tokens(spark: SparkSession, folder: str, parts: list[tuple[int, int, in
                     yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "ids"])
 
     order = spark.range(0, len(parts), 1, max(1, len(parts)))
-    return order.mapInArrow(run, "doc_id long, start long, ids binary")
+    return order.mapInArrow(common.trimmed(run), "doc_id long, start long, ids binary")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ MIN_DOCS = 3
 ROUNDS = 200
 L2 = 1e-3
 THRESHOLD = 0.7
+SCORED_BYTES = 1 << 20  # text scored at once: about 100 bytes of arrays for each
 _SPACES = re.compile(r"\s+")
 
 
@@ -153,12 +154,12 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in encoding.slices(batch):
+            for part in encoding.slices(batch, limit=SCORED_BYTES):
                 scores = model.score([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(scores)], [*names, "score"])
 
     kept = rows.select(*names).schema.add("score", "double")
-    return rows.mapInArrow(run, kept)
+    return rows.mapInArrow(common.trimmed(run), kept)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
