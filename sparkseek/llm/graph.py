@@ -9,7 +9,7 @@ from sparkseek.llm import common
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for links (a, b) of longs; component is its least node.
+    """(node, component) for links (a, b) of longs or structs; component is its least node.
 
     Links that name a node with itself are kept as nodes.  Each round takes the
     least label among a node and its neighbours and then the label's own label,

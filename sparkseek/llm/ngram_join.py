@@ -17,7 +17,8 @@ it is linked to.
    groups are cut by hash into blocks, and each pair of blocks is a task of its
    own.  Intersections are counted there exactly, by a product of 0/1 matrices
    over the shared shingles.  A task hands over, for each node, the number of
-   documents it is linked to and the root of its links: as many rows as nodes.
+   documents it is linked to and the root of its links; a pair of blocks ties no
+   more than the roots of either, so ties grow with nodes, not with pairs.
 5. Components of the roots are the classes.
 
 No bucket, group or number of partners is capped.  A null or empty text, or one
@@ -43,7 +44,9 @@ SIMILARITY = 0.8
 TREES = 24
 DEPTH = 6
 TARGET = 0.9999
-BLOCK = 512
+BLOCK = 128
+MOST_BROADCAST = 10_000  # groups of more than a block; with more, their sizes are joined by a shuffle
+NULL_ID = (1 << 63) - 1  # a null id comes last
 COLUMNS = 4096  # shingles of one matrix product
 _ROWS = 1024  # shingles hashed at once
 
@@ -86,7 +89,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(labels, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "label"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, label binary")
+    return rows.mapInArrow(common.trimmed(run), "doc_id long, text_hash long, node long, label binary")
 
 
 class Links:
@@ -116,19 +119,31 @@ class Links:
             common_to += has @ has.T
         linked = common_to >= self.similarity * (sizes[:, None] + sizes - common_to) - 1e-9
         np.fill_diagonal(linked, False)
-        if side is not None:
-            linked &= side[:, None] != side
-        root = np.arange(n)
-        for i in range(n):
-            near = np.flatnonzero(linked[i, :i])
-            if len(near):
-                old = np.unique(np.append(root[near], root[i]))
+        if side is None:
+            return linked @ copies, _roots(linked, np.arange(n))
+        # sets linked within a block are tied there; here one set speaks for them
+        across = side[:, None] != side
+        own = _roots(linked & ~across, np.arange(n))
+        root = _roots(linked & across, own)
+        return (linked & across) @ copies, np.where(own == np.arange(n), root, np.arange(n))
+
+
+def _roots(linked: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The first member of each component, given those of components known before."""
+    root = root.copy()
+    for i in range(len(root)):
+        near = np.flatnonzero(linked[i, :i])
+        if len(near):
+            old = np.unique(np.append(root[near], root[i]))
+            if len(old) > 1:
                 root[np.isin(root, old)] = old[0]
-        return linked @ copies, root
+    return root
 
 
 def _verify(groups: DataFrame, similarity: float) -> DataFrame:
-    """A row per node and task: node, links, root.  groups: grp, i, j, blk, node, copies, text."""
+    """A row per node and task: node, links, root; with the first ids of both.
+
+    groups: grp, i, j, blk, node, doc, copies, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, key, held = Links(similarity), None, []
@@ -137,13 +152,15 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
             nodes = np.array([h[0] for h in held], dtype=np.int64)
             side = np.array([h[3] for h in held]) if key[1] != key[2] else None
             links, root = finder.find([h[2] for h in held], np.array([h[1] for h in held], dtype=np.int64), side)
-            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(nodes[root])], ["node", "links", "root"])
+            docs = np.array([h[4] for h in held], dtype=np.int64)
+            columns = (nodes, docs, links, nodes[root], docs[root])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "doc", "links", "root", "root_doc"])
 
         for batch in batches:
             for part in encoding.slices(batch):
                 sets = shingles.shingle_sets(part.column("text"), WORDS)
-                for grp, i, j, blk, node, copies, own in zip(
-                    *(part.column(c).to_pylist() for c in ("grp", "i", "j", "blk", "node", "copies")), sets, strict=True
+                for grp, i, j, blk, node, copies, doc, own in zip(
+                    *(part.column(c).to_pylist() for c in ("grp", "i", "j", "blk", "node", "copies", "doc")), sets, strict=True
                 ):
                     if (grp, i, j) != key and held:
                         yield done()
@@ -151,20 +168,20 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
                     if held and held[-1][0] == node:  # a repeated row
                         continue
                     key = (grp, i, j)
-                    held.append((node, copies, own, blk))
+                    held.append((node, copies, own, blk, doc))
         if held:
             yield done()
 
     cut = groups.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
-    return cut.mapInArrow(run, "node long, links long, root long")
+    return cut.mapInArrow(common.trimmed(run), "node long, doc long, links long, root long, root_doc long")
 
 
 def join_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of each document."""
+    """doc_id, text_hash (xxhash64), class_id, n_links, n_copies of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = common.stored(describe(rows), "forest-labels")
     nodes = known.filter("node IS NOT NULL").groupBy("node")
-    nodes = nodes.agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("label").alias("label"))
+    nodes = nodes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("label").alias("label"))
     nodes = common.stored(nodes, "forest-nodes")
     width = 2 * prefix_depth(similarity)
     prefixes = F.expr(
@@ -174,28 +191,36 @@ def join_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     tops = below.groupBy("prefix").agg(F.min("node").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n")
     ties = below.join(tops, "prefix").filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
     groups = graph.components(ties.distinct())
-    size = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    groups = groups.join(size, "component").join(nodes.drop("label"), "node")
+    # few groups need more than one block: no row of the others waits for a join by group
+    large = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    large = common.stored(large, "forest-large")
+    if large.count() <= MOST_BROADCAST:
+        large = F.broadcast(large)
+    groups = groups.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(nodes.drop("label"), "node")
     groups = groups.withColumn("blk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     members = groups.select(
         F.col("component").alias("grp"), "node", "copies", "first.doc_id", "first.text_hash", "blk", "blocks"
     )
     texts = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     held = members.join(texts, members.doc_id.eqNullSafe(texts.doc_id) & (members.text_hash == texts.text_hash))
-    held = held.select("grp", "node", "copies", "blk", "blocks", "text")
+    doc = F.coalesce(members.doc_id, F.lit(NULL_ID)).alias("doc")
+    held = held.select("grp", "node", doc, "copies", "blk", "blocks", "text")
     paired = held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select(
-        "grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "copies", "text"
+        "grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "doc", "copies", "text"
     )
     found = common.stored(_verify(paired, similarity), "forest-links")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = graph.components(found.filter("links > 0").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    # nodes go by (first id, hash), so that the least of a component names its class
+    named = lambda doc, node: F.struct(F.col(doc).alias("doc"), F.col(node).alias("node"))
+    classes = graph.components(found.filter("node <> root").select(named("doc", "node").alias("a"), named("root_doc", "root").alias("b")).distinct())
+    classes = classes.select(F.col("node.node").alias("node"), F.col("component.doc").alias("class"))
     at = nodes.join(counted, "node", "left").join(classes, "node", "left")
-    at = at.select("node", "first.doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
-    least = at.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    at = at.join(least, "component").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies")
+    least = F.coalesce("class", "first.doc_id")
+    at = at.select("node", F.when(least != NULL_ID, least).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     return known.join(at, "node", "left").select(
         "doc_id",
+        "text_hash",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
@@ -203,4 +228,4 @@ def join_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_classes(common.table(spark, sf_dir, "documents"))
+    return join_classes(common.table(spark, sf_dir, "documents")).drop("text_hash")
