@@ -99,6 +99,24 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+FEW = 16  # counts below it share a byte
+
+
+def pack_counts(n_train: np.ndarray, n_held: np.ndarray) -> list[np.ndarray]:
+    """A byte of both counts where both are small; the others beside it."""
+    many = np.flatnonzero(n_train >= FEW)
+    code = (n_train | n_held * np.uint32(FEW)).astype(np.uint8)
+    code[many] = 0
+    return [code, np.diff(many, prepend=0), n_train[many], n_held[many]]
+
+
+def unpack_counts(code: np.ndarray, gaps: np.ndarray, n_train: np.ndarray, n_held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    train, held = code & np.uint64(FEW - 1), code >> np.uint64(FEW.bit_length() - 1)
+    many = np.cumsum(gaps).astype(np.int64)
+    train[many], held[many] = n_train, n_held
+    return train, held
+
+
 def _edges(n_buckets: int) -> np.ndarray:
     """First key of each bucket: equal ranges of the hash."""
     return np.array([-(-(i << 64) // n_buckets) for i in range(n_buckets)], dtype=np.uint64)
@@ -135,7 +153,7 @@ def ask_counts(n_buckets: int):
             for order, (cut, keys, (n_train, n_held)) in enumerate(zip(cuts, b.keys, b.own, strict=True)):
                 own = slice(cut[i], cut[i + 1])
                 gaps = np.diff(keys[own], prepend=np.uint64(0))
-                arrays += [gaps >> np.uint64(64 - KEY_BITS) if order else gaps, n_train[own], n_held[own]]
+                arrays += [gaps >> np.uint64(64 - KEY_BITS) if order else gaps, *pack_counts(n_train[own], n_held[own])]
             out[i] = pack(arrays)
         return out
 
@@ -144,19 +162,18 @@ def ask_counts(n_buckets: int):
 
 def answer_counts(bucket: int, payloads: list[bytes]) -> list[bytes]:
     """For each n-gram asked, what others have; first the bucket's distinct, training and held-out tokens."""
-    asked = [unpack(p) if p else [np.zeros(0, np.uint64)] * (3 * ORDER) for p in payloads]
+    asked = [unpack(p) if p else [np.zeros(0, np.uint64)] * (5 * ORDER) for p in payloads]
     replies: list[list[np.ndarray]] = [[] for _ in payloads]
     head = [0, 0, 0]
     for order in range(ORDER):
-        keys = [np.cumsum(a[3 * order], dtype=np.uint64) for a in asked]  # order 2 and 3: of KEY_BITS
-        flat = np.concatenate(keys)
-        u, at = np.unique(flat, return_inverse=True)
+        parts = [a[5 * order : 5 * order + 5] for a in asked]
+        keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]  # order 2 and 3: of KEY_BITS
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        for which in (1, 2):
-            own = np.concatenate([a[3 * order + which] for a in asked])
+        for which, own in enumerate(map(np.concatenate, zip(*(unpack_counts(*p[1:]) for p in parts), strict=True))):
             sums = np.bincount(at, weights=own, minlength=len(u)).astype(np.uint64)
             if order == 0:
-                head = [int((sums > 0).sum()), int(sums.sum()), 0] if which == 1 else [*head[:2], int(sums.sum())]
+                head = [int((sums > 0).sum()), int(sums.sum()), 0] if which == 0 else [*head[:2], int(sums.sum())]
             for reply, part in zip(replies, np.split(sums[at] - own, ends), strict=True):
                 reply.append(part)
     lead = b"".join(x.to_bytes(8, "big") for x in head)
