@@ -47,6 +47,7 @@ STEPS = 4  # histogram steps for a factor e
 NONE = -9999  # ratio of an estimate that is 0
 WIDEST = 40  # ratios beyond e ** WIDEST share a step
 ROUNDS = 100
+CHUNK = 1 << 18  # tokens whose estimates are held at once
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,19 +197,20 @@ def _counts(b: _Block, answers: blocks.Packed, which: int) -> list[np.ndarray]:
 
 
 def _estimates(b: _Block, counts: list[np.ndarray], own: np.ndarray):
-    """For each token: ratios of orders 3 and 2, and count of order 1; contexts' counts.
+    """Counts of the n-grams of the wanted tokens by order, and of their contexts.
 
-    counts: of each order.  own: the tokens wanted."""
-    first = np.zeros(len(b.flat), dtype=bool)
-    first[b.starts[:-1]] = True
-    n_docs = counts[0][b.at[0][b.starts[1] - 1]]  # of END, which stands before each text
-    seen = [c[at].astype(np.float64) for c, at in zip(counts, b.at, strict=True)]
-    context = []
-    for c in seen[:-1]:
-        shifted = np.concatenate([[n_docs], c[:-1]])
-        shifted[first] = n_docs
-        context.append(shifted[own])
-    return [c[own] for c in seen], context
+    A token's contexts are the n-grams that end at the token before it; at a
+    text's begin it is END, which stands before each text."""
+    first = np.isin(own, b.starts[:-1], assume_unique=True)
+    n_docs = counts[0][b.at[0][b.starts[1] - 1]]
+    seen = [c[at[own]].astype(np.float64) for c, at in zip(counts, b.at, strict=True)]
+    context = [np.where(first, n_docs, c[at[own - 1]]).astype(np.float64) for c, at in zip(counts[:-1], b.at, strict=False)]
+    return seen, context
+
+
+def _chunks(own: np.ndarray) -> Iterator[np.ndarray]:
+    for a in range(0, len(own), CHUNK):
+        yield own[a : a + CHUNK]
 
 
 def bucket_of(context: list[np.ndarray]) -> np.ndarray:
@@ -230,20 +232,21 @@ def _mixture_inputs(seen, context, n: float, v: float):
 def held_out_histogram(v: int, n: int):
     def run(uri: str, table: pa.Table, answers: blocks.Packed) -> Iterator[pa.RecordBatch]:
         b = _Block(table)
-        own = np.repeat(b.fold == HELD_FOLD, np.diff(b.starts))
-        if not own.any():
+        wanted = np.flatnonzero(np.repeat(b.fold == HELD_FOLD, np.diff(b.starts)))
+        if not len(wanted):
             return
         kept = [total - held for total, held in zip(_counts(b, answers, 0), _counts(b, answers, 1), strict=True)]
-        seen, context = _estimates(b, kept, own)
-        base, p2, p3 = _mixture_inputs(seen, context, n, v)
-        steps = []
-        for p in (p3, p2):
-            with np.errstate(divide="ignore"):
-                r = np.round(STEPS * np.clip(np.log(p / base), -WIDEST, WIDEST))
-            steps.append(np.where(p > 0, r, NONE).astype(np.int64))
-        cells = np.stack([bucket_of(context), *steps], axis=1)
-        u, tally = np.unique(cells, axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(u[:, 2]), pa.array(tally)], ["bucket", "r3", "r2", "n"])
+        for own in _chunks(wanted):
+            seen, context = _estimates(b, kept, own)
+            base, p2, p3 = _mixture_inputs(seen, context, n, v)
+            steps = []
+            for p in (p3, p2):
+                with np.errstate(divide="ignore"):
+                    r = np.round(STEPS * np.clip(np.log(p / base), -WIDEST, WIDEST))
+                steps.append(np.where(p > 0, r, NONE).astype(np.int64))
+            cells = np.stack([bucket_of(context), *steps], axis=1)
+            u, tally = np.unique(cells, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(u[:, 2]), pa.array(tally)], ["bucket", "r3", "r2", "n"])
 
     return run
 
@@ -278,23 +281,26 @@ def scores(v: int, n: int, weights: dict[int, tuple[float, float, float]]):
 
     def run(uri: str, data: pa.Table, answers: blocks.Packed) -> Iterator[pa.RecordBatch]:
         b = _Block(data)
-        seen, context = _estimates(b, _counts(b, answers, 0), np.ones(len(b.flat), dtype=bool))
-        base, p2, p3 = _mixture_inputs(seen, context, n, v)
-        w = table[bucket_of(context)]
-        # weights of an order whose context is new go to the others
-        live = np.column_stack([context[1] > 0, context[0] > 0, np.ones(len(base), bool)])
-        w = w * live
-        w /= w.sum(axis=1, keepdims=True)
-        p = w[:, 0] * p3 + w[:, 1] * p2 + w[:, 2] * base
+        counts = _counts(b, answers, 0)
+        base_log, score_log, known = np.empty(len(b.flat)), np.empty(len(b.flat)), np.empty(len(b.flat), dtype=bool)
+        for own in _chunks(np.arange(len(b.flat))):
+            seen, context = _estimates(b, counts, own)
+            base, p2, p3 = _mixture_inputs(seen, context, n, v)
+            w = table[bucket_of(context)]
+            # weights of an order whose context is new go to the others
+            w = w * np.column_stack([context[1] > 0, context[0] > 0, np.ones(len(base), bool)])
+            w /= w.sum(axis=1, keepdims=True)
+            base_log[own], score_log[own] = np.log10(base), np.log10(w[:, 0] * p3 + w[:, 1] * p2 + w[:, 2] * base)
+            known[own] = seen[0] > 0
         at = b.starts[:-1]
         columns = [
             b.ids.combine_chunks(),
             pa.array(b.fold == TEST_FOLD),
             pa.array(np.diff(b.starts)),
-            pa.array(np.add.reduceat((seen[0] > 0).astype(np.int64), at)),
+            pa.array(np.add.reduceat(known.astype(np.int64), at)),
             pa.array(np.full(len(at), n)),
-            pa.array(np.add.reduceat(np.log10(base), at)),
-            pa.array(np.add.reduceat(np.log10(p), at)),
+            pa.array(np.add.reduceat(base_log, at)),
+            pa.array(np.add.reduceat(score_log, at)),
         ]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
         yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")])
