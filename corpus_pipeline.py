@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    common.bound_batches(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, model, keep=tuple(COLUMNS))
     return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
@@ -28,12 +29,14 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a certified cutoff rejects."""
+    common.bound_batches(spark)
     judged = quality.judge(docs, common.table(spark, sf_dir, "labels"), extra=tuple(c for c in COLUMNS if c != "doc_id"))
     return judged.filter("kept").select(*COLUMNS)
 
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of the least id."""
+    common.bound_batches(spark)
     classes = ngram_join.join_classes(docs.select("doc_id", "text"))
     firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.xxhash64("doc_id", "text_hash").alias("row_key"))
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("row_key"))
@@ -44,6 +47,7 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Texts without the passages that an earlier document has; those left empty go.
 
     A character that a cut would halve goes with it."""
+    common.bound_batches(spark)
     cut = suffix_dedup.remove_repeats(docs, extra=("lang", "source"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,6 +63,7 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences, with their ids."""
+    common.bound_batches(spark)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -91,6 +91,15 @@ def read_file(uri: str):
         return f.read_buffer()
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let no more rows than these be in an Arrow batch, for the rest of the session:
+    batches of whole long texts are otherwise large native allocations, which the
+    executors' JVM keeps."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def release_memory() -> None:
     """Give freed memory back to the system; workers live on after a task."""
     import ctypes
