@@ -212,8 +212,8 @@ def comparable(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
     A window has SIDE bytes at least before or after the piece it is filed under.
     So two strings can only share one if they have the piece with SIDE bytes before
-    it, or with SIDE bytes after it, in common.  A string in which the piece occurs
-    twice is always compared."""
+    it, or with SIDE bytes after it, in common.  A string is keyed by every place at
+    which it has the piece: another one may share the surroundings of any of them."""
     n = len(starts) - 1
     hashes = _hashes(flat)
     lengths = np.diff(starts)
@@ -222,18 +222,15 @@ def comparable(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     least = np.minimum.reduceat(hashes[at], np.cumsum(lengths - K + 1) - (lengths - K + 1))
     hit = hashes[at] == least[of]
     where, owner = at[hit], of[hit]
-    out = np.bincount(owner, minlength=n) > 1
-    first = np.zeros(n, dtype=np.int64)
-    first[owner] = where
+    out = np.zeros(n, dtype=bool)
     eight = np.ndarray(len(flat), dtype="<u8", buffer=np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
     mult = np.uint64(0xBF58476D1CE4E5B9)
-    for begin, fits in ((first - SIDE, first - SIDE >= starts[:-1]), (first + K, first + K + SIDE <= starts[1:])):
-        own = np.flatnonzero(fits)
-        a = begin[own]
+    for begin, fits in ((where - SIDE, where - SIDE >= starts[owner]), (where + K, where + K + SIDE <= starts[owner + 1])):
+        own, a = owner[fits], begin[fits]
         key = (least[own] ^ (eight[a] * mult)) * mult
         key = (key ^ (key >> np.uint64(31)) ^ (eight[a + SIDE - 8] * mult)) * mult
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        out[own] |= count[inverse] > 1
+        out[own[count[inverse] > 1]] = True
     return out, least
 
 

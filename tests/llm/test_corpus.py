@@ -147,6 +147,21 @@ def test_repeats_against_brute_force(spark):
     assert cut(spark.createDataFrame(rows, "doc_id long, text string")) == brute_cut(rows)
 
 
+def test_repeats_that_end_or_begin_in_a_period(spark):
+    """A shared passage beside a stretch of period up to 31, longer in one document than in the other."""
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    rows = [(0, draw(40) + "Heading" + "-" * 25), (1, draw(40) + "Heading" + "-" * 20 + draw(5))]
+    for period in [*range(1, 32)] * 8:
+        passage, piece = draw(rng.randrange(15, 60)), draw(period)
+        for _ in range(2):
+            stretch = piece * 40
+            cut_at = rng.randrange(20, 90)
+            shared = passage + stretch[:cut_at] if period % 2 else stretch[-cut_at:] + passage
+            rows.append((len(rows), draw(rng.randrange(30)) + shared + draw(rng.randrange(30))))
+    assert cut(spark.createDataFrame(rows, "doc_id long, text string")) == brute_cut(rows)
+
+
 def test_repeats_of_all_bytes():
     """Strings that hold every byte value are ordered by half bytes."""
     rng = np.random.default_rng(0)
