@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4096
+PAIRS_AT_ONCE = 1 << 20  # of a query and a row, held against each other together
+SUMS = 1 << 16  # distances taken as sums of squares together
 PAIRS = "q_id long, vec_id long, distance double"
 
 
@@ -88,6 +90,30 @@ def squared_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T, 0)
 
 
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest rows of each query, equal ones by id.
+
+    Matrix products only rule out rows that are farther than the k-th by more than
+    both may be off; all others, however many are equal, are measured again."""
+    m = min(k, len(x))
+    near, names = np.full((len(q), m), np.inf), np.zeros((len(q), m), dtype=np.int64)
+    sizes = (x * x).sum(1)
+    step = max(1, PAIRS_AT_ONCE // max(len(x), 1))
+    for a in range(0, len(q), step):
+        some = q[a : a + step]
+        d = squared_distances(some, x)
+        off = 4 * (q.shape[1] + 4) * np.finfo(np.float64).eps * ((some * some).sum(1)[:, None] + sizes)
+        border = np.partition(np.where(np.isnan(d), np.inf, d + off), m - 1, axis=1)[:, m - 1 : m]
+        who, row = np.nonzero(d - off <= border)
+        sure = np.concatenate([((some[who[c : c + SUMS]] - x[row[c : c + SUMS]]) ** 2).sum(axis=1) for c in range(0, max(len(who), 1), SUMS)])
+        order = np.lexsort((ids[row], sure, who))
+        who, row, sure = who[order], row[order], sure[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        first = place < k
+        near[a + who[first], place[first]], names[a + who[first], place[first]] = sure[first], ids[row[first]]
+    return near, names
+
+
 def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """VEC-1: (q_id, vec_id, distance, rank): squared L2, by matrix products.
 
@@ -100,11 +126,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 x, ids = matrix(batch.column("embedding")), batch.column("vec_id").to_numpy()
                 for a in range(0, len(x), 2048):
                     part = x[a : a + 2048]
-                    d = squared_distances(q, part)
-                    m = min(k + 16, len(part))
-                    near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    sure = ((q[:, None, :] - part[near]) ** 2).sum(axis=2)
-                    best.add(sure, ids[a : a + 2048][near])
+                    best.add(*_nearest(q, part, ids[a : a + 2048], k))
             yield best.rows(q_ids)
 
         return vectors.select("vec_id", "embedding").mapInArrow(run, PAIRS)

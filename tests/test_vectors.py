@@ -42,6 +42,20 @@ def test_fewer_rows_than_k(data, spark):
     assert v.exact(df, queries.limit(0), 10).isEmpty()
 
 
+def test_exact_among_equal_vectors(spark):
+    """Hundreds of copies of one vector: the least ids are kept, wherever they stand."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    x[rng.permutation(3000)[:1000]] = x[7]
+    order = rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<float>").coalesce(1)
+    queries = df.filter("vec_id % 100 = 0 OR vec_id = 7")
+    rows = v.exact(df, queries, 10).orderBy("q_id", "rank").collect()
+    y = x.astype(np.float64)
+    want = [(q, i) for q in sorted({*range(0, 3000, 100), 7}) for i in np.lexsort((np.arange(3000), ((y - y[q]) ** 2).sum(axis=1)))[:10].tolist()]
+    assert [(r.q_id, r.vec_id) for r in rows] == want
+
+
 def test_fvecs(spark, tmp_path):
     x = np.random.default_rng(0).standard_normal((50, 7)).astype(np.float32)
     path = str(tmp_path / "a.fvecs")
