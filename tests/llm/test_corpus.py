@@ -269,6 +269,26 @@ def test_copies(spark):
     assert [got[i] for i in range(24)] == list(range(24)) and [got[i] for i in (300, 301, 302, 303)] == [300, 301, 302, 303]
 
 
+def small_crops():
+    """Crops of less than a quarter of the corners, of smaller and of larger id than the whole."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(6):
+        words = " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(1500))
+        whole = media.read_pgm(media.render(f"<p>{words}</p>"))
+        pair = [whole[100:140], whole] if k % 2 else [whole, whole[100:140]]
+        rows += [(10 * k + i, media.write_pgm(p)) for i, p in enumerate(pair)]
+    return rows
+
+
+def test_small_crops_in_both_orders(spark):
+    rows = small_crops()
+    sizes = [(len(c) - 8) // media.CORNER.itemsize for c in media.describe([image for _, image in rows])]
+    assert all(4 * min(a, b) < max(a, b) for a, b in zip(sizes[::2], sizes[1::2], strict=True))
+    got = {r.image_id: r.class_id for r in media.copy_classes(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_pictures_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a</p><script>x</script>"), (2, None), (3, ""), (4, "<p>𝄞 é" + "b" * 200)], "page_id long, html string")
     drawn = {r.image_id: r.image for r in media.render_pages(df).collect()}
