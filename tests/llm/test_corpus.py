@@ -289,6 +289,12 @@ def test_small_crops_in_both_orders(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_links_count_for_both_images(spark):
+    df = spark.createDataFrame([*small_crops(), (90, None)], "id long, image binary")
+    got = {r.image_id: r.n_links for r in media.copy_classes(df, "id", "image").collect()}
+    assert got == {**{10 * k + i: 1 for k in range(6) for i in range(2)}, 90: 0}
+
+
 def test_pictures_of_pages(spark):
     df = spark.createDataFrame([(1, "<p>a</p><script>x</script>"), (2, None), (3, ""), (4, "<p>𝄞 é" + "b" * 200)], "page_id long, html string")
     drawn = {r.image_id: r.image for r in media.render_pages(df).collect()}
