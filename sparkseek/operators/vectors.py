@@ -253,6 +253,8 @@ class IvfPq:
         return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, list int, code binary")
 
     def search(self, coded: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """The k best of the lists nearest to each query; with product codes, by the distance of codes."""
+
         def block(q_ids: np.ndarray, q: np.ndarray) -> DataFrame:
             near = np.argsort(squared_distances(q, self.centres), axis=1, kind="stable")[:, :probes]
             wanted = np.zeros((len(self.centres), len(q)), dtype=bool)
@@ -281,6 +283,14 @@ class IvfPq:
 
         return merged(_in_blocks(queries, block, coded.sparkSession), k)
 
+    def search_again(self, coded: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, probes: int, held: int) -> DataFrame:
+        """The k best by exact distance among the `held` best by code."""
+        found = self.search(coded, queries, held, probes).select("q_id", "vec_id")
+        asked = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+        pairs = found.join(asked, "q_id").join(vectors.select("vec_id", "embedding"), "vec_id")
+        apart = F.zip_with("q", "embedding", lambda x, y: x.cast("double") - y)
+        return merged(pairs.select("q_id", "vec_id", F.aggregate(apart, F.lit(0.0), lambda a, x: a + x * x).alias("distance")), k)
+
     def _distances(self, q: np.ndarray, i: int, codes: np.ndarray) -> np.ndarray:
         if self.books is None:
             return squared_distances(q, codes.astype(np.float64))

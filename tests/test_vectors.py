@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.operators import vectors as v
 from sparkseek.sources import fvecs, generators
@@ -56,6 +57,19 @@ def test_exact_among_equal_vectors(spark):
     assert [(r.q_id, r.vec_id) for r in rows] == want
 
 
+def test_registered_product_codes_lose_nothing_to_their_lists(spark):
+    """Product codes are measured again: knn_ivfpq finds what knn_ivf finds, on the registered table."""
+    from sparkseek.catalog.vectors import QUERIES
+
+    d = "/root/testdata/sf0.1"
+    exact, lists, codes = (QUERIES[q](spark, d).cache() for q in ("knn_exact", "knn_ivf", "knn_ivfpq"))
+    of_lists, of_codes = (v.recall(x, exact, 10).first()[0] for x in (lists, codes))
+    print("recall of knn_ivf and knn_ivfpq:", of_lists, of_codes)
+    assert of_codes >= of_lists - 0.02
+    same = codes.join(exact.select("q_id", "vec_id", F.col("distance").alias("sure")), ["q_id", "vec_id"])
+    assert same.filter("abs(distance - sure) > 2e-6").isEmpty()
+
+
 def test_fvecs(spark, tmp_path):
     x = np.random.default_rng(0).standard_normal((50, 7)).astype(np.float32)
     path = str(tmp_path / "a.fvecs")
