@@ -9,8 +9,8 @@ before it is one more than the least common prefix between s and the previous c,
 and the same holds for the suffix behind it, whose value changes.
 
 The two arrays are read and written once a round, front to back.  Collections
-of up to IN_MEMORY symbols keep them in memory; above that each round streams
-from one pair of files to the next, in the folder given.
+of up to IN_MEMORY symbols keep them in memory; above that they are in a pair of
+files in the folder given between rounds, but each round reads them whole.
 """
 
 from __future__ import annotations
