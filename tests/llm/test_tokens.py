@@ -18,9 +18,7 @@ TEXT = st.text(st.sampled_from("ab.,' \ńİéΣ漢1½　<|>Z"), max_size=30)
 
 
 def tokenizer():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 def ids_of(texts):
@@ -41,6 +39,14 @@ def test_chunks_equal_whole_texts_at_random(texts):
     assert ids_of(texts) == [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public.path("byte_bpe_50k.json")
+    own, t = encoding.ChunkEncoder(path), Tokenizer.from_file(path)
+    assert not own.in_chunks and encoding.chunk_encoder(WORDS).in_chunks
+    ids, starts = own.encode(pa.array(ODD, pa.string()), 7)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [t.encode(x or "", add_special_tokens=False).ids + [7] for x in ODD]
+
+
 @pytest.fixture(scope="module")
 def coder():
     return bpe.coder_for(RANKS, public.PATTERN)
@@ -92,7 +98,9 @@ def test_files(spark, odd_documents, no_documents, tmp_path):
 
 
 def test_packing(spark, odd_documents, no_documents):
-    rows = packing.pack_documents(odd_documents.filter("NOT (doc_id <=> 4 AND text IS NULL)"), WORDS).collect()
+    more = [(20, "İ. and <|endoftext|> İstanbulİ, " * 40), (21, "word, " * 5000)]
+    docs = odd_documents.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = packing.pack_documents(docs, WORDS).collect()
     by_sequence, by_doc = {}, {}
     for r in rows:
         by_sequence.setdefault(r.sequence_id, []).append(r)
@@ -105,26 +113,24 @@ def test_packing(spark, odd_documents, no_documents):
         total = sum(r.length for r in own)
         assert total <= 2048
         padded += bool(total & (total - 1))
-    assert padded <= 4  # one for each partition at most
-    expected = sorted(zlib.crc32(np.array(ids, "<u4").tobytes()) for _, ids in _expected(odd_documents))
+    assert padded <= docs.rdd.getNumPartitions()  # one for each partition at most
+    expected = sorted((repr(i), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in _expected(docs))
     whole = []
-    for own in by_doc.values():
-        own.sort(key=lambda r: r.start)
-        copies = sum(r.start == 0 for r in own)
-        for c in range(copies):
-            whole.append(zlib.crc32(b"".join(bytes(r.ids) for r in _chain(own, c))))
-    assert len(whole) == len(expected)
+    for (doc_id, _), own in by_doc.items():
+        left = sorted(own, key=lambda r: (r.start, r.sequence_id, r.offset))
+        while left:
+            pieces = _next_whole(left)
+            whole.append((repr(doc_id), zlib.crc32(b"".join(bytes(r.ids) for r in pieces))))
+    assert sorted(whole) == expected
     assert packing.pack_documents(no_documents, WORDS).isEmpty()
 
 
-def _chain(own, copy):
-    """The pieces of one of several equal rows: any that fit end to end."""
-    left, at = list(own), 0
-    for _ in range(copy + 1):
-        out, at = [], 0
-        while at < own[0].doc_tokens:
-            r = next(r for r in left if r.start == at)
-            left.remove(r)
-            out.append(r)
-            at += r.length
+def _next_whole(left):
+    """Takes the pieces of one row, end to end, from those of all rows of its id and size."""
+    out, at = [], 0
+    while not out or at < out[0].doc_tokens:
+        r = next(r for r in left if r.start == at)
+        left.remove(r)
+        out.append(r)
+        at += r.length
     return out
