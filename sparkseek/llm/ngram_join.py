@@ -7,16 +7,22 @@ it is linked to.
 
 1. Documents with equal sets are one node; only nodes are compared.
 2. A node has TREES labels of DEPTH minhashes of 16 bits each.  A tree is the
-   prefix trie of its sorted labels; the nodes below a prefix are candidates.
-   Prefixes shorten from DEPTH on until a pair at the threshold is found in some
-   tree with probability TARGET: 1 - (1 - s^k)^trees.  More similar pairs are
-   found with a higher one.
-3. In each prefix group all nodes are tied to the least one (n rows, not pairs);
-   the components of these ties are the candidate groups.
-4. A group is verified as a whole.  Up to BLOCK nodes go to one task; larger
-   groups are cut by hash into blocks, and each pair of blocks is a task of its
-   own.  Intersections are counted there exactly, by a product of 0/1 matrices
-   over the shared shingles.  A task hands over, for each node, the number of
+   prefix trie of its labels; the nodes below a prefix are candidates.  The
+   forest is climbed from the full labels up, one minhash shorter at each level.
+   A node climbs until a pair at the least similarity that its set can have with
+   another linked one is found with probability TARGET: 1 - (1 - s^k)^trees.
+   For most sets that is the threshold itself; sets of few shingles have coarser
+   similarities and stop at longer prefixes.  Both nodes of a pair reach the
+   level at which the pair's own least similarity is found.
+3. What a level brings together is contracted before the next: a subtrie holds
+   distinct roots only, each tied to the least, so one in which all is joined
+   already costs nothing more.  The first level takes its first few trees alone,
+   which contract large groups before all trees are looked at.
+4. A candidate group is verified as a whole.  Up to BLOCK nodes, or
+   BLOCK_SHINGLES, go to one task; larger groups are cut by hash into blocks, and
+   each pair of blocks is a task of its own.  Intersections are counted there
+   exactly: shingles of few sets pair by pair, others by a product of 0/1
+   matrices.  A task hands over, for each node with links, the number of
    documents it is linked to and the root of its links; a pair of blocks ties no
    more than the roots of either, so ties grow with nodes, not with pairs.
 5. Components of the roots are the classes.
@@ -24,12 +30,15 @@ it is linked to.
 No bucket, group or number of partners is capped.  A null or empty text, or one
 without words, has no shingles: it is its own class with no links.  A text of
 fewer than five words has one shingle, all its words.  Rows with one id are
-separate documents.  An empty table gives no rows.
+separate documents.  Other columns of the table are not read, whatever their
+names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +51,17 @@ from sparkseek.llm import common, encoding, graph, shingles
 WORDS = 5
 SIMILARITY = 0.8
 TREES = 24
-DEPTH = 6
+FIRST_TREES = 3  # looked at before the others at the deepest level
+DEPTH = 7
 TARGET = 0.9999
-BLOCK = 128
-MOST_BROADCAST = 10_000  # groups of more than a block; with more, their sizes are joined by a shuffle
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 NULL_ID = (1 << 63) - 1  # a null id comes last
 COLUMNS = 4096  # shingles of one matrix product
+RARE = 24  # sets; what fewer have is counted pair by pair
+PAIRS = 1 << 21  # counted at once
 _ROWS = 1024  # shingles hashed at once
+_FINE = 60  # shingles from which on every similarity counts as possible
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -56,9 +69,23 @@ def recall(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(similarity: float, target: float = TARGET, depth: int = DEPTH, trees: int = TREES) -> int:
-    """Shorten the prefix until the target recall is reached."""
-    while depth > 1 and recall(similarity, depth, trees) < target:
+@lru_cache(maxsize=None)
+def least_similarity(n: int, similarity: float) -> float:
+    """The least similarity, at the threshold or more, of a set of n shingles with another; 1 if there is none."""
+    if n >= _FINE:
+        return similarity
+    found = [1.0]
+    for m in range(1, int(n / similarity) + 1):
+        a = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+        if a <= min(n, m):
+            found.append(a / (n + m - a))
+    return min(found)
+
+
+@lru_cache(maxsize=None)
+def stop_depth(n: int, similarity: float = SIMILARITY, target: float = TARGET, depth: int = DEPTH, trees: int = TREES) -> int:
+    """Where a set of n shingles stops climbing: the longest prefix that reaches the target recall."""
+    while depth > 1 and recall(least_similarity(min(n, _FINE), similarity), depth, trees) < target:
         depth -= 1
     return depth
 
@@ -75,9 +102,10 @@ def signature(own: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (shingles.mix(least) >> np.uint64(48)).astype("<u2")
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (hash of the shingle set; null without words), label."""
+def describe(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, node (hash of the shingle set; null without words), size, stop and label."""
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    names = ["doc_id", "text_hash", "node", "size", "stop", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors()
@@ -86,10 +114,28 @@ def describe(docs: DataFrame) -> DataFrame:
                 sets = shingles.shingle_sets(part.column("text"), WORDS)
                 nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
                 labels = [signature(s, factors).tobytes() if len(s) else None for s in sets]
-                columns = [part.column("doc_id"), part.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(labels, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "label"])
-
-    return rows.mapInArrow(common.trimmed(run), "doc_id long, text_hash long, node long, label binary")
+                stops = [stop_depth(min(len(s), _FINE), similarity) for s in sets]
+                own = [pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(stops, pa.int32()), pa.array(labels, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *own], names)
+
+    return rows.mapInArrow(common.trimmed(run), "doc_id long, text_hash long, node long, size long, stop int, label binary")
+
+
+def candidate_groups(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the nodes that share a prefix with another, closed over components."""
+    roots = None
+    for depth in range(DEPTH, stop_depth(_FINE, similarity) - 1, -1):
+        for first, last in ((0, FIRST_TREES), (FIRST_TREES, TREES)) if depth == DEPTH else ((0, TREES),):
+            at = nodes.filter(F.col("stop") <= depth).select("node", "label")
+            if roots is not None:
+                at = at.join(roots, "node", "left").select(F.coalesce("component", "node").alias("node"), "label")
+            prefix = f"explode(transform(sequence({first}, {last - 1}), t -> xxhash64(t, substring(label, t * {2 * DEPTH} + 1, {2 * depth}))))"
+            below = at.select("node", F.expr(prefix).alias("prefix")).distinct()
+            tops = below.groupBy("prefix").agg(F.min("node").alias("top"), F.max("node").alias("last")).filter("top < last").drop("last")
+            ties = below.join(tops, "prefix").filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
+            found = common.stored(graph.components(ties), "forest-level")
+            roots = found if roots is None else graph.merged(roots, found)
+    return roots
 
 
 class Links:
@@ -109,8 +155,10 @@ class Links:
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         number = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])]) if len(flat) else np.zeros(0, int)
-        shared = np.bincount(number)[number] > 1  # a shingle of one set alone counts for no pair
-        number, owner = number[shared], owner[shared]
+        often = np.bincount(number)[number]
+        few = (often > 1) & (often <= RARE)  # a shingle of one set alone counts for no pair
+        _count_pairs(common_to, number[few], owner[few], often[few])
+        number, owner = number[often > RARE], owner[often > RARE]
         number = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]])) if len(number) else number
         for a in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
             lo, hi = np.searchsorted(number, (a, a + COLUMNS))
@@ -128,6 +176,21 @@ class Links:
         return (linked & across) @ copies, np.where(own == np.arange(n), root, np.arange(n))
 
 
+def _count_pairs(common_to: np.ndarray, number: np.ndarray, owner: np.ndarray, often: np.ndarray) -> None:
+    """Adds one to both cells of each two sets that have a shingle; entries of one shingle stand together."""
+    n = len(common_to)
+    for lag in range(1, RARE):
+        longer = often > lag
+        number, owner, often = number[longer], owner[longer], often[longer]
+        for a in range(0, max(len(number) - lag, 0), PAIRS):
+            i, j = owner[a : a + PAIRS], owner[a + lag : a + lag + PAIRS]
+            same = number[a : a + len(j)] == number[a + lag : a + lag + len(j)]
+            cells, times = np.unique(i[: len(j)][same] * n + j[same], return_counts=True)
+            common_to.ravel()[cells] += times
+    rare = np.triu(common_to, 1)
+    common_to[:] = rare + rare.T
+
+
 def _roots(linked: np.ndarray, root: np.ndarray) -> np.ndarray:
     """The first member of each component, given those of components known before."""
     root = root.copy()
@@ -141,7 +204,7 @@ def _roots(linked: np.ndarray, root: np.ndarray) -> np.ndarray:
 
 
 def _verify(groups: DataFrame, similarity: float) -> DataFrame:
-    """A row per node and task: node, links, root; with the first ids of both.
+    """A row per node with links and task: node, links, root; with the first ids of both.
 
     groups: grp, i, j, blk, node, doc, copies, text."""
 
@@ -153,7 +216,8 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
             side = np.array([h[3] for h in held]) if key[1] != key[2] else None
             links, root = finder.find([h[2] for h in held], np.array([h[1] for h in held], dtype=np.int64), side)
             docs = np.array([h[4] for h in held], dtype=np.int64)
-            columns = (nodes, docs, links, nodes[root], docs[root])
+            some = (links > 0) | (root != np.arange(len(root)))
+            columns = (nodes[some], docs[some], links[some], nodes[root][some], docs[root][some])
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "doc", "links", "root", "root_doc"])
 
         for batch in batches:
@@ -179,24 +243,17 @@ def _verify(groups: DataFrame, similarity: float) -> DataFrame:
 def join_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash (xxhash64), class_id, n_links, n_copies of each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = common.stored(describe(rows), "forest-labels")
+    known = common.stored(describe(rows, similarity), "forest-labels")
     nodes = known.filter("node IS NOT NULL").groupBy("node")
-    nodes = nodes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("label").alias("label"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = nodes.agg(first, F.count("*").alias("copies"), F.max("size").alias("size"), F.max("stop").alias("stop"), F.max("label").alias("label"))
     nodes = common.stored(nodes, "forest-nodes")
-    width = 2 * prefix_depth(similarity)
-    prefixes = F.expr(
-        f"explode(transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(label, t * {2 * DEPTH} + 1, {width}))))"
-    )
-    below = nodes.select("node", prefixes.alias("prefix"))
-    tops = below.groupBy("prefix").agg(F.min("node").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    ties = below.join(tops, "prefix").filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
-    groups = graph.components(ties.distinct())
-    # few groups need more than one block: no row of the others waits for a join by group
-    large = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    large = common.stored(large, "forest-large")
-    if large.count() <= MOST_BROADCAST:
-        large = F.broadcast(large)
-    groups = groups.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(nodes.drop("label"), "node")
+    groups = candidate_groups(nodes, similarity).join(nodes.drop("label", "stop"), "node")
+    groups = common.stored(groups, "forest-groups")
+    # few groups need more than one block: theirs is a small table of its own
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    large = common.stored(groups.groupBy("component").agg(blocks).filter("blocks > 1"), "forest-large")
+    groups = groups.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     groups = groups.withColumn("blk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     members = groups.select(
         F.col("component").alias("grp"), "node", "copies", "first.doc_id", "first.text_hash", "blk", "blocks"

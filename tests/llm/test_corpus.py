@@ -61,7 +61,7 @@ def brute_classes(texts):
     return {i: (top(i), links[i]) for i in texts}
 
 
-@pytest.mark.parametrize("block", [128, 5])
+@pytest.mark.parametrize("block", [256, 5])
 def test_join_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     texts = near_texts()
@@ -81,14 +81,56 @@ def test_join_odd(spark, odd_documents, no_documents):
     assert ngram_join.join_classes(no_documents).isEmpty()
 
 
-def test_depth():
-    assert all(ngram_join.recall(s, ngram_join.prefix_depth(0.8)) >= ngram_join.TARGET for s in (0.8, 0.9, 1.0))
+def test_climb_reaches_the_target():
+    """Each set stops where the least similarity it can have is found; longer sets climb to the threshold's depth."""
+    for n in range(1, 70):
+        possible = [a / (n + m - a) for m in range(1, 100) for a in range(1, min(n, m) + 1) if 5 * a >= 4 * (n + m - a)]
+        if n < ngram_join._FINE:
+            assert ngram_join.least_similarity(n, 0.8) == min(possible)
+        assert all(ngram_join.recall(s, ngram_join.stop_depth(n)) >= ngram_join.TARGET for s in possible)
+    assert len({ngram_join.stop_depth(n) for n in range(1, 70)}) > 1
+
+
+@pytest.mark.parametrize("size,edits", [(100, 11), (100, 5), (6, 1), (40, 4)])
+def test_recall_of_labels(size, edits):
+    """Pairs at a similarity from 0.8 to 0.9 that share no prefix at the stop of either."""
+    rng, factors, missed = np.random.default_rng(size + edits), ngram_join._factors(), 0
+    for _ in range(400):
+        own = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        other = np.concatenate([own[edits:], rng.integers(0, 1 << 63, edits if size > 6 else 0, dtype=np.uint64)])
+        assert len(np.intersect1d(own, other)) / len(np.union1d(own, other)) >= 0.8
+        depth = max(ngram_join.stop_depth(len(own)), ngram_join.stop_depth(len(other)))
+        a, b = (ngram_join.signature(x, factors).reshape(ngram_join.TREES, ngram_join.DEPTH)[:, :depth] for x in (own, other))
+        missed += not (a == b).all(axis=1).any()
+    assert missed <= 2
+
+
+@pytest.mark.parametrize("few", [1, 24, 1000])
+def test_intersections(monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "RARE", few)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60 if i < 30 else 5000, rng.integers(1, 80)).astype(np.uint64)) for i in range(60)]
+    links, root = ngram_join.Links(0.5).find(sets, np.arange(60))
+    linked = [[j for j in range(60) if j != i and 3 * len(np.intersect1d(sets[i], sets[j])) >= len(sets[i]) + len(sets[j])] for i in range(60)]
+    assert links.tolist() == [sum(x) for x in linked] and all(root[i] == root[j] for i in range(60) for j in linked[i])
 
 
 def test_components(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 200: 200}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_components_at_random(spark):
+    rng = random.Random(6)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400, i) for i in range(401, 450)] + [(i, 450) for i in range(440, 450)]
+    root = {i: i for p in pairs for i in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == root
 
 
 SYMBOLS = st.lists(st.binary(max_size=9).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=8)
