@@ -275,6 +275,7 @@ def join_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     at = nodes.join(counted, "node", "left").join(classes, "node", "left")
     least = F.coalesce("class", "first.doc_id")
     at = at.select("node", F.when(least != NULL_ID, least).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    at = common.stored(at, "forest-classes")  # a plain exchange on either side, so that the node of many copies can be split
     return known.join(at, "node", "left").select(
         "doc_id",
         "text_hash",
