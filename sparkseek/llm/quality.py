@@ -1,37 +1,51 @@
 """Quality rules whose cutoffs carry an exact bound on false rejections.
 
 Documents are described by counts made with SQL functions alone.  Each rule
-rejects a document whose ratio exceeds a cutoff.  Labelled documents are dealt
-by their id into two halves: one proposes cutoffs (upper quantiles of the good
-documents), the other, the holdout, tests them.  A cutoff is certified in a
-stratum when the exact binomial test rejects "more than ALPHA / rules of the
-good documents exceed it", that is when P(X <= k | n, ALPHA / rules) is at most
-DELTA / (strata * rules * cutoffs): Bonferroni over every test made.  Of the
-certified cutoffs the one that rejects most junk on the first half is taken,
-each good document lost there weighing as PENALTY junk ones; a rule that gains
-nothing is left out.  Hence, with confidence 1 - DELTA, no stratum loses more
-than the share ALPHA of its good documents to the rules.
-
-Null texts have no words.  Rows repeat as they come.  A stratum (lang; null is
-one of its own) with too few labels certifies nothing and only the base rule
-holds there.  Unlabelled, doubly labelled and empty tables are no error: a
-document with both labels counts as junk in neither half.
+rejects a document whose ratio exceeds a cutoff.  Labelled texts are dealt by
+their id into two halves: one proposes, the other, the holdout, tests.
+
+1. For each stratum the first half makes a path of LEVELS, from the safest on:
+   at every level a rule's cutoff is a multiple of the largest value of a good
+   text, or an upper quantile of the good ones.  A rule takes part in a level if
+   it gains there, each good text lost weighing as PENALTY junk ones.
+2. On the holdout, each level is a hypothesis: "more than ALPHA of the stratum's
+   good documents are rejected by one or another rule of this level".  Its exact
+   binomial p-value is P(X <= k | n, ALPHA), k of n good texts being rejected.
+   Levels are tested in order and a path ends at the first that fails, so levels
+   need no correction among themselves (fixed-sequence testing).
+3. Strata share DELTA by Holm's rule: with c of m paths rejected to their ends,
+   the others are tested at DELTA / (m - c).  Hence, with confidence 1 - DELTA, in
+   no stratum does a certified level reject more than ALPHA of the good documents.
+4. Of the certified levels the one with the largest gain on the first half is
+   used; a stratum in which none gains keeps the base rule alone.  A path needs
+   ln(DELTA / m) / ln(1 - ALPHA) good holdout texts to pass its first level with
+   none rejected: 86 for four strata.
+
+Equal texts of a stratum are one piece of evidence, since the binomial test wants
+independent ones; near copies still count apart, which makes the bound a little
+too sure where they are many.  A text with both labels, on one id or on several,
+is left out.
+
+Null texts have no words.  Rows repeat as they come.  A null stratum (lang) is one
+of its own, as the empty text.  Rows with a null id are judged but bring no label.
+Columns of other names, and of the names made here, may be in the table: only those
+asked for are read.  Without labels only the base rule holds; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseek.llm import common
 
-ALPHA = 0.02
+ALPHA = 0.05
 DELTA = 0.05
 PENALTY = 10
 HOLDOUT = "(doc_id % 1000003) * 7919 % 1009 % 2 = 1"  # half of the ids, by a rule that every SQL has
-QUANTILES = (0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998, 0.999, 1.0)
-SLACK = (1.0, 1.25, 1.5)  # multiples of the largest good value, also tried
-MOST_BROADCAST = 10_000  # strata; with more, cutoffs are joined by a shuffle
+SLACK = (1.5, 1.25, 1.0)  # multiples of the largest good value: the first levels
+QUANTILES = (0.999, 0.998, 0.995, 0.99, 0.98, 0.97, 0.95, 0.9)  # of good values: the others
 SYMBOLS = "#*$%&|<>"
 RULES = {
     "symbol_ratio": "n_symbols / n_words",
@@ -68,90 +82,99 @@ def describe(
     """
     text = common.text_or_empty(text_col)
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
-    split = docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum"), text.alias("t"), *extra)
+    carried = [F.col(c).alias(f"extra_{i}") for i, c in enumerate(extra)]
+    split = docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum"), text.alias("t"), *carried)
+    held = [f"extra_{i}" for i in range(len(extra))]
     with_words = split.selectExpr(
-        *extra,
+        *held,
         "doc_id",
         "stratum",
+        "xxhash64(t) AS text_hash",
         f"""transform(array(filter(split(t, r'{common.SPACE}'), x -> x <> '')), w -> named_struct(
               'n_words', size(w), 'word_chars', length(array_join(w, '')), 'n_repeat_words', {_REPEATED}))[0] AS a""",
         f"CAST(regexp_count(t, '[{SYMBOLS}]') AS BIGINT) AS n_symbols",
         """transform(array(filter(split(t, '\\n'), x -> rlike(x, r'[^\\x20\\x09-\\x0D]'))), l -> named_struct(
               'n', size(l), 'd', size(l) - size(array_distinct(l))))[0] AS b""",
     )
+    names = [f"{h} AS `{c}`" for h, c in zip(held, extra, strict=True)]
     return with_words.selectExpr(
-        *extra, "doc_id", "stratum", "CAST(a.n_words AS BIGINT) n_words", "CAST(a.word_chars AS BIGINT) word_chars", "n_symbols",
+        *names, "doc_id", "stratum", "text_hash", "CAST(a.n_words AS BIGINT) n_words", "CAST(a.word_chars AS BIGINT) word_chars", "n_symbols",
         "CAST(b.n AS BIGINT) n_lines", "CAST(b.d AS BIGINT) n_dup_lines", "a.n_repeat_words",
         "a.n_words < 50 OR 100 * a.n_repeat_words > 50 * a.n_words AS base_failed",
     )
 
 
-def _long(feats: DataFrame, *keep: str) -> DataFrame:
-    """A row per document and rule: rule, value."""
-    pairs = ", ".join(f"'{name}', CAST(try_divide({ratio.split(' / ')[0]}, {ratio.split(' / ')[1]}) AS DOUBLE)" for name, ratio in RULES.items())
-    return feats.selectExpr(*keep, f"stack({len(RULES)}, {pairs}) AS (rule, value)")
+def _ratios() -> list[tuple[str, str]]:
+    return [(name, "CAST(try_divide({}, {}) AS DOUBLE)".format(*ratio.split(" / "))) for name, ratio in RULES.items()]
 
 
-def certified_cutoffs(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """A row per stratum and certified rule: stratum, rule, cutoff, k, n, p_value."""
-    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id"))
-    marks = marks.agg(F.min(label_col).alias("low"), F.max(label_col).alias("good")).filter("low = good").drop("low")
-    known = feats.filter("NOT base_failed").join(marks, "doc_id")
-    rows = common.stored(
-        _long(known.withColumn("holdout", F.expr(HOLDOUT)), "stratum", "holdout", "good").filter("value IS NOT NULL"),
-        "quality-labelled",
-    )
-    quantiles = ", ".join(map(str, QUANTILES))
+def _evidence(feats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """A row per labelled distinct text of a stratum: stratum, holdout, good and the rules' ratios."""
+    marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("mark"))
+    known = feats.filter("NOT base_failed").selectExpr("doc_id", "stratum", "text_hash", *[f"{r} AS {name}" for name, r in _ratios()])
+    values = [F.max(name).alias(name) for name in RULES]  # equal for equal texts
+    one = known.join(marks, "doc_id").groupBy("stratum", "text_hash")
+    one = one.agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("low"), F.max("mark").alias("good"), *values).filter("low = good")
+    return one.selectExpr("stratum", f"{HOLDOUT} AS holdout", "good", *RULES)
+
+
+def certified_levels(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """A row per stratum and level: the cutoffs max_<rule>, k, n, p_value, chain (the largest
+    p-value so far), at (what it must not exceed), certified, gain."""
+    rows = common.stored(_evidence(feats, labels, id_col, label_col), "quality-evidence")
+    first = rows.filter("NOT holdout")
+    long = first.selectExpr("stratum", "good", f"stack({len(RULES)}, {', '.join(f"'{r}', {r}" for r in RULES)}) AS (rule, value)").filter("value IS NOT NULL")
     slack = ", ".join(f"{x}D * max(value)" for x in SLACK)
-    proposed = (
-        rows.filter("NOT holdout AND good = 1")
-        .groupBy("stratum", "rule")
-        .agg(F.expr(f"array_distinct(concat(percentile_approx(value, array({quantiles})), array({slack})))").alias("cutoffs"))
-    )
-    tests = proposed.agg(F.sum(F.size("cutoffs")).alias("tests"))
-    counted = (
-        rows.join(proposed, ["stratum", "rule"])
-        .select("stratum", "rule", "holdout", "good", "value", F.explode("cutoffs").alias("cutoff"))
-        .groupBy("stratum", "rule", "cutoff")
-        .agg(
-            F.count_if(F.expr("holdout AND good = 1")).alias("n"),
-            F.count_if(F.expr("holdout AND good = 1 AND value > cutoff")).alias("k"),
-            F.count_if(F.expr("NOT holdout AND good = 0 AND value > cutoff")).alias("junk"),
-            F.count_if(F.expr("NOT holdout AND good = 1 AND value > cutoff")).alias("lost"),
-        )
+    quantiles = ", ".join(map(str, QUANTILES))
+    cutoffs = F.expr(f"concat(array({slack}), percentile_approx(value, array({quantiles})))").alias("cutoffs")
+    proposed = common.stored(long.filter("good = 1").groupBy("stratum", "rule").agg(cutoffs), "quality-cutoffs")
+    gain = f"count_if(good = 0 AND {{0}}) - {PENALTY} * count_if(good = 1 AND {{0}})"
+    alone = long.join(proposed, ["stratum", "rule"]).selectExpr("stratum", "rule", "good", "value", "posexplode(cutoffs) AS (level, cutoff)")
+    alone = alone.groupBy("stratum", "rule", "level", "cutoff").agg(F.expr(gain.format("value > cutoff")).alias("gain"))
+    path = alone.groupBy("stratum", "level").agg(*[F.max(F.when((F.col("rule") == r) & (F.col("gain") > 0), F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
+    path = common.stored(path, "quality-path")
+    over = " OR ".join(f"coalesce({r} > max_{r}, false)" for r in RULES)
+    counted = rows.join(path, "stratum").withColumn("over", F.expr(over)).groupBy("stratum", "level", *[f"max_{r}" for r in RULES])
+    counted = counted.agg(
+        F.expr("count_if(holdout AND good = 1)").alias("n"),
+        F.expr("count_if(holdout AND good = 1 AND over)").alias("k"),
+        F.expr(gain.format("NOT holdout AND over")).alias("gain"),
     )
-    rate = ALPHA / len(RULES)
-    # sum of the binomial terms 0..k, each from the last one, in logarithms; k > rate * n needs no test
-    tail = f"""CASE WHEN k > {rate}D * n THEN 1D ELSE
-        aggregate(sequence(1, greatest(k, 1)), struct(n * ln(1D - {rate}D) AS l, exp(n * ln(1D - {rate}D)) AS s),
-          (a, i) -> transform(array(a.l + ln((n - i + 1D) / i) + ln({rate}D / (1D - {rate}D))), l ->
+    # sum of the binomial terms 0..k, each from the last one, in logarithms; k > ALPHA * n needs no test
+    tail = f"""CASE WHEN n = 0 OR k > {ALPHA}D * n THEN 1D ELSE
+        aggregate(sequence(1, greatest(k, 1)), struct(n * ln(1D - {ALPHA}D) AS l, exp(n * ln(1D - {ALPHA}D)) AS s),
+          (a, i) -> transform(array(a.l + ln((n - i + 1D) / i) + ln({ALPHA}D / (1D - {ALPHA}D))), l ->
             struct(CASE WHEN i > k THEN a.l ELSE l END AS l, CASE WHEN i > k THEN a.s ELSE a.s + exp(l) END AS s))[0],
           a -> a.s) END"""
-    tested = counted.crossJoin(F.broadcast(tests)).withColumn("p_value", F.expr(tail))  # tests is one row
-    gain = F.expr(f"junk - {PENALTY} * lost")
-    best = (
-        tested.filter(F.expr(f"n > 0 AND p_value <= {DELTA}D / tests"))
-        .filter(gain > 0)
-        .groupBy("stratum", "rule")
-        .agg(F.max_by(F.struct("cutoff", "k", "n", "p_value"), F.struct(gain, "cutoff")).alias("b"))
-    )
-    return best.select("stratum", "rule", "b.*")
+    tested = common.stored(counted.withColumn("p_value", F.expr(tail)), "quality-tested")
+    so_far = Window.partitionBy("stratum").orderBy("level")  # as many rows as there are levels
+    whole = tested.groupBy("stratum").agg(F.max("p_value").alias("p")).agg(F.sort_array(F.collect_list("p")).alias("p"))  # one for each stratum
+    done = f"array_min(transform(p, (x, i) -> IF(x > {DELTA}D / (size(p) - i), i, size(p))))"
+    at = whole.selectExpr(f"{DELTA}D / greatest(size(p) - {done}, 1) AS at")
+    chained = tested.withColumn("chain", F.max("p_value").over(so_far))
+    return chained.crossJoin(F.broadcast(at)).withColumn("certified", F.expr("chain <= at"))  # at is one row
+
+
+def chosen_cutoffs(levels: DataFrame) -> DataFrame:
+    """The level used in each stratum: that of the largest gain, and of several the safest."""
+    good = levels.filter("certified AND gain > 0").withColumn("order", F.expr("struct(gain, -level)"))
+    row = F.struct("level", "k", "n", "chain", "gain", *[f"max_{r}" for r in RULES])
+    return good.groupBy("stratum").agg(F.max_by(row, "order").alias("b")).select("stratum", "b.*")
 
 
 def judge(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", extra: tuple[str, ...] = ()
 ) -> DataFrame:
-    """describe() with kept: false by the base rule or by a certified cutoff."""
-    feats = describe(docs, id_col, text_col, stratum_col, extra)
-    if not extra:  # small rows: keep them rather than count twice
-        feats = common.stored(feats, "quality-features")
-    cutoffs = certified_cutoffs(feats, labels)
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES])
-    wide = common.stored(wide, "quality-cutoffs")
-    if wide.count() <= MOST_BROADCAST:
-        wide = F.broadcast(wide)
-    over = " OR ".join(f"coalesce(try_divide({x.split(' / ')[0]}, {x.split(' / ')[1]}) > max_{r}, false)" for r, x in RULES.items())
-    return feats.join(wide, "stratum", "left").selectExpr("*", f"NOT base_failed AND NOT ({over}) AS kept")
+    """describe() with kept: false by the base rule or by a certified cutoff.
+
+    The counts are made once and written with the extra columns; all that follows
+    reads what it needs of them."""
+    feats = common.stored(describe(docs, id_col, text_col, stratum_col, extra), "quality-features")
+    cutoffs = common.stored(chosen_cutoffs(certified_levels(feats, labels)), "quality-chosen")
+    limits = cutoffs.select("stratum", *[f"max_{r}" for r in RULES])
+    over = " OR ".join(f"coalesce({ratio} > max_{r}, false)" for r, ratio in _ratios())
+    judged = feats.join(limits, "stratum", "left").withColumn("kept", F.expr(f"NOT base_failed AND NOT ({over})"))
+    return judged.drop(*[f"max_{r}" for r in RULES])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +182,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_VALUES = ", ".join(f"('{name}', {ratio.split(' / ')[0]} / nullif({ratio.split(' / ')[1]}, 0)::DOUBLE)" for name, ratio in RULES.items())
-_RATE = f"{ALPHA / len(RULES)}e0"
-_OVER = " OR ".join(f"coalesce({ratio.split(' / ')[0]} / nullif({ratio.split(' / ')[1]}, 0)::DOUBLE > max_{name}, false)" for name, ratio in RULES.items())
+_DUCK = [(name, "{} / nullif({}, 0)::DOUBLE".format(*ratio.split(" / "))) for name, ratio in RULES.items()]
+_OVER = " OR ".join(f"coalesce({{}} > max_{name}, false)" for name in RULES)
+_GAIN = f"count(*) FILTER (good = 0 AND {{0}}) - {PENALTY} * count(*) FILTER (good = 1 AND {{0}})"
 
 #: The same in DuckDB, the binomial tail by log-gamma.
 ORACLE_SQL = f"""WITH
@@ -173,21 +196,26 @@ ORACLE_SQL = f"""WITH
  r AS (SELECT doc_id, sum(least(3, p - before))::BIGINT AS n_repeat_words
    FROM (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -9) AS before FROM x WHERE often > 1) GROUP BY doc_id),
  f AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
-   SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[{SYMBOLS}]')) AS n_symbols,
+   SELECT doc_id, stratum, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[{SYMBOLS}]')) AS n_symbols,
      len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id))),
- y AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
- v AS MATERIALIZED (SELECT stratum, rule, value, {HOLDOUT} AS holdout, good
-   FROM f JOIN y USING (doc_id), LATERAL (VALUES {_VALUES}) AS q(rule, value) WHERE NOT base_failed AND value IS NOT NULL),
- o AS (SELECT stratum, rule, list_distinct(list_concat(quantile_disc(value, [{", ".join(map(str, QUANTILES))}]), [{", ".join(f"{x}e0 * max(value)" for x in SLACK)}])) AS cutoffs
-   FROM v WHERE NOT holdout AND good = 1 GROUP BY stratum, rule),
- n AS (SELECT sum(len(cutoffs)) AS tests FROM o),
- c AS (SELECT stratum, rule, cutoff, count(*) FILTER (holdout AND good = 1) AS n, count(*) FILTER (holdout AND good = 1 AND value > cutoff) AS k,
-   count(*) FILTER (NOT holdout AND good = 0 AND value > cutoff) AS junk, count(*) FILTER (NOT holdout AND good = 1 AND value > cutoff) AS lost
-   FROM v JOIN (SELECT stratum, rule, unnest(cutoffs) AS cutoff FROM o) USING (stratum, rule) GROUP BY ALL),
- p AS (SELECT c.*, tests, CASE WHEN n = 0 OR k > {_RATE} * n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-   exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) END AS p_value FROM c, n),
- b AS (SELECT stratum, rule, arg_max(cutoff, {{'gain': junk - {PENALTY} * lost, 'cutoff': cutoff}}) AS cutoff
-   FROM p WHERE n > 0 AND p_value <= {DELTA}e0 / tests AND junk - {PENALTY} * lost > 0 GROUP BY stratum, rule),
- m AS (SELECT stratum, {", ".join(f"max(cutoff) FILTER (rule = '{r}') AS max_{r}" for r in RULES)} FROM b GROUP BY stratum)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OVER}) AS kept
+ e AS MATERIALIZED (SELECT stratum, {HOLDOUT} AS holdout, good, {", ".join(RULES)} FROM (
+   SELECT stratum, min(doc_id) AS doc_id, min(quality) AS good, {", ".join(f"max({x}) AS {name}" for name, x in _DUCK)}
+   FROM f JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT base_failed GROUP BY stratum, t HAVING min(quality) = max(quality))),
+ v AS MATERIALIZED (SELECT stratum, good, rule, value FROM e, LATERAL (VALUES {", ".join(f"('{r}', {r})" for r in RULES)}) AS q(rule, value)
+   WHERE NOT holdout AND value IS NOT NULL),
+ o AS (SELECT stratum, rule, list_concat([{", ".join(f"{x}e0 * max(value)" for x in SLACK)}], quantile_disc(value, [{", ".join(map(str, QUANTILES))}])) AS cutoffs
+   FROM v WHERE good = 1 GROUP BY stratum, rule),
+ g AS (SELECT stratum, rule, level, cutoff, {_GAIN.format("value > cutoff")} AS gain
+   FROM v JOIN (SELECT stratum, rule, unnest(cutoffs) AS cutoff, generate_subscripts(cutoffs, 1) AS level FROM o) USING (stratum, rule) GROUP BY ALL),
+ h AS MATERIALIZED (SELECT stratum, level, {", ".join(f"max(cutoff) FILTER (rule = '{r}' AND gain > 0) AS max_{r}" for r in RULES)} FROM g GROUP BY stratum, level),
+ c AS (SELECT stratum, level, count(*) FILTER (holdout AND good = 1) AS n, count(*) FILTER (holdout AND good = 1 AND over) AS k, {_GAIN.format("NOT holdout AND over")} AS gain
+   FROM (SELECT e.*, level, {_OVER.format(*RULES)} AS over FROM e JOIN h USING (stratum)) GROUP BY stratum, level),
+ p AS MATERIALIZED (SELECT *, max(p_value) OVER (PARTITION BY stratum ORDER BY level) AS chain FROM (
+   SELECT c.*, CASE WHEN n = 0 OR k > {ALPHA}e0 * n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+   exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}e0) + (n - i) * ln(1 - {ALPHA}e0)))) END AS p_value FROM c)),
+ i AS (SELECT p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM (SELECT max(p_value) AS p FROM p GROUP BY stratum)),
+ u AS (SELECT {DELTA}e0 / greatest(any_value(m) - coalesce(min(i) FILTER (p > {DELTA}e0 / (m - i + 1)) - 1, any_value(m)), 1) AS bound FROM i),
+ b AS (SELECT stratum, arg_max(level, {{'gain': gain, 'level': -level}}) AS level FROM p, u WHERE chain <= bound AND gain > 0 GROUP BY stratum),
+ m AS (SELECT h.* FROM h JOIN b USING (stratum, level))
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OVER.format(*[x for _, x in _DUCK])}) AS kept
  FROM f LEFT JOIN m USING (stratum)"""

@@ -34,30 +34,70 @@ def test_counts(spark, odd_documents, no_documents):
 
 
 def test_odd_tables(spark, odd_documents, no_documents, no_labels):
-    assert quality.judge(odd_documents, no_labels).count() == odd_documents.count()
+    judged = quality.judge(odd_documents, no_labels, extra=("text", "source", "score"))
+    rows = judged.select("text", "source", "score", "n_words", "kept").collect()
+    expected = sorted((repr(r.text), counts(r.text)[0]) for r in odd_documents.collect())
+    assert sorted((repr(r.text), r.n_words) for r in rows) == expected
+    assert all(r.kept == (r.n_words >= 50 and counts(r.text)[4] * 2 <= r.n_words) and (r.source, r.score) == ("src", 0.5) for r in rows)
     assert quality.judge(no_documents, no_labels).isEmpty()
-    assert quality.judge(odd_documents, no_labels, extra=("text", "source")).filter("kept").select("text").count() >= 0
 
 
 def binomial_tail(k, n, p):
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
 
-def test_certified_cutoffs(spark):
-    """Junk is found, the bound is the exact one, and no good document of either half exceeds it too often."""
-    n = 9000
-    text = F.when(F.col("id") % 5 == 0, F.expr("repeat('word### more$$$ ', 40)")).otherwise(F.expr("concat_ws(' ', transform(sequence(1, 80), i -> concat('w', (id * 7 + i * i) % 5003)))"))
-    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
-    labels = docs.select("doc_id", (F.col("doc_id") % 5 != 0).cast("int").alias("quality"))
-    varied = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.expr("concat_ws(' ', transform(sequence(1, 80), i -> concat('w', (doc_id * 7 + i * i) % 5003, '###')))")).otherwise(F.col("text")))
-    feats = quality.describe(varied)
-    for r in quality.certified_cutoffs(feats, labels).collect():
-        tail = binomial_tail(r.k, r.n, quality.ALPHA / len(quality.RULES))
-        assert abs(tail - r.p_value) < 1e-9 and tail <= quality.DELTA
-    judged = quality.judge(varied, labels)
-    kept = {(r.bad, r.kept): r["count"] for r in judged.withColumn("bad", F.col("doc_id") % 5 == 0).groupBy("bad", "kept").count().collect()}
-    assert kept.get((True, True), 0) == 0
-    assert kept.get((False, False), 0) <= quality.ALPHA * 0.8 * n
+def words_of(seed, n=60, tail=""):
+    return " ".join(f"w{(seed * 7919 + i * i * 31) % 50021}{tail}" for i in range(n))
+
+
+def labelled(spark):
+    """Good texts of "en" with few symbols, a tenth of them with some; junk with many; "xx" has too few labels."""
+    rows, marks = [], []
+    for i in range(900):
+        junk = i % 4 == 0
+        rows.append((i, words_of(i, tail="#" if junk else "") + (" # #" if i % 10 == 1 else ""), "en"))
+        marks.append((i, int(not junk)))
+    for i in range(900, 940):
+        rows.append((i, words_of(i, tail="#" * (i % 2)), "xx"))
+        marks.append((i, int(i % 2 == 0)))
+    rows += [(1000 + i, rows[1][1], "en") for i in range(300)]  # one text: one piece of evidence
+    marks += [(1000 + i, 1) for i in range(300)]
+    marks += [(4, 1), (7, None), (None, 1)]  # both labels, and none
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
+
+
+def test_certified_levels(spark):
+    docs, labels = labelled(spark)
+    levels = quality.certified_levels(quality.describe(docs), labels).collect()
+    holdout = lambda i: i % 1000003 * 7919 % 1009 % 2 == 1
+    good = [i for i in range(900) if i % 4 and holdout(i)]
+    for own in (sorted((r for r in levels if r.stratum == s), key=lambda r: r.level) for s in ("en", "xx")):
+        worst = 0
+        for r in own:
+            assert abs(binomial_tail(r.k, r.n, quality.ALPHA) - r.p_value) < 1e-9 or (r.k > quality.ALPHA * r.n and r.p_value == 1)
+            worst = max(worst, r.p_value)
+            assert r.chain == worst and r.certified == (r.chain <= r.at)
+    assert {r.n for r in levels if r.stratum == "en"} == {len(good)}
+    assert {r.stratum for r in levels if r.certified} == {"en"}
+    assert {r.at for r in levels} == {quality.DELTA / 2}
+
+
+def test_holm_gives_on_what_a_whole_path_leaves(spark):
+    """Two strata that pass to their ends leave all of DELTA to the third."""
+    docs, labels = labelled(spark)
+    plain = [(5000 + 1000 * s + i, words_of(9000 + 1000 * s + i), "abc"[s]) for s in range(3) for i in range(400)]
+    docs, labels = docs.filter("lang = 'none'").union(spark.createDataFrame(plain, docs.schema)), spark.createDataFrame([(i, 1) for i, *_ in plain], labels.schema)
+    levels = quality.certified_levels(quality.describe(docs), labels).collect()
+    assert len({r.stratum for r in levels}) == 3 and all(r.certified for r in levels) and {r.at for r in levels} == {quality.DELTA}
+
+
+def test_judge(spark):
+    """The certified stratum loses its junk and no more than ALPHA of the good; the other keeps the base rule."""
+    docs, labels = labelled(spark)
+    judged = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert not any(judged[i] for i in range(0, 900, 4))
+    assert sum(not judged[i] for i in range(900) if i % 4) <= quality.ALPHA * 675
+    assert all(judged[i] for i in range(900, 940)) and len(judged) == docs.count()
 
 
 def brute_capacity(sizes, shards):
