@@ -2,6 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), reads all rows its predecessor kept and
 returns the columns of documents, but for the last, which returns packed pieces.
+Only those columns are read, so others may have any names.  An empty table passes
+every stage as one; rows with a null id are documents like others.
 `run` writes each stage's rows as Parquet in the shared folder and reads them
 again, so a lost executor costs no more than the stage that runs.
 """
@@ -20,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; a null text is scored as the empty one."""
     common.bound_batches(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, model, keep=tuple(COLUMNS))
@@ -28,14 +30,18 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor a certified cutoff rejects."""
+    """Documents that neither the base rule nor a certified cutoff rejects.
+
+    A null or empty text has fewer than 50 words and goes; equal rows all stay or all go."""
     common.bound_batches(spark)
     judged = quality.judge(docs, common.table(spark, sf_dir, "labels"), extra=tuple(c for c in COLUMNS if c != "doc_id"))
     return judged.filter("kept").select(*COLUMNS)
 
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that of the least id."""
+    """One document of each class of near copies: that of the least id, a null id coming last.
+
+    Texts without words are each a class of their own and stay; of equal rows one stays."""
     common.bound_batches(spark)
     classes = ngram_join.join_classes(docs.select("doc_id", "text"))
     firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.xxhash64("doc_id", "text_hash").alias("row_key"))
@@ -46,7 +52,7 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; those left empty go.
 
-    A character that a cut would halve goes with it."""
+    A character that a cut would halve goes with it.  Texts that were null or empty before stay, as empty ones."""
     common.bound_batches(spark)
     cut = suffix_dedup.remove_repeats(docs, extra=("lang", "source"))
 
@@ -62,7 +68,7 @@ def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences, with their ids."""
+    """The pieces of all sequences, with their ids; a null text is the end id alone."""
     common.bound_batches(spark)
     import public_tokenizers
 
