@@ -331,6 +331,92 @@ def test_small_crops_in_both_orders(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def brute_links(rows):
+    """All pairs of images, all pairs of their corners, one vote per corner and move."""
+    found, files = set(), {i: x[8:] for (i, _), x in zip(rows, media.describe([image for _, image in rows]), strict=True) if x}
+    held = {i: np.frombuffer(x, media.CORNER) for i, x in files.items()}
+    width = media.BITS // 8
+    for a, b in itertools.combinations(sorted(held), 2):
+        x, y = held[b], held[a]
+        if dict(rows)[a] == dict(rows)[b]:
+            found.add((b, a))
+            continue
+        votes = collections.defaultdict(set)
+        for i, j in itertools.product(range(len(x)), range(len(y))):
+            p, q = x["bits"][i], y["bits"][j]
+            parts = [slice(width * t // media.TABLES, width * (t + 1) // media.TABLES) for t in range(media.TABLES)]
+            if not any((p[s] == q[s]).all() for s in parts) or np.unpackbits(p ^ q).sum() > media.DIFFER:
+                continue
+            step, turn = int(x["level"][i]) - int(y["level"][j]), (int(x["turn"][i]) - int(y["turn"][j])) % media.TURNS
+            c, s = math.cos(2 * math.pi * turn / media.TURNS) * 2.0**step, math.sin(2 * math.pi * turn / media.TURNS) * 2.0**step
+            dx, dy = x["x"][i] - c * y["x"][j] + s * y["y"][j], x["y"][i] - s * y["x"][j] - c * y["y"][j]
+            for ox, oy in itertools.product((0, 0.5), repeat=2):
+                votes[step, turn, ox, oy, math.floor(dx / media.SHIFT + ox), math.floor(dy / media.SHIFT + oy)].add(i)
+        if max(map(len, votes.values()), default=0) >= max(media.MATCHES, media.SHARE * min(len(x), len(y))):
+            found.add((b, a))
+    return found
+
+
+def edited_pictures():
+    rng, base = np.random.default_rng(3), pictures(6)
+    rows = [(i, p) for i, p in enumerate(base)]
+    for i, p in enumerate(base):
+        rows += [(10 + i, p[: len(p) // 2]), (20 + i, np.clip(p + rng.normal(0, 6, p.shape), 0, 255)), (30 + i, np.rot90(p)), (40 + i, np.vstack([base[(i + 1) % 6][:16], p]))]
+    return [(i, media.write_pgm(p.astype(np.uint8))) for i, p in rows] + [(50, media.write_pgm(base[2]))]
+
+
+def test_links_against_all_pairs(spark):
+    rows = edited_pictures()
+    expected = brute_links(rows)
+    assert len(expected) > 40
+    out = media.copy_classes(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()
+    both = collections.Counter(i for pair in expected for i in pair)
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for b, a in expected:
+            root[a] = root[b] = min(root[a], root[b])
+    # 50 and 2 are one file: the other members of their class may be linked to either or both
+    assert {r.image_id: r.class_id for r in out} == root
+    assert {r.image_id: r.n_links for r in out} == {i: both[i] for i, _ in rows}
+
+
+def test_an_image_of_smaller_id_with_the_same_patches_elsewhere(spark, monkeypatch):
+    """Two copies are linked whatever else their groups hold."""
+    rng = np.random.default_rng(1)
+    corners = np.zeros(40, media.CORNER)
+    corners["x"], corners["y"], corners["bits"] = rng.integers(0, 2000, 40), rng.integers(0, 2000, 40), rng.integers(0, 256, (40, 16))
+    elsewhere = corners.copy()
+    elsewhere["x"], elsewhere["y"] = rng.integers(0, 60000, 40), rng.integers(0, 60000, 40)
+    rows = [(i, bytes([i] * 8) + c.tobytes()) for i, c in ((1, elsewhere), (2, corners), (3, corners))]
+    got = {r.image_id: (r.class_id, r.n_links) for r in media._classes(spark.createDataFrame(rows, "doc_id long, text binary")).collect()}
+    assert got == {1: (1, 0), 2: (2, 1), 3: (2, 1)}
+
+
+def test_large_groups_have_a_first_few(monkeypatch):
+    """Each entry meets the first MEMBERS images of its group and no other; a match is told once."""
+    n = 100
+    keys, ids, places = np.zeros(n, np.uint64), np.arange(n), np.zeros(n, np.uint64)
+    entry, other = media.matches(keys, ids, places, np.zeros((n, 2), np.uint64))
+    assert sorted(zip(entry.tolist(), other.tolist(), strict=True)) == [(e, o) for e in range(n) for o in range(min(e, media.MEMBERS))]
+    entry, other = media.matches(keys, ids, places + np.uint64(1 << 48), np.zeros((n, 2), np.uint64))
+    assert not len(entry)  # the first table told it
+    far = np.zeros((n, 2), np.uint64)
+    far[1::2] = ~np.uint64(0)
+    entry, other = media.matches(keys, ids, places, far)
+    assert (entry % 2 == other % 2).all() and len(entry)
+
+
+def test_media_odd(spark):
+    """Null and repeated ids, a very large picture, columns of clashing names."""
+    rng = np.random.default_rng(0)
+    large = media.write_pgm(rng.integers(0, 255, (3000, 90)).astype(np.uint8))
+    rows = [(None, large), (1, large), (1, large), (2, None), (2, b"P5 9 9 255 x"), (None, None), (3, b"")]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "id long, image binary, text string, doc_id int, block long")
+    got = sorted(repr((r.image_id, r.class_id, r.n_links)) for r in media.copy_classes(df, "id", "image").collect())
+    assert got == sorted(map(repr, [(None, None, 1), (1, None, 1), (1, None, 1), (2, 2, 0), (2, 2, 0), (None, None, 1), (3, 3, 0)]))
+    assert media.copy_classes(df.limit(0), "id", "image").isEmpty()
+
+
 def test_links_count_for_both_images(spark):
     df = spark.createDataFrame([*small_crops(), (90, None)], "id long, image binary")
     got = {r.image_id: r.n_links for r in media.copy_classes(df, "id", "image").collect()}
