@@ -89,6 +89,11 @@ def predicate(node: q.Node, at: Callable[[str], Column], n_tok: Column) -> Colum
     raise TypeError(node)
 
 
+def matches_without(node: q.Node) -> bool:
+    """Whether a document that holds none of the query's words can satisfy it."""
+    return evaluate(node, ["\0"])
+
+
 def evaluate(node: q.Node, tokens: list[str]) -> bool:
     """The same over a list of tokens, in plain Python: the tests' second opinion (IR-13)."""
     places: dict[str, list[int]] = {}
