@@ -25,7 +25,7 @@ PAIRS = "q_id long, vec_id long, distance double"
 
 def pick_queries(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """VEC-2: n rows in the order of a hash, so the same each time."""
-    return vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n)
+    return vectors.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "vec_id").cast("binary")), "vec_id").limit(n)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -141,59 +141,81 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hit.agg(F.count("*").alias("hits")).crossJoin(F.broadcast(n)).select((F.col("hits") / (F.col("nq") * k)).alias("recall"))  # one row each
 
 
+WORD = 64  # bits of one number of a code
+
+
 def projection(dim: int, bits: int) -> list[list[int]]:
     """Fixed integer directions from a rule, so that SQL can state them too."""
     return [[(i * 7919 + j * 104729 + i * j * 31) % 2001 - 1000 for j in range(dim)] for i in range(bits)]
 
 
-def sign_code(embedding: Column, dim: int, bits: int = 64) -> Column:
-    """VEC-6: the signs of the projections in one BIGINT."""
-    planes = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in projection(dim, bits)])
+def sign_code(embedding: Column, dim: int, bits: int = WORD) -> Column:
+    """VEC-6: the signs of the projections, WORD in each BIGINT of an array."""
 
     def dot(row: Column) -> Column:
         return F.aggregate(F.zip_with(embedding, row, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, v: a + v)
 
-    return F.aggregate(
-        F.transform(planes, lambda row, i: F.when(dot(row) >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
-        F.lit(0).cast("long"),
-        lambda a, v: a.bitwiseOR(v),
-    )
+    def word(rows: list[list[int]]) -> Column:
+        planes = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in rows])
+        return F.aggregate(
+            F.transform(planes, lambda row, i: F.when(dot(row) >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
+            F.lit(0).cast("long"),
+            lambda a, v: a.bitwiseOR(v),
+        )
+
+    rows = projection(dim, bits)
+    return F.array(*[word(rows[a : a + WORD]) for a in range(0, bits, WORD)])
+
+
+def sign_codes(vectors: DataFrame, dim: int, bits: int = WORD) -> DataFrame:
+    """VEC-6, the index: (vec_id, embedding) with the code of each vector as its embedding."""
+    return vectors.select("vec_id", sign_code(F.col("embedding"), dim, bits).alias("embedding"))
 
 
-def by_hamming(vectors: DataFrame, queries: DataFrame, k: int, dim: int, bits: int = 64) -> DataFrame:
-    """VEC-6: the k least Hamming distances of sign codes; ties by id."""
-    coded = vectors.select("vec_id", sign_code(F.col("embedding"), dim, bits).alias("code"))
-    asked = queries.select("vec_id", F.array(sign_code(F.col("embedding"), dim, bits)).alias("embedding"))
+def _words(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.reshape(len(column), -1).view(np.uint64) if len(column) else np.zeros((0, 1), np.uint64)
+
+
+def by_code(coded: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """VEC-6, the search: the k least Hamming distances between sign_codes(); ties by id."""
 
     def parts() -> Iterator[DataFrame]:
         ids, codes = [], []
         for row in asked.toLocalIterator():
             ids.append(row[0])
-            codes.append(row[1][0])
+            codes.append(row[1])
             if len(ids) == QUERY_BLOCK:
-                yield block(np.array(ids, dtype=np.int64), np.array(codes, dtype=np.int64))
+                yield block(np.array(ids, dtype=np.int64), np.array(codes, dtype=np.int64).view(np.uint64))
                 ids, codes = [], []
         if ids:
-            yield block(np.array(ids, dtype=np.int64), np.array(codes, dtype=np.int64))
+            yield block(np.array(ids, dtype=np.int64), np.array(codes, dtype=np.int64).view(np.uint64))
 
     def block(q_ids: np.ndarray, q: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(len(q_ids), k)
             for batch in batches:
-                codes, ids = batch.column("code").to_numpy(), batch.column("vec_id").to_numpy()
-                for a in range(0, len(codes), 4096):
-                    d = np.bitwise_count(q[:, None].view(np.uint64) ^ codes[a : a + 4096].view(np.uint64))
-                    best.add(d.astype(np.float64), ids[a : a + 4096])
+                codes, ids = _words(batch.column("embedding")), batch.column("vec_id").to_numpy()
+                for a in range(0, len(codes), 1024):
+                    part = codes[a : a + 1024]
+                    d = np.zeros((len(q), len(part)))
+                    for w in range(q.shape[1]):
+                        d += np.bitwise_count(q[:, w, None] ^ part[:, w])
+                    best.add(d, ids[a : a + 1024])
             yield best.rows(q_ids)
 
-        return coded.mapInArrow(run, PAIRS)
+        return coded.select("vec_id", "embedding").mapInArrow(run, PAIRS)
 
     found = list(parts())
     if not found:
-        return merged(vectors.sparkSession.createDataFrame([], PAIRS), k)
+        return merged(coded.sparkSession.createDataFrame([], PAIRS), k)
     return merged(reduce(DataFrame.unionByName, found), k)
 
 
+def by_hamming(vectors: DataFrame, queries: DataFrame, k: int, dim: int, bits: int = WORD) -> DataFrame:
+    return by_code(sign_codes(vectors, dim, bits), sign_codes(queries, dim, bits), k)
+
+
 def k_means(x: np.ndarray, n: int, rounds: int = 12, seed: int = 42) -> np.ndarray:
     """Centroids of a sample: Lloyd's rounds from random rows; an empty one keeps its place."""
     rng = np.random.default_rng(seed)
@@ -299,7 +321,26 @@ class IvfPq:
 
 
 class Graph:
-    """A navigable small-world graph over one partition's vectors (VEC-4), in layers."""
+    """A navigable small-world graph over some vectors (VEC-4), in layers."""
+
+    @staticmethod
+    def restored(x: np.ndarray, entry: int, layers: list[tuple[bytes, bytes, bytes]]) -> Graph:
+        """The graph that stored() has taken apart."""
+        self = object.__new__(Graph)
+        self.x, self.entry, self.top, self.layers = x, entry, len(layers) - 1, []
+        for parts in layers:
+            nodes, ends, links = (np.frombuffer(p, "<i4") for p in parts)
+            self.layers.append({int(i): own.tolist() for i, own in zip(nodes, np.split(links, ends[:-1]), strict=True)} if len(nodes) else {})
+        return self
+
+    def stored(self) -> list[tuple[bytes, bytes, bytes]]:
+        """Of each layer the nodes, the end of each one's links, and the links."""
+        out = []
+        for layer in self.layers[: self.top + 1]:
+            links = [np.array(own, dtype="<i4") for own in layer.values()]
+            ends = np.cumsum([len(x) for x in links]).astype("<i4")
+            out.append((np.array(list(layer), dtype="<i4").tobytes(), ends.tobytes(), np.concatenate([*links, np.zeros(0, "<i4")]).astype("<i4").tobytes()))
+        return out
 
     def __init__(self, x: np.ndarray, links: int, width: int, seed: int = 42):
         self.x, self.links, self.width = x, links, width
@@ -371,39 +412,68 @@ class Graph:
         return self._walk(q, starts, max(width, k), 0)[:k]
 
 
-GRAPH_ROWS = 20_000  # vectors of one graph; a partition with more builds several
+GRAPH_ROWS = 4096  # vectors of one graph; all tables are cut into graphs of about this size, by a hash of the id
+GRAPHS = "graph int, entry int, ids binary, vectors binary, layers array<struct<nodes: binary, ends: binary, links: binary>>"
 
 
-def by_graph(vectors: DataFrame, queries: DataFrame, k: int, links: int = 16, build: int = 100, width: int = 100) -> DataFrame:
-    """VEC-4: each task builds graphs over its rows, all are asked, the best are merged."""
+def build_graphs(vectors: DataFrame, path: str, links: int = 16, build: int = 100) -> DataFrame:
+    """VEC-4, the index: a row per graph, written to `path`; links and build are M and efConstruction.
+
+    A graph holds its own vectors (4 bytes a number) and needs no other table."""
+    n = max(1, -(-vectors.count() // GRAPH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            x, ids = np.concatenate([matrix(b.column("embedding")) for b in held]), np.concatenate([b.column("vec_id").to_numpy() for b in held])
+            graph = Graph(x, links, build)
+            layers = [dict(zip(("nodes", "ends", "links"), parts, strict=True)) for parts in graph.stored()]
+            row = {"graph": held[0].column("graph")[0].as_py(), "entry": graph.entry, "ids": ids.astype("<i8").tobytes(), "vectors": x.astype("<f4").tobytes(), "layers": layers}
+            kinds = pa.schema([("graph", pa.int32()), ("entry", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("layers", pa.list_(pa.struct([(n, pa.binary()) for n in ("nodes", "ends", "links")])))])
+            return pa.RecordBatch.from_pylist([row], kinds)
+
+        for batch in batches:
+            cuts = [0, *(np.flatnonzero(np.diff(batch.column("graph").to_numpy())) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    part = batch.slice(a, b - a)
+                    if held and held[0].column("graph")[0] != part.column("graph")[0]:
+                        yield done()
+                        held = []
+                    held.append(part)
+        if held:
+            yield done()
+
+    dealt = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("graph"))
+    rows = dealt.repartition(n, "graph").sortWithinPartitions("graph", "vec_id").mapInArrow(run, GRAPHS)
+    rows.write.mode("overwrite").parquet(path)
+    return vectors.sparkSession.read.schema(GRAPHS).parquet(path)
+
+
+def by_graphs(graphs: DataFrame, queries: DataFrame, k: int, width: int = 100) -> DataFrame:
+    """VEC-4, the search: every graph is asked, the best are merged; width is efSearch."""
 
     def block(q_ids: np.ndarray, q: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            xs, ids, n = [], [], 0
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ids = np.frombuffer(row["ids"], "<i8")
+                    x = np.frombuffer(row["vectors"], "<f4").astype(np.float64).reshape(len(ids), -1)
+                    graph = Graph.restored(x, row["entry"], [(p["nodes"], p["ends"], p["links"]) for p in row["layers"]])
+                    best = [(q_id, int(ids[i]), d) for q_id, v in zip(q_ids.tolist(), q, strict=True) for d, i in graph.search(v, k, width)]
+                    a, b, c = zip(*best, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["q_id", "vec_id", "distance"])
 
-            def ask() -> pa.RecordBatch:
-                graph = Graph(np.concatenate(xs), links, build)
-                names, best = np.concatenate(ids), []
-                for q_id, v in zip(q_ids.tolist(), q, strict=True):
-                    best += [(q_id, int(names[i]), d) for d, i in graph.search(v, k, width)]
-                a, b, c = zip(*best, strict=True)
-                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["q_id", "vec_id", "distance"])
+        return graphs.mapInArrow(run, PAIRS)
 
-            for batch in batches:
-                if not len(batch):
-                    continue
-                xs.append(matrix(batch.column("embedding")))
-                ids.append(batch.column("vec_id").to_numpy())
-                n += len(batch)
-                if n >= GRAPH_ROWS:
-                    yield ask()
-                    xs, ids, n = [], [], 0
-            if n:
-                yield ask()
+    return merged(_in_blocks(queries, block, graphs.sparkSession), k)
 
-        return vectors.select("vec_id", "embedding").mapInArrow(run, PAIRS)
 
-    return merged(_in_blocks(queries, block, vectors.sparkSession), k)
+def graph_bytes(graphs: DataFrame) -> int:
+    """SRC-9: bytes of all graphs, as they are stored before compression."""
+    links = F.aggregate("layers", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["nodes"]) + F.octet_length(x["ends"]) + F.octet_length(x["links"]))
+    return graphs.agg(F.coalesce(F.sum(F.octet_length("ids") + F.octet_length("vectors") + links), F.lit(0))).first()[0]
 
 
 def usable_lists(n: int, lists: list[int]) -> list[int]:
