@@ -17,10 +17,14 @@ def _size(name: str):
     return lambda s, d: codecs.list_sizes(_gaps(s, d)).select("term", "values", F.col(name).alias("bytes"))
 
 
-def _round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Postings encoded in version 4 and decoded."""
-    out = codecs.decode_index(codecs.encode_index(text._index(spark, d)))
-    return out.select("term", "doc_id", "tf", F.array_join(F.col("poss").cast("array<string>"), ",").alias("poss"))
+def _round_trip(version: int):
+    """Postings encoded in a version and decoded."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        out = codecs.decode_index(codecs.encode_index(text._index(spark, d), version))
+        return out.select("term", "doc_id", "tf", F.array_join(F.col("poss").cast("array<string>"), ",").alias("poss"))
+
+    return query
 
 
 QUERIES = {
@@ -29,7 +33,9 @@ QUERIES = {
     "bitpack_bytes": _size("bitpack"),
     "pfordelta_bytes": _size("pfordelta"),
     "codec_breakdown": lambda s, d: codecs.breakdown(codecs.list_sizes(_gaps(s, d))),
-    "codec_round_trip": _round_trip,
+    "codec_round_trip": _round_trip(4),
+    **{f"codec_round_trip_v{n}": _round_trip(n) for n in (1, 2, 3)},
+    "codec_payload": lambda s, d: codecs.payload_bytes(text._index(s, d)),
 }
 
 _BITS = "CASE WHEN gap = 0 THEN 0 ELSE length(bin(gap)) END"
@@ -55,3 +61,4 @@ ORACLE_SQL = {
  count(*) FILTER (pfordelta = bitpack) AS ties FROM sizes""",
     "codec_round_trip": text.ORACLE_SQL["postings"],
 }
+ORACLE_SQL |= {f"codec_round_trip_v{n}": ORACLE_SQL["codec_round_trip"] for n in (1, 2, 3)}

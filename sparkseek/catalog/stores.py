@@ -39,7 +39,21 @@ def _in_order(spark: SparkSession, d: str) -> DataFrame:
     return kv.merge_in_order(_log(spark, d), lambda old, new: old / 2 + new).select("key", F.round("value", 4).alias("value"))
 
 
+def _put(spark: SparkSession, d: str) -> DataFrame:
+    """A second value for some keys, first ones for new keys, and a log that was reset before."""
+    rows = table(spark, d, "customer").selectExpr("c_custkey AS key", "CAST(c_custkey % 7 AS BIGINT) + (1L << 41) AS seq", "c_acctbal AS value").filter("key % 3 = 0")
+    return kv.latest(kv.put(_log(spark, d), rows))
+
+
+def _reset(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey AS key", "s_suppkey AS seq", "s_acctbal AS value")
+    return kv.latest(kv.put(kv.reset(_log(spark, d)), rows))
+
+
 QUERIES = {
+    "kv_put": _put,
+    "kv_reset": _reset,
+    "map_size": lambda s, d: s.range(1).select(F.lit(kv.size(kv.latest(_log(s, d)))).cast("long").alias("n")),
     "kv_latest": lambda s, d: kv.latest(_log(s, d)),
     "kv_get": lambda s, d: kv.get(_log(s, d), table(s, d, "customer").selectExpr("c_custkey AS key")),
     "kv_after_delete": _after_delete,
@@ -54,6 +68,10 @@ _LATEST = """l AS (SELECT user_id AS key, event_id AS seq, value, event_type = '
 _DICT = "k AS (SELECT CAST(c_custkey AS VARCHAR) AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer)"
 
 ORACLE_SQL = {
+    "kv_put": f"""WITH {_LATEST}, p AS (SELECT c_custkey AS key, (c_custkey % 7) + (1::BIGINT << 41) AS seq, c_acctbal AS value FROM customer WHERE c_custkey % 3 = 0)
+ SELECT key, seq, value FROM n WHERE NOT gone AND key NOT IN (SELECT key FROM p) UNION ALL SELECT key, seq, value FROM p""",
+    "kv_reset": "SELECT s_suppkey AS key, s_suppkey AS seq, s_acctbal AS value FROM supplier",
+    "map_size": f"WITH {_LATEST} SELECT count(*) AS n FROM n WHERE NOT gone",
     "kv_latest": f"WITH {_LATEST} SELECT key, seq, value FROM n WHERE NOT gone",
     "kv_get": f"""WITH {_LATEST} SELECT c.key, n.key IS NOT NULL AS found, n.value
  FROM (SELECT DISTINCT c_custkey AS key FROM customer) c LEFT JOIN (SELECT * FROM n WHERE NOT gone) n ON c.key = n.key""",

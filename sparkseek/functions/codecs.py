@@ -285,3 +285,25 @@ def decode_index(coded: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["term", "doc_id", "tf", "poss"])
 
     return coded.select("term", "code").mapInArrow(run, "term string, doc_id long, tf long, poss array<int>")
+
+
+def payload_bytes(postings: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """COD-8, SRC-11: a row per container version: its bytes for all postings, in KB too, and their share of plain ones.
+
+    All versions are encoded in one pass over the lists; files.write_tsv writes the table."""
+    lists = postings.groupBy("term", F.floor(F.col("doc_id") / chunk).alias("part")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "poss"))).alias("list"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, plain = dict.fromkeys(VERSIONS, 0), 0
+        for batch in batches:
+            for r in batch.column("list").to_pylist():
+                docs, poss = [x["doc_id"] for x in r], [x["poss"] for x in r]
+                plain += 4 * sum(2 + len(p) for p in poss)  # four bytes for each document, count and position
+                for version in VERSIONS:
+                    sums[version] += len(encode_postings(docs, poss, version))
+        rows = [pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64()), pa.array([plain] * len(sums), pa.int64())]
+        yield pa.RecordBatch.from_arrays(rows, ["version", "bytes", "plain"])
+
+    each = lists.select("list").mapInArrow(run, "version int, bytes long, plain long").groupBy("version")
+    total = each.agg(F.sum("bytes").alias("bytes"), F.sum("plain").alias("plain"))
+    return total.select("version", "bytes", (F.col("bytes") / 1024).alias("kb"), F.expr("try_divide(bytes, plain)").alias("ratio"))

@@ -8,12 +8,16 @@ task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkseek.sources import shared
+
 MAX_VALUE = 1 << 20
+LOG_COLUMNS = ["key", "seq", "value", "is_tombstone"]
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3  # fixed: FNV-1a, 64 bits
 
 
@@ -65,9 +69,19 @@ def fnv1a(data: bytes) -> int:
 
 def save_log(log: DataFrame, table: str, buckets: int = 64) -> None:
     """SRC-7: a table bucketed and sorted by key, so that later joins on it need no shuffle."""
-    if buckets & (buckets - 1):
+    if buckets < 1 or buckets & (buckets - 1):
         raise ValueError("the number of buckets must be a power of two")
-    log.write.mode("append").bucketBy(buckets, "key").sortBy("key", "seq").format("parquet").saveAsTable(table)
+    log.select(LOG_COLUMNS).write.mode("append").bucketBy(buckets, "key").sortBy("key", "seq").format("parquet").saveAsTable(table)
+
+
+def open_log(spark: SparkSession, table: str) -> DataFrame:
+    """SRC-7: a saved log; an unknown table or one that is no log is an error."""
+    if not spark.catalog.tableExists(table):
+        raise FileNotFoundError(table)
+    log = spark.table(table)
+    if log.columns != LOG_COLUMNS:
+        raise ValueError(f"{table} is no log: it has {log.columns}")
+    return log
 
 
 def merge(old: DataFrame, new: DataFrame, combine: Callable[[Column], Column] = F.sum) -> DataFrame:
@@ -105,8 +119,12 @@ def build_dictionary(keys: DataFrame, order: str = "ordinal") -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: str) -> DataFrame:
-    """Adds rank, from 1 in ascending order of a column: in ranges, then over them."""
+    """Adds rank, from 1 in ascending order of a column: in ranges, then over them.
+
+    The ranges are written once to the shared folder: counts and ranks then see the
+    same ones, whatever is computed again after an executor was lost."""
     ranges = rows.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id())
+    ranges = shared.stored(ranges, f"{shared.shared_root(rows.sparkSession)}/ranges-{uuid.uuid4().hex}")
     counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))  # a row per range
     own = F.row_number().over(Window.partitionBy("_range").orderBy(order))

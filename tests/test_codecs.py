@@ -47,3 +47,17 @@ def test_sizes_and_seams(spark):
             assert (r.varint, r.bitpack, r.pfordelta) == tuple(len(f(v)) for f in (codecs.encode_varint, codecs.encode_bitpack, codecs.encode_pfordelta))
     back = codecs.decode_index(codecs.encode_index(index, chunk=500))
     assert sorted(map(tuple, back.collect())) == sorted((r.term, r.doc_id, r.tf, r.poss) for r in index.collect())
+
+
+def test_payload(spark):
+    docs = spark.createDataFrame([(i, "a b a" if i % 3 else "a c") for i in range(300)], "doc_id long, text string")
+    index = t.postings(t.tokenized(docs))
+    lists = {}
+    for r in index.orderBy("term", "doc_id").collect():
+        own = lists.setdefault(r.term, ([], []))
+        own[0].append(r.doc_id)
+        own[1].append(r.poss)
+    plain = sum(4 * (2 + len(p)) for _, poss in lists.values() for p in poss)
+    for r in codecs.payload_bytes(index).collect():
+        size = sum(len(codecs.encode_postings(*own, r.version)) for own in lists.values())
+        assert (r.bytes, r.kb, r.ratio) == (size, size / 1024, size / plain)

@@ -94,3 +94,27 @@ def test_stream(spark, tmp_path):
     run()
     assert {r.key: r.value for r in upsert.live(spark, out).collect()} == {"b": "y", "c": "z"}
     assert upsert.live(spark, str(tmp_path / "none")) is None
+
+
+def test_saved_log(spark):
+    """A log written in two goes, opened again, and what is no log."""
+    log = spark.createDataFrame([("a", 1, "x", False), ("b", 2, "y", False)], "key string, seq long, value string, is_tombstone boolean")
+    kv.save_log(log, "saved_log", 4)
+    kv.save_log(kv.delete(kv.empty(spark), spark.createDataFrame([("a", 3)], "key string, seq long")), "saved_log", 4)
+    again = kv.open_log(spark, "saved_log")
+    assert [(r.key, r.seq, r.value) for r in kv.latest(again).collect()] == [("b", 2, "y")]
+    assert "Exchange" not in kv.latest(again)._jdf.queryExecution().sparkPlan().toString()
+    with pytest.raises(ValueError):
+        kv.save_log(log, "other_log", 3)
+    with pytest.raises(FileNotFoundError):
+        kv.open_log(spark, "no_such_log")
+    spark.range(3).write.mode("overwrite").saveAsTable("no_log")
+    with pytest.raises(ValueError):
+        kv.open_log(spark, "no_log")
+
+
+def test_iterate_and_buckets(spark):
+    rows = kv.iterate(spark.range(100))
+    assert [next(rows)[0] for _ in range(3)] == [0, 1, 2]
+    got = spark.range(1000).select(kv.bucket(F.col("id"), 16).alias("b")).groupBy("b").count().collect()
+    assert {r.b for r in got} == set(range(16)) and max(r["count"] for r in got) < 120

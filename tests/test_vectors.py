@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkseek.functions import geo
 from sparkseek.operators import vectors as v
 from sparkseek.sources import fvecs, generators
 
@@ -118,6 +119,15 @@ def test_generators(spark):
     assert all(len(x) >= 96 for x in texts) and texts == [r.text for r in generators.documents(spark, 20).collect()]
     assert generators.points(spark, 100).filter("abs(lat) > 85 or abs(lng) > 180").isEmpty()
     assert generators.key_values(spark, 10).count() == 10
+    docs = generators.documents(spark, 50)
+    near = {r.doc_id - (1 << 40): r.text.split() for r in generators.near_texts(docs, 0.2).collect()}
+    same = [sum(a == b for a, b in zip(r.text.split(), near[r.doc_id], strict=True)) / len(near[r.doc_id]) for r in docs.collect()]
+    assert 0.7 < sum(same) / len(same) < 0.95
+    assert generators.domain_keys(spark, 200).distinct().count() == 200
+    here = generators.points(spark, 200)
+    moved = {r.id.removesuffix("~near"): r for r in generators.near_points(here, 2.0).collect()}
+    both = spark.createDataFrame([(r.lat, r.lng, moved[r.id].lat, moved[r.id].lng) for r in here.collect()], "a double, b double, c double, d double")
+    assert both.filter(geo.distance_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")) > 2.01).isEmpty()
 
 
 def test_benchmark(spark, tmp_path, capsys):
