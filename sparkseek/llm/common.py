@@ -1,34 +1,29 @@
 """What the training-data operators share: work folders, files and columns.
 
 Work files live under ``spark.checkpoint.dir``, the one folder that driver and
-executors share.  When it is unset (tests, a laptop) a temporary folder is set.
+executors share.  When it is unset a temporary folder is used if all runs in one
+process (tests, a laptop), and on a cluster an error is raised.
 Every write is to a new name and renamed when complete, so a task that runs
 again after an executor was lost replaces its own file and nothing else.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_ROOT: dict[str, str] = {}  # by application, where the cluster names no folder
+from sparkseek.sources import shared
+
 _MADE: list[str] = []  # work folders of this process
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder as a full URI; only where none is named is a local one set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_ROOT:
-            _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="sparkseek-")
-            spark.sparkContext.setCheckpointDir(_OWN_ROOT[app])
-        root = _OWN_ROOT[app]
+    """The shared folder as a full URI."""
+    root = shared.shared_root(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     scheme, _, rest = full.partition(":")

@@ -7,10 +7,12 @@ that also starts in a document of a smaller id.
    Blocks of documents ask, for each distinct hash they hold, whether another
    document has it; runs of all other hashes repeat nowhere and are dropped.
 2. Suffixes.  The bytes under a run that is left are a string.  Blocks send each
-   distinct string once with the least id that has it.  All strings of a bucket
-   of hashes form a collection whose Burrows-Wheeler transform and common
-   prefixes are built column by column (bwt.py).  Suffixes between which no
-   common prefix is below LENGTH begin with the same window; the least id among
+   distinct string once with the least id that has it.  Within a bucket of hashes,
+   strings that have the bytes beside the piece in common are tied; what is tied,
+   directly or through others, stays together, so a common piece in many
+   surroundings falls apart.  Collections of such strings get their Burrows-Wheeler
+   transform and common prefixes column by column (bwt.py).  Suffixes between which
+   no common prefix is below LENGTH begin with the same window; the least id among
    them decides which windows of which string are repeats.
 3. A block gets a bit per window back, and cuts.
 
@@ -38,7 +40,7 @@ from sparkseek.llm import blocks, bwt, common, lm
 LENGTH = 50
 K = 20
 SIDE = (LENGTH - K) // 2
-COLLECTION = 2048  # strings ordered together, unless more have one hash
+COLLECTION = 2048  # strings ordered together, unless more are tied to each other
 BLOCK = 8 << 20  # bytes of text in a block
 RUN = 64  # windows of one string at most; longer runs are cut
 CHUNK = 1 << 20  # windows looked at together
@@ -208,7 +210,7 @@ def ask_strings(n_buckets: int):
 
 
 def comparable(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Strings that may share a window with another one, and the hash each is filed under.
+    """Strings that may share a window with another one, and the first string each is tied to.
 
     A window has SIDE bytes at least before or after the piece it is filed under.
     So two strings can only share one if they have the piece with SIDE bytes before
@@ -222,31 +224,44 @@ def comparable(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     least = np.minimum.reduceat(hashes[at], np.cumsum(lengths - K + 1) - (lengths - K + 1))
     hit = hashes[at] == least[of]
     where, owner = at[hit], of[hit]
-    out = np.zeros(n, dtype=bool)
+    ties = []
     eight = np.ndarray(len(flat), dtype="<u8", buffer=np.concatenate([flat, np.zeros(8, np.uint8)]), strides=(1,))
     mult = np.uint64(0xBF58476D1CE4E5B9)
     for begin, fits in ((where - SIDE, where - SIDE >= starts[owner]), (where + K, where + K + SIDE <= starts[owner + 1])):
         own, a = owner[fits], begin[fits]
         key = (least[own] ^ (eight[a] * mult)) * mult
         key = (key ^ (key >> np.uint64(31)) ^ (eight[a + SIDE - 8] * mult)) * mult
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        out[own[count[inverse] > 1]] = True
-    return out, least
+        ties.append((own, np.unique(key, return_inverse=True)[1]))
+    (a, ka), (b, kb) = ties
+    owner, key = np.concatenate([a, b]), np.concatenate([ka, kb + (ka.max() + 1 if len(ka) else 0)])
+    top, size = np.arange(n), np.bincount(key)
+    owner, key = owner[size[key] > 1], key[size[key] > 1]
+    some = np.zeros(n, dtype=bool)
+    some[owner] = True
+    while True:  # the least label of all that share a key, then that label's own label
+        best = np.full(len(size), n)
+        np.minimum.at(best, key, top[owner])
+        new = top.copy()
+        np.minimum.at(new, owner, best[key])
+        new = new[new]
+        if (new == top).all():
+            return some, top
+        top = new
 
 
 def repeated_windows(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, folder: str | None = None) -> np.ndarray:
     """For each window of each of the distinct strings, the least id of all strings that have it."""
     lengths = np.diff(starts)
     windows = lengths - LENGTH + 1
-    some, filed = comparable(flat, starts)
+    some, tied = comparable(flat, starts)
     out = np.repeat(least, windows)  # a string that has nothing in common with another
     base = np.cumsum(windows) - windows
     own = np.flatnonzero(some)
     if not len(own):
         return out
-    own = own[np.argsort(filed[own], kind="stable")]
-    new = np.flatnonzero(np.concatenate([[True], filed[own][1:] != filed[own][:-1]]))
-    # strings filed apart share nothing: collections of about COLLECTION strings, cut between hashes
+    own = own[np.argsort(tied[own], kind="stable")]
+    new = np.flatnonzero(np.concatenate([[True], tied[own][1:] != tied[own][:-1]]))
+    # strings that are not tied share nothing: collections of about COLLECTION strings, cut between ties
     cuts = new[np.concatenate([[True], new[1:] // COLLECTION != new[:-1] // COLLECTION])]
     for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
         part = own[a:b]

@@ -9,7 +9,8 @@ documents; the others are left out) with an L2 penalty, and its score is moved
 from the sample's share of toxic documents to that of all training labels.
 
 The training set is a sample of at most PER_CLASS documents of each class, in
-the order of a hash of their ids; the bound holds the driver's memory.  Scoring
+the order of a hash of their ids, one text for each id and none above MOST_CHARS
+characters: the bounds hold the driver's memory.  Scoring
 reads every text whole, in slices, and needs no shuffle.
 
 Null texts count as empty and get the bias alone.  Without labels of both
@@ -33,6 +34,7 @@ from sparkseek.llm import common, encoding
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 PER_CLASS = 3000
+MOST_CHARS = 50_000  # of a text that is learned from; scored are texts of any length
 MIN_RATIO = 2.0
 MIN_DOCS = 3
 ROUNDS = 200
@@ -141,9 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = marks.filter(F.col("mark") == mark).orderBy(order, "doc_id").limit(PER_CLASS)
         sample = part if sample is None else sample.union(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), common.text_or_empty(text_col).alias("text"))
-    # 2 * PER_CLASS rows at most
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "mark").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    texts = texts.filter(F.length("text") <= MOST_CHARS).join(F.broadcast(sample), "doc_id")
+    # one text for each id: 2 * PER_CLASS rows of MOST_CHARS characters at most
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("mark").alias("mark")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in rows], np.array([r.mark for r in rows], dtype=np.int64), (n1 + 0.5) / (n + 1))
 
 

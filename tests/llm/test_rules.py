@@ -156,3 +156,51 @@ def test_toxicity(spark, sf_dir, odd_documents, no_documents, no_labels):
     none = toxicity.train(docs.limit(10), no_labels)
     assert {r.score for r in toxicity.score_documents(odd_documents, none).collect()} == {0.5}
     assert toxicity.score_documents(no_documents, model).isEmpty()
+
+
+def plain_bins(text):
+    """Bins of all distinct n-grams, one character at a time."""
+    out, mask = set(), (1 << 64) - 1
+    t = re.sub(r"\s+", " ", f" {text} ").lower()
+    for n in toxicity.ORDERS:
+        for i in range(len(t) - n + 1):
+            h = ord(t[i])
+            for c in t[i + 1 : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+            out.add(((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> (64 - toxicity.BITS))
+    return out
+
+
+def plain_model(texts, toxic, share):
+    """Log-count ratios and the regression by loops over sets."""
+    held = [plain_bins(t) for t in texts]
+    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    c1, c0 = (collections.Counter(b for h, y in zip(held, toxic, strict=True) if y == k for b in h) for k in (1, 0))
+    r = {b: math.log((c1[b] + 1) / (n1 + 2)) - math.log((c0[b] + 1) / (n0 + 2)) for b in c1 | c0}
+    r = {b: x for b, x in r.items() if abs(x) >= toxicity.MIN_RATIO and c1[b] + c0[b] >= toxicity.MIN_DOCS}
+    w, b0, g, gb = dict.fromkeys(r, 0.0), 0.0, dict.fromkeys(r, 1e-8), 1e-8
+    own = [[b for b in h if b in r] for h in held]
+    for _ in range(toxicity.ROUNDS):
+        error = [(1 / (1 + math.exp(-(b0 + sum(r[b] * w[b] for b in o)))) - y) / len(texts) for o, y in zip(own, toxic, strict=True)]
+        slope = {b: toxicity.L2 * w[b] / len(r) for b in r}
+        for o, e in zip(own, error, strict=True):
+            for b in o:
+                slope[b] += r[b] * e
+        for b, x in slope.items():
+            g[b] += x * x
+            w[b] -= 0.05 * x / math.sqrt(g[b])
+        x = sum(error)
+        gb += x * x
+        b0 -= 0.05 * x / math.sqrt(gb)
+    b0 += math.log(share / (1 - share)) - math.log(n1 / n0)
+    return lambda t: 1 / (1 + math.exp(-(b0 + sum(r[b] * w[b] for b in plain_bins(t) if b in r))))
+
+
+def test_toxicity_against_plain_python():
+    good = [f"a calm walk {x} by the river\n and  home" for x in "early late alone again slowly gladly often twice".split()]
+    bad = [f"you {x} fool, shut up you fool {x}" for x in "utter rotten stupid lousy sorry total real damn".split()]
+    texts, toxic = good + bad, [0] * len(good) + [1] * len(bad)
+    model, plain = toxicity.fit(texts, toxicity.np.array(toxic), 0.2), plain_model(texts, toxic, 0.2)
+    asked = [*texts, "", "ab", "the fool by the RIVER", "İ é 𝄞 you", "x" * 5000]
+    assert all(abs(a - plain(t)) < 1e-9 for a, t in zip(model.score(asked).tolist(), asked, strict=True))
+    assert all((s > 0.5) == bool(y) for s, y in zip(model.score(texts), toxic, strict=True))
