@@ -8,40 +8,83 @@ in which the c's stand in the transform.  Its common prefix with the suffix
 before it is one more than the least common prefix between s and the previous c,
 and the same holds for the suffix behind it, whose value changes.
 
-The two arrays are read and written once a round, front to back.  Collections
-of up to IN_MEMORY symbols keep them in memory; above that they are in a pair of
-files in the folder given between rounds, but each round reads them whole.
+A round reads the columns front to back twice, CHUNK entries at a time, and
+writes them front to back once.  The first pass finds places and common prefixes;
+of what lies before a chunk it knows, for each symbol, how many there were and
+the least common prefix since the last one.  The second merges the new suffixes
+in.  Collections of more than IN_MEMORY entries have their columns in files of the
+shared folder, under names of the attempt, and are built by the same passes; memory
+then holds a chunk and some numbers for each string, besides the strings.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 
 from sparkseek.llm import common
 
-IN_MEMORY = 256 << 20
-
-
-class Columns:
-    """The transform (0 where a string begins) and common prefixes, in memory or in files."""
+IN_MEMORY = 16 << 20
+CHUNK = 1 << 20
+#: of each suffix: the symbol before it (0 where a string begins), its common prefix with the suffix before, string and length
+KINDS = (("bwt", np.dtype("u1")), ("lcp", np.dtype("u1")), ("who", np.dtype("<u4")), ("length", np.dtype("u1")))
 
-    def __init__(self, folder: str | None, limit: int):
-        self.folder, self.limit, self.round = folder, limit, 0
-        self.bwt = self.lcp = np.zeros(0, dtype=np.uint8)
+Rows = tuple[np.ndarray, ...]
 
-    def put(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        if self.folder is None or len(bwt) <= self.limit:
-            self.bwt, self.lcp = bwt, lcp
-            return
-        for name, x in (("bwt", bwt), ("lcp", lcp)):
-            common.write_file(f"{self.folder}/{name}-{self.round % 2}", x.data)
-        self.bwt = self.lcp = np.zeros(0, dtype=np.uint8)
 
-    def get(self) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.bwt) and self.folder is not None and self.round:
-            parts = [np.frombuffer(common.read_file(f"{self.folder}/{n}-{(self.round - 1) % 2}"), np.uint8) for n in ("bwt", "lcp")]
-            return parts[0], parts[1]
-        return self.bwt, self.lcp
+class Columns:
+    """One state of the columns: written in order, then read in order."""
+
+    def __init__(self, total: int, folder: str | None, limit: int):
+        self.total, self.parts, self.names = total, [], None
+        if folder is not None and total > limit:
+            own = f"{folder}-{uuid.uuid4().hex}"
+            self.store, path = common.open_fs(own)
+            self.store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            self.names = [f"{path}-{name}" for name, _ in KINDS]
+            self.out = [self.store.open_output_stream(name) for name in self.names]
+
+    def put(self, rows: Rows) -> None:
+        rows = tuple(np.ascontiguousarray(x, kind) for x, (_, kind) in zip(rows, KINDS, strict=True))
+        if self.names is None:
+            self.parts.append(rows)
+        else:
+            for out, x in zip(self.out, rows, strict=True):
+                out.write(x.data)
+
+    def close(self) -> Columns:
+        if self.names is not None:
+            for out in self.out:
+                out.close()
+        elif len(self.parts) != 1:
+            self.parts = [tuple(np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, kind) for k, (_, kind) in enumerate(KINDS))]
+        return self
+
+    def drop(self) -> None:
+        self.parts = []
+        for name in self.names or ():
+            self.store.delete_file(name)
+
+    def reader(self):
+        """A function that gives the next k rows."""
+        at = 0
+        files = [self.store.open_input_stream(name) for name in self.names] if self.names is not None else []
+
+        def take(k: int) -> Rows:
+            nonlocal at
+            at += k
+            if files:
+                return tuple(np.frombuffer(f.read(k * kind.itemsize), kind) for f, (_, kind) in zip(files, KINDS, strict=True))
+            return tuple(x[at - k : at] for x in self.parts[0])
+
+        return take
+
+    def chunks(self, size: int) -> Iterator[Rows]:
+        take = self.reader()
+        for a in range(0, self.total, size):
+            yield take(min(size, self.total - a))
 
 
 def _least(lcp: np.ndarray, after: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -53,58 +96,80 @@ def _least(lcp: np.ndarray, after: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(np.append(lcp, np.uint8(0)), bounds)[0::2]
 
 
-def build(flat: np.ndarray, starts: np.ndarray, folder: str | None = None, limit: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """(bwt, lcp) of the strings flat[starts[i]:starts[i+1]], which hold no 0 and
-    are at most 254 long.  The first len(starts) - 1 entries are the empty
-    suffixes, in the order of the strings, which also breaks ties."""
+def _scan(columns: Columns, at: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the ascending entries `at`: its symbol, how many equal ones are before it, the
+    common prefix of the suffix it makes and of the next one (0 and -1 where there is none before
+    or after); and how often each symbol occurs."""
+    symbol, before = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    own, following = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+    seen, since, waiting, base = np.zeros(256, np.int64), np.full(256, 255, np.int64), np.full(256, -1, np.int64), 0
+    for bwt, lcp, _, _ in columns.chunks(chunk):
+        lo, hi = np.searchsorted(at, (base, base + len(bwt)))
+        here = at[lo:hi] - base
+        order = np.argsort(bwt, kind="stable")
+        count = np.bincount(bwt, minlength=256)
+        first = np.cumsum(count) - count  # of each symbol, in order
+        rank = np.empty(len(bwt), dtype=np.int64)
+        rank[order] = np.arange(len(bwt))
+        c, r = bwt[here].astype(np.int64), rank[here]
+        symbol[lo:hi], before[lo:hi] = c, seen[c] + r - first[c]
+        from_start = np.minimum.accumulate(lcp)
+        value = np.where(seen[c] > 0, np.minimum(since[c], from_start[here]) + 1, 0).astype(np.int64)
+        inside = r > first[c]
+        value[inside] = _least(lcp, order[r[inside] - 1], here[inside]).astype(np.int64) + 1
+        own[lo:hi] = value
+        there = np.flatnonzero(count)
+        met = there[waiting[there] >= 0]
+        following[waiting[met]] = np.minimum(since[met], from_start[order[first[met]]]) + 1
+        waiting[met] = -1
+        inside = r + 1 < first[c] + count[c]
+        following[lo + np.flatnonzero(inside)] = _least(lcp, here[inside], order[r[inside] + 1]).astype(np.int64) + 1
+        waiting[c[~inside]] = lo + np.flatnonzero(~inside)
+        to_end = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255)).astype(np.int64)
+        since = np.minimum(since, to_end[0])
+        since[there] = to_end[order[first[there] + count[there] - 1] + 1]
+        seen += count
+        base += len(bwt)
+    return symbol, before, own, following, seen
+
+
+def build(flat: np.ndarray, starts: np.ndarray, folder: str | None = None, limit: int = IN_MEMORY, chunk: int = CHUNK) -> Columns:
+    """The columns of the strings flat[starts[i]:starts[i+1]], which hold no 0 and are at most
+    254 long.  The first len(starts) - 1 entries are the empty suffixes, in the order of the
+    strings, which also breaks ties."""
     lengths = np.diff(starts)
     n = len(lengths)
-    columns = Columns(folder, limit)
-    who = np.arange(n)
-    at = np.arange(n)  # place of each string's last suffix, ascending
-    first = np.where(lengths > 0, flat[np.maximum(starts[1:] - 1, 0)] if len(flat) else 0, 0).astype(np.uint8)
-    columns.put(first, np.zeros(n, dtype=np.uint8))
+    who = at = np.arange(n)
+    last = np.where(lengths > 0, flat[np.maximum(starts[1:] - 1, 0)] if len(flat) else 0, 0)
+    columns = Columns(n, folder, limit)
+    columns.put((last, np.zeros(n), who, np.zeros(n)))
+    columns.close()
     for length in range(1, int(lengths.max(initial=0)) + 1):
-        columns.round = length
-        bwt, lcp = columns.get()
-        goes = bwt[at] > 0
-        at, who = at[goes], who[goes]
-        order = np.argsort(bwt, kind="stable")
-        ends = int(np.searchsorted(bwt[order], 1))  # how many suffixes begin a string
-        place_of = np.full(len(bwt), -1, dtype=np.int32)
-        place_of[at] = np.arange(len(at), dtype=np.int32)
-        owner = place_of[order]
-        rank = np.flatnonzero(owner >= 0)  # in the order of the new suffixes
-        who = who[owner[rank]]
-        here = order[rank]
-        symbol = bwt[here]
-        places = n + rank - ends
-        total = len(bwt) + len(rank)
-        new = np.zeros(total, dtype=bool)
-        new[places] = True
-        before = np.where(rank > 0, order[rank - 1], 0)
-        same = (rank > 0) & (bwt[before] == symbol)
-        own = np.zeros(len(rank), dtype=np.uint8)
-        own[same] = _least(lcp, before[same], here[same]) + 1
-        behind = order[np.minimum(rank + 1, len(order) - 1)]
-        follows = (rank + 1 < len(order)) & (bwt[behind] == symbol)
-        next_lcp = _least(lcp, here[follows], behind[follows]) + 1
+        symbol, before, own, following, seen = _scan(columns, at, chunk)
+        begins = n + np.append(0, np.cumsum(seen[1:]))[:255]  # the first suffix of each symbol from 1 on
+        goes = symbol > 0
+        places = begins[symbol[goes] - 1] + before[goes]
+        order = np.argsort(places)
+        at, who, own, following = places[order], who[goes][order], own[goes][order], following[goes][order]
         left = starts[who + 1] - length - 1
-        preceding = np.where(left >= starts[who], flat[np.maximum(left, 0)], 0).astype(np.uint8)
-        bwt_new, lcp_new = np.empty(total, np.uint8), np.empty(total, np.uint8)
-        bwt_new[places], bwt_new[~new] = preceding, bwt
-        lcp_new[~new], lcp_new[places] = lcp, own
-        lcp_new[places[follows] + 1] = next_lcp
-        columns.put(bwt_new, lcp_new)
-        at = places
-    columns.round += 1
-    return columns.get()
-
-
-def places(bwt: np.ndarray, n: int) -> np.ndarray:
-    """The place of the next longer suffix of each suffix; -1 at a string's begin."""
-    order = np.argsort(bwt, kind="stable")
-    ends = int(np.count_nonzero(bwt == 0))
-    out = np.full(len(bwt), -1, dtype=np.int64)
-    out[order[ends:]] = n + np.arange(len(bwt) - ends)
-    return out
+        preceding = np.where(left >= starts[who], flat[np.maximum(left, 0)], 0)
+        new = (preceding, own, who, np.full(len(who), length))
+        behind, changed = at[following >= 0] + 1, following[following >= 0]
+        merged = Columns(columns.total + len(at), folder, limit)
+        take = columns.reader()
+        for a in range(0, merged.total, chunk):
+            b = min(a + chunk, merged.total)
+            lo, hi = np.searchsorted(at, (a, b))
+            fresh = np.zeros(b - a, dtype=bool)
+            fresh[at[lo:hi] - a] = True
+            rows = []
+            for old, x, (_, kind) in zip(take(b - a - (hi - lo)), new, KINDS, strict=True):
+                both = np.empty(b - a, kind)
+                both[fresh], both[~fresh] = x[lo:hi], old
+                rows.append(both)
+            lo, hi = np.searchsorted(behind, (a, b))
+            rows[1][behind[lo:hi] - a] = changed[lo:hi]
+            merged.put(tuple(rows))
+        columns.drop()
+        columns = merged.close()
+    return columns

@@ -288,23 +288,28 @@ def _ordered(flat: np.ndarray, starts: np.ndarray, least: np.ndarray, folder: st
 
 
 def _least_by_suffix(flat, starts, least, base, out, unit, folder) -> np.ndarray:
-    n = len(starts) - 1
-    transform, prefix = bwt.build(flat, starts, folder)
-    group = np.cumsum(prefix < LENGTH * unit)
-    onward = bwt.places(transform, n)
-    best = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    lengths = np.diff(starts)
+    """Two passes over the columns: the least id of each run of suffixes that begin alike, then its windows."""
+    columns = bwt.build(flat, starts, folder)
+    lengths, none = np.diff(starts), np.iinfo(np.int64).max
+    best, runs_ = [np.full(1, none)], 0
     for write in (False, True):
-        at, who = np.arange(n), np.arange(n)
-        for length in range(1, int(lengths.max(initial=0)) + 1):
-            at = onward[at]
-            goes = at >= 0
-            at, who = at[goes], who[goes]
-            if length >= LENGTH * unit and length % unit == 0:
-                if write:
-                    out[base[who] + (lengths[who] - length) // unit] = best[group[at]]
-                else:
-                    np.minimum.at(best, group[at], least[who])
+        if write:
+            best = np.concatenate(best)
+        runs_ = 0
+        for _, lcp, who, length in columns.chunks(bwt.CHUNK):
+            run = runs_ + np.cumsum(lcp < LENGTH * unit)
+            whole = (length >= LENGTH * unit) & (length % unit == 0)
+            at, who = run[whole], who[whole].astype(np.int64)
+            if write:
+                out[base[who] + (lengths[who] - length[whole]) // unit] = best[at]
+            else:
+                own = np.full(int(run[-1]) - runs_ + 1, none)
+                np.minimum.at(own, at - runs_, least[who])
+                best[-1][-1] = min(best[-1][-1], own[0])  # of the run that the last chunk left open
+                best.append(own[1:] if len(own) > 1 else np.zeros(0, np.int64))
+                best = [np.concatenate(best)] if len(own) == 1 else best
+            runs_ = int(run[-1])
+    columns.drop()
     return out
 
 

@@ -136,22 +136,43 @@ def test_components_at_random(spark):
 SYMBOLS = st.lists(st.binary(max_size=9).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=8)
 
 
+def columns_of(strings, *args):
+    built = bwt.build(np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(s) for s in strings])).astype(np.int64), *args)
+    return [x.tolist() for x in built.reader()(built.total)]
+
+
 @settings(deadline=None, max_examples=80)
-@given(SYMBOLS)
-def test_transform(strings):
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    transform, prefix = bwt.build(flat, np.append(0, np.cumsum([len(s) for s in strings])).astype(np.int64))
+@given(SYMBOLS, st.sampled_from([1, 2, 3, 7, 1000]))
+def test_transform(strings, chunk):
+    transform, prefix, who, length = columns_of(strings, None, 0, chunk)
     suffixes = sorted(((s[k:], i, k) for i, s in enumerate(strings) for k in range(len(s) + 1)), key=lambda x: (x[0] + b"\0", x[1]))
     common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    assert transform.tolist() == [strings[i][k - 1] if k else 0 for _, i, k in suffixes]
-    assert prefix.tolist() == [0] + [common(a[0], b[0]) for a, b in itertools.pairwise(suffixes)]
+    assert transform == [strings[i][k - 1] if k else 0 for _, i, k in suffixes]
+    assert prefix == [0] + [common(a[0], b[0]) for a, b in itertools.pairwise(suffixes)]
+    assert who == [i for _, i, _ in suffixes] and length == [len(s) for s, _, _ in suffixes]
 
 
 def test_transform_by_files(tmp_path):
+    """Files hold the same; one state of them is left when the next is written."""
     strings = [b"banana", b"", b"ananas", b"bandana"] * 5
-    args = np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(s) for s in strings]))
-    for a, b in zip(bwt.build(*args), bwt.build(*args, f"file://{tmp_path}", 10), strict=True):
-        assert a.tolist() == b.tolist()
+    assert columns_of(strings) == columns_of(strings, f"file://{tmp_path}/own", 10, 4)
+    assert len(list(tmp_path.iterdir())) == len(bwt.KINDS)
+
+
+def test_repeats_by_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(bwt.build, "__defaults__", (None, 50, 64))
+    monkeypatch.setattr(bwt, "CHUNK", 64)
+    rng = np.random.default_rng(1)
+    pool = rng.integers(97, 100, 400).astype(np.uint8)
+    strings = [pool[a : a + n] for a, n in zip(rng.integers(0, 280, 60), rng.integers(50, 114, 60), strict=True)]
+    starts, least = np.append(0, np.cumsum([len(s) for s in strings])), rng.permutation(60)
+    first = {}
+    for s, i in zip(strings, least, strict=True):
+        for k in range(len(s) - 49):
+            first[s[k : k + 50].tobytes()] = min(i, first.get(s[k : k + 50].tobytes(), 99))
+    expected = [first[s[k : k + 50].tobytes()] for s in strings for k in range(len(s) - 49)]
+    assert suffix_dedup._ordered(np.concatenate(strings), starts, least, f"file://{tmp_path}/own").tolist() == expected
+    assert not list(tmp_path.iterdir())
 
 
 def brute_cut(rows):
