@@ -28,60 +28,51 @@ from sparkseek.llm import common
 
 IN_MEMORY = 16 << 20
 CHUNK = 1 << 20
-#: of each suffix: the symbol before it (0 where a string begins), its common prefix with the suffix before, string and length
-KINDS = (("bwt", np.dtype("u1")), ("lcp", np.dtype("u1")), ("who", np.dtype("<u4")), ("length", np.dtype("u1")))
-
-Rows = tuple[np.ndarray, ...]
+#: of each suffix: the symbol before it (0 where a string begins), its common prefix with the suffix before, its length and string
+ROW = np.dtype([("bwt", "u1"), ("lcp", "u1"), ("length", "<u2"), ("who", "<u4")])
 
 
 class Columns:
     """One state of the columns: written in order, then read in order."""
 
     def __init__(self, total: int, folder: str | None, limit: int):
-        self.total, self.parts, self.names = total, [], None
+        self.total, self.parts, self.name = total, [], None
         if folder is not None and total > limit:
-            own = f"{folder}-{uuid.uuid4().hex}"
-            self.store, path = common.open_fs(own)
+            self.store, path = common.open_fs(f"{folder}-{uuid.uuid4().hex}")
             self.store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            self.names = [f"{path}-{name}" for name, _ in KINDS]
-            self.out = [self.store.open_output_stream(name) for name in self.names]
+            self.name, self.out = path, self.store.open_output_stream(path)
 
-    def put(self, rows: Rows) -> None:
-        rows = tuple(np.ascontiguousarray(x, kind) for x, (_, kind) in zip(rows, KINDS, strict=True))
-        if self.names is None:
+    def put(self, rows: np.ndarray) -> None:
+        if self.name is None:
             self.parts.append(rows)
         else:
-            for out, x in zip(self.out, rows, strict=True):
-                out.write(x.data)
+            self.out.write(rows.data)
 
     def close(self) -> Columns:
-        if self.names is not None:
-            for out in self.out:
-                out.close()
+        if self.name is not None:
+            self.out.close()
         elif len(self.parts) != 1:
-            self.parts = [tuple(np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, kind) for k, (_, kind) in enumerate(KINDS))]
+            self.parts = [np.concatenate([*self.parts, np.zeros(0, ROW)])]
         return self
 
     def drop(self) -> None:
         self.parts = []
-        for name in self.names or ():
-            self.store.delete_file(name)
+        if self.name is not None:
+            self.store.delete_file(self.name)
 
     def reader(self):
         """A function that gives the next k rows."""
         at = 0
-        files = [self.store.open_input_stream(name) for name in self.names] if self.names is not None else []
+        file = self.store.open_input_stream(self.name) if self.name is not None else None
 
-        def take(k: int) -> Rows:
+        def take(k: int) -> np.ndarray:
             nonlocal at
             at += k
-            if files:
-                return tuple(np.frombuffer(f.read(k * kind.itemsize), kind) for f, (_, kind) in zip(files, KINDS, strict=True))
-            return tuple(x[at - k : at] for x in self.parts[0])
+            return np.frombuffer(file.read(k * ROW.itemsize), ROW) if file else self.parts[0][at - k : at]
 
         return take
 
-    def chunks(self, size: int) -> Iterator[Rows]:
+    def chunks(self, size: int) -> Iterator[np.ndarray]:
         take = self.reader()
         for a in range(0, self.total, size):
             yield take(min(size, self.total - a))
@@ -103,36 +94,45 @@ def _scan(columns: Columns, at: np.ndarray, chunk: int) -> tuple[np.ndarray, np.
     symbol, before = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     own, following = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
     seen, since, waiting, base = np.zeros(256, np.int64), np.full(256, 255, np.int64), np.full(256, -1, np.int64), 0
-    for bwt, lcp, _, _ in columns.chunks(chunk):
+    for rows in columns.chunks(chunk):
+        bwt, lcp = rows["bwt"].copy(), rows["lcp"].copy()
         lo, hi = np.searchsorted(at, (base, base + len(bwt)))
         here = at[lo:hi] - base
         order = np.argsort(bwt, kind="stable")
         count = np.bincount(bwt, minlength=256)
         first = np.cumsum(count) - count  # of each symbol, in order
-        rank = np.empty(len(bwt), dtype=np.int64)
-        rank[order] = np.arange(len(bwt))
+        rank = np.empty(len(bwt), dtype=np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
         c, r = bwt[here].astype(np.int64), rank[here]
         symbol[lo:hi], before[lo:hi] = c, seen[c] + r - first[c]
-        from_start = np.minimum.accumulate(lcp)
-        value = np.where(seen[c] > 0, np.minimum(since[c], from_start[here]) + 1, 0).astype(np.int64)
         inside = r > first[c]
-        value[inside] = _least(lcp, order[r[inside] - 1], here[inside]).astype(np.int64) + 1
-        own[lo:hi] = value
+        own[lo:hi][inside] = _least(lcp, order[r[inside] - 1], here[inside]).astype(np.int64) + 1
         there = np.flatnonzero(count)
-        met = there[waiting[there] >= 0]
-        following[waiting[met]] = np.minimum(since[met], from_start[order[first[met]]]) + 1
-        waiting[met] = -1
+        if base:  # the first of each symbol meets the last one of earlier chunks
+            from_start = np.minimum.accumulate(lcp)
+            value = np.where(seen[c] > 0, np.minimum(since[c], from_start[here]) + 1, 0)
+            own[lo:hi][~inside] = value[~inside]
+            met = there[waiting[there] >= 0]
+            following[waiting[met]] = np.minimum(since[met], from_start[order[first[met]]]) + 1
+            waiting[met] = -1
         inside = r + 1 < first[c] + count[c]
         following[lo + np.flatnonzero(inside)] = _least(lcp, here[inside], order[r[inside] + 1]).astype(np.int64) + 1
-        waiting[c[~inside]] = lo + np.flatnonzero(~inside)
-        to_end = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255)).astype(np.int64)
-        since = np.minimum(since, to_end[0])
-        since[there] = to_end[order[first[there] + count[there] - 1] + 1]
+        if base + len(bwt) < columns.total:
+            waiting[c[~inside]] = lo + np.flatnonzero(~inside)
+            to_end = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255)).astype(np.int64)
+            since = np.minimum(since, to_end[0])
+            since[there] = to_end[order[first[there] + count[there] - 1] + 1]
         seen += count
         base += len(bwt)
     return symbol, before, own, following, seen
 
 
+def _rows(bwt, lcp, length, who: np.ndarray) -> np.ndarray:
+    out = np.empty(len(who), dtype=ROW)
+    out["bwt"], out["lcp"], out["length"], out["who"] = bwt, lcp, length, who
+    return out
+
+
 def build(flat: np.ndarray, starts: np.ndarray, folder: str | None = None, limit: int = IN_MEMORY, chunk: int = CHUNK) -> Columns:
     """The columns of the strings flat[starts[i]:starts[i+1]], which hold no 0 and are at most
     254 long.  The first len(starts) - 1 entries are the empty suffixes, in the order of the
@@ -142,7 +142,7 @@ def build(flat: np.ndarray, starts: np.ndarray, folder: str | None = None, limit
     who = at = np.arange(n)
     last = np.where(lengths > 0, flat[np.maximum(starts[1:] - 1, 0)] if len(flat) else 0, 0)
     columns = Columns(n, folder, limit)
-    columns.put((last, np.zeros(n), who, np.zeros(n)))
+    columns.put(_rows(last, 0, 0, who))
     columns.close()
     for length in range(1, int(lengths.max(initial=0)) + 1):
         symbol, before, own, following, seen = _scan(columns, at, chunk)
@@ -153,23 +153,20 @@ def build(flat: np.ndarray, starts: np.ndarray, folder: str | None = None, limit
         at, who, own, following = places[order], who[goes][order], own[goes][order], following[goes][order]
         left = starts[who + 1] - length - 1
         preceding = np.where(left >= starts[who], flat[np.maximum(left, 0)], 0)
-        new = (preceding, own, who, np.full(len(who), length))
+        new = _rows(preceding, own, length, who).view("<u8")
         behind, changed = at[following >= 0] + 1, following[following >= 0]
         merged = Columns(columns.total + len(at), folder, limit)
         take = columns.reader()
         for a in range(0, merged.total, chunk):
             b = min(a + chunk, merged.total)
             lo, hi = np.searchsorted(at, (a, b))
-            fresh = np.zeros(b - a, dtype=bool)
-            fresh[at[lo:hi] - a] = True
-            rows = []
-            for old, x, (_, kind) in zip(take(b - a - (hi - lo)), new, KINDS, strict=True):
-                both = np.empty(b - a, kind)
-                both[fresh], both[~fresh] = x[lo:hi], old
-                rows.append(both)
+            stays = np.ones(b - a, dtype=bool)
+            stays[at[lo:hi] - a] = False
+            both = np.empty(b - a, dtype="<u8")
+            both[stays], both[at[lo:hi] - a] = take(b - a - (hi - lo)).view("<u8"), new[lo:hi]
             lo, hi = np.searchsorted(behind, (a, b))
-            rows[1][behind[lo:hi] - a] = changed[lo:hi]
-            merged.put(tuple(rows))
+            both.view(ROW)["lcp"][behind[lo:hi] - a] = changed[lo:hi]
+            merged.put(both.view(ROW))
         columns.drop()
         columns = merged.close()
     return columns

@@ -296,8 +296,8 @@ def _least_by_suffix(flat, starts, least, base, out, unit, folder) -> np.ndarray
         if write:
             best = np.concatenate(best)
         runs_ = 0
-        for _, lcp, who, length in columns.chunks(bwt.CHUNK):
-            run = runs_ + np.cumsum(lcp < LENGTH * unit)
+        for rows in columns.chunks(bwt.CHUNK):
+            run, length, who = runs_ + np.cumsum(rows["lcp"] < LENGTH * unit), rows["length"].astype(np.int64), rows["who"]
             whole = (length >= LENGTH * unit) & (length % unit == 0)
             at, who = run[whole], who[whole].astype(np.int64)
             if write:

@@ -138,7 +138,8 @@ SYMBOLS = st.lists(st.binary(max_size=9).map(lambda b: bytes(97 + x % 3 for x in
 
 def columns_of(strings, *args):
     built = bwt.build(np.frombuffer(b"".join(strings), np.uint8), np.append(0, np.cumsum([len(s) for s in strings])).astype(np.int64), *args)
-    return [x.tolist() for x in built.reader()(built.total)]
+    rows = built.reader()(built.total)
+    return [rows[name].tolist() for name in ("bwt", "lcp", "who", "length")]
 
 
 @settings(deadline=None, max_examples=80)
@@ -156,7 +157,7 @@ def test_transform_by_files(tmp_path):
     """Files hold the same; one state of them is left when the next is written."""
     strings = [b"banana", b"", b"ananas", b"bandana"] * 5
     assert columns_of(strings) == columns_of(strings, f"file://{tmp_path}/own", 10, 4)
-    assert len(list(tmp_path.iterdir())) == len(bwt.KINDS)
+    assert len(list(tmp_path.iterdir())) == 1
 
 
 def test_repeats_by_files(tmp_path, monkeypatch):
