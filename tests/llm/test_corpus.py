@@ -414,8 +414,9 @@ def test_an_image_of_smaller_id_with_the_same_patches_elsewhere(spark, monkeypat
     assert got == {1: (1, 0), 2: (2, 1), 3: (2, 1)}
 
 
-def test_large_groups_have_a_first_few():
-    """Each block is told of the first MEMBERS images of a group that are another's and before its last one."""
+def test_large_groups_have_a_first_few(monkeypatch):
+    """With MEMBERS of 3, each block is told of the first MEMBERS images of a group that are another's and before its last one."""
+    monkeypatch.setattr(media, "MEMBERS", 3)
     pack = lambda rows: media.lm.pack([np.array(x, np.uint64) for x in zip(*rows, strict=True)])  # noqa: E731  key steps, id, place, size
     asked = [pack([(5, 10, 1, 9), (0, 40, 2, 9)]), pack([(5, 20, 3, 9), (1, 5, 4, 9)]), pack([(5, 30, 5, 9), (0, 50, 6, 9), (0, 90, 7, 9)]), b""]
     told = [[x.tolist() for x in media.lm.unpack(r)] for r in media.answer_groups(0, asked)]
@@ -423,6 +424,36 @@ def test_large_groups_have_a_first_few():
     assert told[2][2] == [1, 3]
 
 
+def test_neighbours_against_all_pairs():
+    rng = np.random.default_rng(4)
+    corners = np.zeros(400, media.CORNER)
+    corners["x"], corners["y"], corners["level"] = rng.integers(0, 150, 400), rng.integers(0, 150, 400), rng.integers(0, 2, 400)
+    image = np.sort(rng.integers(0, 3, 400))
+    got = media._neighbours(corners, image)
+    for i in range(400):
+        of = [j for j in range(400) if j != i and image[j] == image[i] and corners["level"][j] == corners["level"][i]]
+        apart = {j: (int(corners["x"][i]) - int(corners["x"][j])) ** 2 + (int(corners["y"][i]) - int(corners["y"][j])) ** 2 for j in of}
+        least = min(apart.values())
+        assert (got[i] == -1 and least > (media.REACH << int(corners["level"][i])) ** 2) or apart[int(got[i])] == least
+
+
+def test_copies_whose_corners_stand_in_full_groups(spark):
+    """Two copies are linked though most of their corners are in groups that others fill, and few are their own."""
+    rng = np.random.default_rng(2)
+    common = np.zeros(40, media.CORNER)
+    common["x"], common["y"], common["bits"] = rng.integers(0, 2000, 40), rng.integers(0, 2000, 40), rng.integers(0, 256, (40, 16))
+    rows = []
+    for i in range(media.MEMBERS + 4):
+        other = common.copy()
+        other["x"], other["y"] = rng.integers(0, 60000, 40), rng.integers(0, 60000, 40)
+        rows.append((i, bytes([i] * 8) + other.tobytes()))
+    own = common.copy()
+    own["bits"][:4] = rng.integers(0, 256, (4, 16))
+    rows += [(100, b"a" * 8 + own.tobytes()), (101, b"b" * 8 + own.tobytes())]
+    got = {r.image_id: r.class_id for r in media._classes(spark.createDataFrame(rows, "doc_id long, text binary")).collect()}
+    assert got == {**{i: i for i in range(media.MEMBERS + 4)}, 100: 100, 101: 100}
+
+
 def test_media_odd(spark):
     """Null and repeated ids, a very large picture, columns of clashing names."""
     rng = np.random.default_rng(0)
