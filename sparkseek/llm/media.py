@@ -6,25 +6,20 @@ Images are 8-bit gray PGM files (P5) in a binary column.
 2. Each corner has an orientation (from the patch to its centre of gravity) and
    a descriptor of 128 comparisons of smoothed pixels, at places turned with it.
 3. Tables: a descriptor is cut into TABLES parts, so two that differ in fewer
-   bits than there are parts agree in one.  Corners that agree in a part form a
-   group, known by its hash.  Blocks of images ask for each distinct group they
-   have; the store answers with the corners of the first MEMBERS images of it.
-   Each corner matches those of lesser ids.  A corner is also filed together with its
-   nearest neighbour: such groups are far smaller, so more of them are whole.
+   bits than there are parts agree in one.  Corners match that agree in a part and
+   differ in at most DIFFER bits.
 4. Consensus: matches of an image with another vote for the turn, the size and
-   the shift that would take one corner to the other.  The two are candidates when
-   FEW corners agree on one.  All corners of the one go to the block of the other and
-   are held against all of that: corners match that agree in a part and differ in at
-   most DIFFER bits.  The two are linked when enough agree.  Components of links are
-   the classes.
-
-Groups of up to MEMBERS images are compared whole.  In a larger one the first
-MEMBERS images stand for it: what a group costs grows with its size and not with
-its square.  Two images are missed if fewer than FEW of the corners they share are, alone
-or with their neighbours, in groups in which one of them is among those, and no third
-image links them; the README has what this misses of all links.  n_links counts links found.
-
-Identical files are linked by their hash, each to the least id.  A null, empty or
+   the shift that would take one corner to the other.  The two are linked when enough
+   corners agree on one.  Components of links are the classes.
+
+All linked pairs are found, each file taken once: parts of the images are held against
+all parts.  In the image of a pair with fewer corners, enough of these must agree, so some
+of any that leave out fewer than enough do: the rarest are looked up, and only pairs of
+which FEW agree on a move are verified by all corners.  What this looks at grows with the
+square of the images; the README has figures.  n_links counts the other images, copies
+among them, that an image is linked to.
+
+Identical files are linked by their hash and decided as the one of least id.  A null, empty or
 unreadable image has no corners and is alone in its class; so is one of a single
 gray.  Rows of one id are one image to each other.  Other columns are not read,
 whatever their names.  An empty table gives no rows.
@@ -32,6 +27,7 @@ whatever their names.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -41,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import blocks, common, encoding, graph, lm, shingles
+from sparkseek.llm import blocks, common, encoding, graph, shingles
 
 LEVELS = 2
 RADIUS = 7  # of a patch
@@ -50,13 +46,13 @@ LEAST = 0.01  # of the image's largest response
 BITS, TABLES, TURNS = 128, 3, 32
 SHIFT = 4.0  # pixels of one bin of shifts
 DIFFER = 40  # bits of 128 in which matching descriptors may differ; by chance 64 do, fewer than 41 in one of 30,000 pairs
-MEMBERS = 16  # images of a group that all others of it are compared with
-FEW = 3  # corners that make two images candidates: of those in small groups only, so no share is asked
+FEW = 3  # corners that must agree among those looked up
 MATCHES, SHARE = 6, 0.25  # corners that must agree: so many, and so large a part of those of the image with fewer
 BLOCK = 1 << 20
-REACH = 16  # pixels, of a corner's own level, within which it has a neighbour
-SPARE = 16  # bits of a group's key beyond those that number all corners; equal keys by chance are matches that agree on no move
-SPLIT = 256  # candidates of one block that a task verifies
+PART = 8 << 20  # bytes of images that are held against as many others at once
+LOOKED, CELLS = 1 << 20, 1 << 22  # matches looked at, and pairs of images counted, at once
+USUAL, SAMPLE = 17, 64  # bits of keys that are counted, over so many blocks, to tell rare ones
+NULL_ID = -(1 << 63)
 CORNER = np.dtype([("x", "<u2"), ("y", "<u2"), ("level", "u1"), ("turn", "u1"), ("bits", "u1", (BITS // 8,))])
 _LINES = 80  # characters of a rendered line
 
@@ -194,144 +190,11 @@ def _group_keys(bits: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1) if len(bits) else np.zeros((0, TABLES), np.uint64)
 
 
-def _neighbours(corners: np.ndarray, image: np.ndarray) -> np.ndarray:
-    """The nearest other corner of each one's image and level, by cells of REACH pixels; -1 if none is within REACH."""
-    n, level = len(corners), corners["level"].astype(np.int64)
-    x, y, reach = corners["x"].astype(np.int64), corners["y"].astype(np.int64), REACH << level
-    cell = (image * LEVELS + level << 28) + (y // reach + 1 << 14) + x // reach + 1
-    order = np.argsort(cell, kind="stable")
-    held, best = cell[order], np.full(n, 1 << 62)
-    for row in (-1, 0, 1):  # three cells of a row are one run
-        lo = np.searchsorted(held, cell + (row << 14) - 1)
-        count = np.searchsorted(held, cell + (row << 14) + 1, "right") - lo
-        some = np.flatnonzero(count)
-        if not len(some):
-            continue
-        starts = np.cumsum(count[some]) - count[some]
-        one = np.repeat(some, count[some])
-        other = order[np.arange(len(one)) + np.repeat(lo[some] - starts, count[some])]
-        apart = np.where(one == other, 1 << 30, np.minimum((x[one] - x[other]) ** 2 + (y[one] - y[other]) ** 2, 1 << 30))
-        best[some] = np.minimum(best[some], np.minimum.reduceat(apart << 32 | other, starts))
-    return np.where(best >> 32 <= reach**2, best & 0xFFFFFFFF, -1)
-
-
-def _begins(*columns: np.ndarray) -> np.ndarray:
-    """Whether each row of sorted columns differs from the one before."""
-    out = np.ones(len(columns[0]), dtype=bool)
-    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return out
-
-
-def _first_images(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries sorted by group and id: which are the first of an image, and the image's rank in its group."""
-    first, new = _begins(group, ids), np.flatnonzero(_begins(group))
-    rank = np.cumsum(first) - 1
-    return first, rank - np.repeat(rank[new], np.diff(np.append(new, len(group))))
-
-
-class _Block:
-    """The entries of a block by key and id: each corner in each table, alone and with its neighbour, and each file by its hash (corner -1).
-
-    Keys have `short` bits, and their lowest says whether they are of files."""
-
-    def __init__(self, table: pa.Table, short: int):
-        self.ids = table.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-        files = table.column("text").to_pylist()
-        parts = [np.frombuffer(f[8:], CORNER) if f else np.zeros(0, CORNER) for f in files]
-        self.corners = np.concatenate([*parts, np.zeros(0, CORNER)])
-        self.n_corners = np.array([len(p) for p in parts], dtype=np.int64)
-        image = np.repeat(np.arange(len(files)), self.n_corners)
-        whole = np.array([i for i, f in enumerate(files) if f], dtype=np.int64)
-        hashes = np.array([int.from_bytes(files[i][:8], "little") for i in whole], dtype=np.uint64)
-        one, cut = np.uint64(1), np.uint64(64 - short)
-        alone, near = _group_keys(self.corners["bits"]), _neighbours(self.corners, image)
-        two = np.flatnonzero(near >= 0)
-        both = shingles.mix(alone[two] * np.uint64(3) + alone[near[two]])
-        key = np.concatenate([alone.ravel() >> cut & ~one, both.ravel() >> cut & ~one, shingles.mix(hashes) >> cut | one])
-        self.image = np.concatenate([np.repeat(image, TABLES), np.repeat(image[two], TABLES), whole])
-        self.corner = np.concatenate([np.repeat(np.arange(len(self.corners)), TABLES), np.repeat(two, TABLES), np.full(len(whole), -1)])
-        order = np.lexsort((self.corner, self.ids[self.image], key))
-        self.key, self.image, self.corner = key[order], self.image[order], self.corner[order]
-        self.group = np.cumsum(_begins(self.key)) - 1
-        self.first, self.rank = _first_images(self.group, self.ids[self.image])
-
-    def places(self, entries: np.ndarray) -> np.ndarray:
-        """x, y, turn and level in one number; nought for files."""
-        c = self.corner[entries]
-        at = self.corners[np.maximum(c, 0)] if len(self.corners) else np.zeros(len(c), CORNER)
-        return np.where(c >= 0, _packed(at), np.uint64(0))
-
-    def asked(self) -> np.ndarray:
-        """Entries sent: of each group the first MEMBERS images, and the last if there are more."""
-        new_image = np.flatnonzero(self.first)  # the last image's first corner, where it has several
-        group = self.group[new_image]
-        last = np.zeros(len(self.group), dtype=bool)
-        last[new_image[np.append(group[1:] != group[:-1], True)[: len(group)]]] = True
-        return np.flatnonzero(self.first & ((self.rank < MEMBERS) | last))
-
-
 def _packed(corners: np.ndarray) -> np.ndarray:
     x, y, turn, level = (corners[n].astype(np.uint64) for n in ("x", "y", "turn", "level"))
     return x | y << np.uint64(16) | (turn | level << np.uint64(5)) << np.uint64(32)
 
 
-def _cuts(keys: np.ndarray, n_buckets: int, short: int) -> np.ndarray:
-    return np.append(np.searchsorted(keys, lm._edges(n_buckets) >> np.uint64(64 - short)), len(keys))
-
-
-def ask_groups(n_buckets: int, short: int):
-    def question(uri: str, table: pa.Table) -> blocks.Packed:
-        b = _Block(table, short)
-        asked = b.asked()
-        keys, ids, places, sizes = b.key[asked], b.ids[b.image[asked]].view(np.uint64), b.places(asked), b.n_corners[b.image[asked]].astype(np.uint64)
-        cuts = _cuts(keys, n_buckets, short)
-        out = {}
-        for i in range(n_buckets):
-            own = slice(cuts[i], cuts[i + 1])
-            if cuts[i] < cuts[i + 1]:
-                out[i] = lm.pack([np.diff(keys[own], prepend=np.uint64(0)), ids[own], places[own], sizes[own]])
-        return out
-
-    return question
-
-
-def answer_groups(bucket: int, payloads: list[bytes]) -> list[bytes]:
-    """For each block: number of the group among those it asked of, id, place and size of
-    the first MEMBERS images that are another block's and come before one of its own."""
-    asked = [lm.unpack(p) if p else [np.zeros(0, np.uint64)] * 4 for p in payloads]
-    keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
-    groups = [np.cumsum(_begins(k)) - 1 for k in keys]  # numbered by block
-    key, own_group = np.concatenate(keys), np.concatenate(groups)
-    ids, places, sizes = (np.concatenate([a[n] for a in asked]) for n in (1, 2, 3))
-    ids, block = ids.view(np.int64), np.repeat(np.arange(len(asked)), [len(k) for k in keys])
-    # a row per block and group, with its largest id
-    row = np.flatnonzero(_begins(block, own_group))
-    largest = np.maximum.reduceat(ids, row) if len(row) else ids
-    order = np.lexsort((ids, key))
-    group = np.cumsum(_begins(key[order])) - 1
-    first, rank = _first_images(group, ids[order])
-    stands = np.full((int(group[-1]) + 1 if len(group) else 0, MEMBERS), -1, dtype=np.int64)
-    some = np.flatnonzero(first & (rank < MEMBERS))
-    stands[group[some], rank[some]] = order[some]
-    of = np.empty(len(key), dtype=np.int64)
-    of[order] = group
-    asker, other = [], []
-    for d in range(MEMBERS):
-        o = stands[of[row], d]
-        hit = np.flatnonzero((o >= 0) & (block[o] != block[row]) & (ids[o] < largest))
-        asker.append(hit)
-        other.append(o[hit])
-    asker, other = np.concatenate(asker), np.concatenate(other)
-    order = np.argsort(asker, kind="stable")
-    asker, other = row[asker[order]], other[order]
-    replies = []
-    for k in range(len(asked)):
-        lo, hi = np.searchsorted(block[asker], (k, k + 1))
-        own = other[lo:hi]
-        replies.append(lm.pack([np.diff(own_group[asker[lo:hi]], prepend=0).astype(np.uint64), ids[own].view(np.uint64), places[own], sizes[own]]))
-    return replies
-
-
 def _place_columns(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low, five = np.uint64(0xFFFF), np.uint64(31)
     x, y = (places & low).astype(np.float64), (places >> np.uint64(16) & low).astype(np.float64)
@@ -370,90 +233,6 @@ def _enough(n: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
     return n >= np.maximum(MATCHES, SHARE * np.minimum(size, other))
 
 
-def link(n_buckets: int, short: int):
-    """Rows of LINKS: each image with itself and the file of its block; candidates as claims; identical files."""
-
-    def finish(uri: str, table: pa.Table, answers: blocks.Packed) -> Iterator[pa.RecordBatch]:
-        b = _Block(table, short)
-        starts = _cuts(b.key[_begins(b.group)] if len(b.group) else b.key, n_buckets, short)
-        mine = np.flatnonzero(b.first & (b.rank < MEMBERS))
-        known = [(b.group[mine], b.ids[b.image[mine]], b.places(mine), b.n_corners[b.image[mine]])]
-        for i, payload in answers.items():
-            if payload:
-                at, ids, places, sizes = lm.unpack(payload)
-                known.append((starts[i] + np.cumsum(at).astype(np.int64), ids.view(np.int64), places, sizes.astype(np.int64)))
-        group, ids, places, sizes = (np.concatenate(x) for x in zip(*known, strict=True))
-        order = np.lexsort((ids, group))
-        group, ids, places, sizes = group[order], ids[order], places[order], sizes[order]
-        first, rank = _first_images(group, ids)
-        some = np.flatnonzero(first & (rank < MEMBERS))
-        stands = np.full((int(b.group[-1]) + 1 if len(b.group) else 0, MEMBERS), -1, dtype=np.int64)
-        stands[group[some], rank[some]] = some
-        own_ids, entry, other = b.ids[b.image], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(MEMBERS):
-            o = stands[b.group, d]
-            hit = np.flatnonzero((o >= 0) & (ids[o] < own_ids) & ((b.corner >= 0) | (d == 0)))
-            entry.append(hit)
-            other.append(o[hit])
-        entry, other = np.concatenate(entry), np.concatenate(other)
-        rows = [(i, i, uri, False) for i in b.ids.tolist()]
-        whole = b.corner[entry] < 0
-        rows += [(a, o, None, False) for a, o in zip(own_ids[entry[whole]].tolist(), ids[other[whole]].tolist(), strict=True)]
-        hit = ~whole & (sizes[other] >= MATCHES) & (b.n_corners[b.image[entry]] >= MATCHES)  # fewer cannot agree
-        entry, other = entry[hit], other[hit]
-        a, o, _ = agreeing(b.image[entry], b.corner[entry], ids[other], b.places(entry), places[other], FEW)
-        rows += [(i, x, None, True) for i, x in zip(b.ids[a].tolist(), o.tolist(), strict=True)]
-        for at in range(0, len(rows), 2000):
-            columns = zip(*rows[at : at + 2000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
-
-    return finish
-
-
-LINKS = "a long, b long, uri string, claim boolean"
-_NAMES = [x.split()[0] for x in LINKS.split(", ")]
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-CLAIMS = "uri string, part long, a long, corners binary, others array<long>"
-
-
-class _Rows:
-    """Corners of the images of one block, by id."""
-
-    def __init__(self, uri: str):
-        table = blocks.read(uri)
-        self.files = table.column("text")
-        self.at: dict[int, list[int]] = {}
-        for k, i in enumerate(table.column("doc_id").fill_null(-(1 << 63)).to_pylist()):
-            self.at.setdefault(i, []).append(k)
-
-    def of(self, i: int) -> Iterator[np.ndarray]:
-        for k in self.at.get(i, ()):
-            yield np.frombuffer((self.files[k].as_py() or b" " * 8)[8:], CORNER)
-
-
-def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of CLAIMS for rows home (of a's block), uri, part, a, others: with all corners of a."""
-    home = held = None
-    for batch in batches:
-        out, size = [], 0
-        for row in batch.to_pylist():
-            if row["home"] != home:
-                home, held = row["home"], _Rows(row["home"])
-            for own in held.of(row["a"]):
-                out.append((row["uri"], row["part"], row["a"], own.tobytes(), row["others"]))
-                size += own.nbytes
-                if size > BLOCK:
-                    yield _claims(out)
-                    out, size = [], 0
-        yield _claims(out)
-
-
-def _claims(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CLAIMS.split(", ")])
-
-
 def linked(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Whether the images of each pair, given by all their corners, are linked."""
     good = np.zeros(len(pairs), dtype=bool)
@@ -481,29 +260,156 @@ def linked(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return good
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a, b of CLAIMS whose corners, all of both, agree."""
-    uri = rows = None
-    for batch in batches:
-        names, pairs, size = [], [], 0
-        for row in batch.to_pylist():
-            if row["uri"] != uri:
-                uri, rows = row["uri"], _Rows(row["uri"])
-            mine = np.frombuffer(row["corners"], CORNER)
-            for b in row["others"]:
-                for own in rows.of(b):
-                    names.append((row["a"], b))
-                    pairs.append((mine, own))
-                    size += len(mine) + len(own)
-                    if size > 100_000:
-                        yield _pairs(names, linked(pairs))
-                        names, pairs, size = [], [], 0
-        yield _pairs(names, linked(pairs))
+def _tied(corners: np.ndarray, image: np.ndarray, n_images: int) -> np.ndarray:
+    """Images in which two corners of one level and turn are so near that both may agree with one corner on one move."""
+    order = np.lexsort((corners["y"], corners["turn"], corners["level"], image))
+    kind = (image * LEVELS + corners["level"]) * TURNS + corners["turn"]
+    kind, x, y = kind[order], corners["x"][order].astype(np.int64), corners["y"][order].astype(np.int64)
+    out, at, step = np.zeros(n_images, dtype=bool), np.arange(len(order)), 1
+    while len(at):
+        at = at[at + step < len(order)]
+        at = at[(kind[at] == kind[at + step]) & (y[at + step] - y[at] <= SHIFT) & ~out[image[order[at]]]]
+        out[image[order[at[np.abs(x[at] - x[at + step]) <= SHIFT]]]] = True
+        step += 1
+    return out
+
+
+def _least_votes(n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Corners that must agree to link images of n and other corners."""
+    return np.maximum(MATCHES, np.ceil(SHARE * np.minimum(n, other)).astype(np.int64))
+
+
+class Part:
+    """Images of MATCHES corners or more, those with fewer corners first, and their corners by key.
+
+    usual[i] is about how many corners have keys that begin with the bits of i; `rank` orders the
+    corners of an image by that, rare ones first.  It settles what is looked at, not what is found."""
+
+    def __init__(self, ids: np.ndarray, files: list[bytes], usual: np.ndarray):
+        held = sorted((k for k in range(len(files)) if len(files[k]) >= 8 + MATCHES * CORNER.itemsize), key=lambda k: len(files[k]))
+        self.ids = np.asarray(ids, np.int64)[held]
+        self.hashes = np.array([int.from_bytes(files[k][:8], "little", signed=True) for k in held], dtype=np.int64)
+        self.corners = np.concatenate([np.frombuffer(files[k], CORNER, offset=8) for k in held] + [np.zeros(0, CORNER)])
+        self.n = np.array([(len(files[k]) - 8) // CORNER.itemsize for k in held], dtype=np.int64)
+        self.starts = np.cumsum(self.n) - self.n
+        self.image = np.repeat(np.arange(len(held)), self.n)
+        self.keys = _group_keys(self.corners["bits"])
+        self.words = np.ascontiguousarray(self.corners["bits"]).view("<u8").reshape(-1, 2)
+        self.packed = _packed(self.corners)
+        self.tied = _tied(self.corners, self.image, len(held))
+        order = np.lexsort((usual[_bins(self.keys)].sum(axis=1), self.image))
+        self.rank = np.empty(len(order), dtype=np.int64)
+        self.rank[order] = np.arange(len(order)) - self.starts[self.image[order]]
+        # entries by key and image; `place` is both in one number
+        self.names, which = np.unique(self.keys.ravel(), return_inverse=True)
+        place = which.ravel() * max(len(held), 1) + np.repeat(self.image, TABLES)
+        order = np.argsort(place, kind="stable")
+        self.place, self.corner = place[order], order // TABLES
+
+    def of(self, i: int) -> np.ndarray:
+        return self.corners[self.starts[i] : self.starts[i] + self.n[i]]
+
+
+def candidates(q: Part, o: Part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of images of q and o that may be linked: of those to be found from q's side, all that are.
+
+    A link needs `least` corners of the image of larger id, or as many of the other unless the former is tied.
+    If it has them in the n corners of one image, FEW of them at least are among any n - least + FEW of these."""
+    n_other = len(o.n)
+    if not n_other or not len(q.n):
+        return
+    least = np.where(q.tied, MATCHES, _least_votes(q.n, q.n))
+    used = np.flatnonzero(q.rank < (q.n - least + FEW)[q.image])
+    corner, table, key = np.repeat(used, TABLES), np.tile(np.arange(TABLES), len(used)), q.keys[used].ravel()
+    at = np.minimum(np.searchsorted(o.names, key), len(o.names) - 1)
+    known = o.names[at] == key
+    corner, table, at = corner[known], table[known], at[known]
+    image = q.image[corner]
+    first = np.where(q.tied, 0, np.searchsorted(o.n, q.n))[image]
+    step = max(1, CELLS // n_other)
+    todo = [(a, min(a + step, len(q.n)), 0, n_other) for a in range(0, len(q.n), step)]
+    while todo:
+        a, b, c, d = todo.pop()
+        own = slice(*np.searchsorted(image, (a, b)))
+        lo = np.searchsorted(o.place, at[own] * n_other + np.maximum(first[own], c))
+        count = np.maximum(np.searchsorted(o.place, at[own] * n_other + d) - lo, 0)
+        if count.sum() > LOOKED and (b - a > 1 or d - c > 1):
+            half, end = (a + b) // 2, (c + d) // 2
+            todo += [(a, half, c, d), (half, b, c, d)] if b - a > 1 else [(a, b, c, end), (a, b, end, d)]
+            continue
+        if count.sum() > LOOKED:  # many equal patches: held against each other whole
+            if _from(q, o, np.array([a]), np.array([c]))[0]:
+                yield np.array([a]), np.array([c])
+            continue
+        one = np.repeat(corner[own], count)
+        other = o.corner[np.arange(len(one)) + np.repeat(lo - (np.cumsum(count) - count), count)]
+        again = np.zeros(len(one), dtype=bool)  # known by an earlier table
+        tables = np.repeat(table[own], count)
+        for t in range(TABLES - 1):
+            again |= (tables > t) & (q.keys[one, t] == o.keys[other, t])
+        one, other = one[~again], other[~again]
+        for near in (False, True):
+            if near:
+                i, j = q.image[one], o.image[other]
+                hit = _from(q, o, i, j) & (q.rank[one] < q.n[i] - _least_votes(q.n[i], o.n[j]) + FEW)
+                one, other = one[hit], other[hit]
+                hit = np.bitwise_count(q.words[one] ^ o.words[other]).sum(axis=1) <= DIFFER
+                one, other = one[hit], other[hit]
+            pair = (q.image[one] - a) * (d - c) + o.image[other] - c
+            hit = np.bincount(pair, minlength=1)[pair] >= FEW if len(pair) else np.zeros(0, dtype=bool)
+            one, other = one[hit], other[hit]
+        if len(one):
+            i, j = q.image[one], o.image[other]
+            later = q.ids[i] > o.ids[j]  # moves are of the image of smaller id, as in linked()
+            i, j, _ = agreeing(i, one, j, np.where(later, q.packed[one], o.packed[other]), np.where(later, o.packed[other], q.packed[one]), FEW)
+            yield i, j
+
+
+def _from(q: Part, o: Part, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a pair is to be found from the image of q: each is from one of the two."""
+    later = q.ids[i] > o.ids[j]
+    return np.where(later, (q.n[i] <= o.n[j]) | q.tied[i], (o.ids[j] > q.ids[i]) & (o.n[j] > q.n[i]) & ~o.tied[j])
+
+
+def part_links(q: Part, o: Part) -> Iterator[pa.RecordBatch]:
+    """Rows of LINKS: the linked images found from q's side."""
+    for first, second in candidates(q, o):
+        at = 0
+        sizes = np.cumsum(q.n[first] + o.n[second])
+        while at < len(first):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 100_000)))
+            i, j = first[at:end], second[at:end]
+            pairs = [(q.of(x), o.of(y)) if q.ids[x] > o.ids[y] else (o.of(y), q.of(x)) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            good = linked(pairs)
+            i, j, at = i[good], j[good], end
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q.ids[i], q.hashes[i], o.ids[j], o.hashes[j])], _NAMES)
+
+
+LINKS = "a long, file_a long, b long, file_b long"
+_NAMES = [x.split()[0] for x in LINKS.split(", ")]
+
+
+def _bins(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - USUAL)).astype(np.int64)
 
 
-def _pairs(names: list[tuple[int, int]], good: np.ndarray) -> pa.RecordBatch:
-    kept = [n for n, g in zip(names, good.tolist(), strict=True) if g]
-    return pa.RecordBatch.from_arrays([pa.array([n[k] for n in kept], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _usual(held: blocks.Blocks) -> np.ndarray:
+    """How often keys that begin alike occur, by at most SAMPLE blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                files = [f for f in blocks.read(uri).column("text").to_pylist() if f]
+                corners = np.concatenate([np.frombuffer(f, CORNER, offset=8) for f in files] + [np.zeros(0, CORNER)])
+                counts = np.bincount(_bins(_group_keys(corners["bits"])).ravel(), minlength=1 << USUAL)
+                yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 0xFFFF).astype("<u2").tobytes()])], ["counts"])
+
+    some = held.table.orderBy(F.xxhash64("block"), "block").limit(SAMPLE).repartition(min(SAMPLE, max(1, held.n)), "block")
+    total = np.zeros(1 << USUAL, dtype=np.int64)
+    for row in some.select("uri").mapInArrow(common.trimmed(run), "counts binary").toLocalIterator():
+        total += np.frombuffer(row["counts"], "<u2")
+    return total
 
 
 def copy_classes(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
@@ -519,33 +425,123 @@ def copy_classes(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     return _classes(rows.mapInArrow(common.trimmed(run), "doc_id long, text binary"))
 
 
+def _files(held: blocks.Blocks) -> DataFrame:
+    """block, uri, id and file (its hash; null without one) of each image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, uri in zip(batch.column("block").to_pylist(), batch.column("uri").to_pylist(), strict=True):
+                rows = blocks.read(uri)
+                file = [int.from_bytes(f[:8], "little", signed=True) if f else None for f in rows.column("text").to_pylist()]
+                columns = [pa.array([block] * len(file), pa.int64()), rows.column("doc_id").fill_null(NULL_ID).combine_chunks(), pa.array(file, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "id", "file"])
+
+    spread = held.table.select("block", "uri").repartition(max(1, held.n), "block")
+    return common.stored(spread.mapInArrow(common.trimmed(run), "block long, id long, file long"), "media-files")
+
+
+def _write_copies(files: DataFrame, folder: str) -> set[int]:
+    """For each block with images whose file a smaller id has: a file of these, id and hash.  Returns these blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pairs = np.array([[r["id"], r["file"]] for r in row["rows"]], dtype="<i8")
+                common.write_file(f"{folder}/{row['block']}", pairs.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64())], ["block"])
+
+    least = files.filter("file IS NOT NULL").groupBy("file").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last")
+    copies = files.join(least, "file").filter("id > least").select("block", "id", "file").distinct()
+    rows = copies.groupBy("block").agg(F.collect_list(F.struct("id", "file")).alias("rows"))
+    return {r["block"] for r in common.stored(rows.mapInArrow(common.trimmed(run), "block long"), "media-copies").collect()}
+
+
+def _read_part(members: list[tuple[int, str]], copied: set[int], folder: str, usual: np.ndarray) -> Part:
+    """The images of some blocks, each file once."""
+    ids, files, seen = [], [], set()
+    for block, uri in members:
+        if block in copied:
+            seen.update(map(tuple, np.frombuffer(common.read_file(f"{folder}/{block}"), "<i8").reshape(-1, 2).tolist()))
+        table = blocks.read(uri)
+        for i, f in zip(table.column("doc_id").fill_null(NULL_ID).to_pylist(), table.column("text").to_pylist(), strict=True):
+            name = (i, int.from_bytes(f[:8], "little", signed=True)) if f else None
+            if name and name not in seen:
+                seen.add(name)
+                ids.append(i)
+                files.append(f)
+    return Part(np.array(ids, np.int64), files, usual)
+
+
+def _linked_files(held: blocks.Blocks, files: DataFrame) -> DataFrame:
+    """Rows of LINKS for all images, each file once: every part of the images is held against every part."""
+    spark = files.sparkSession
+    folder = common.work_dir(spark, "media-copies-of")
+    copied, usual = _write_copies(files, folder), _usual(held)
+    listed = held.table.select("block", "uri", "bytes").orderBy("block").collect()
+    limit = min(PART, max(PART // 32, sum(r["bytes"] for r in listed) // 8))
+    parts, size = [[]], 0
+    for r in listed:
+        if parts[-1] and size + r["bytes"] > limit:
+            parts.append([])
+            size = 0
+        parts[-1].append((r["block"], r["uri"]))
+        size += r["bytes"]
+    n = len(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_parts: dict[int, Part] = {}
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                i = int((math.isqrt(8 * k + 1) - 1) // 2)
+                both = (i, k - i * (i + 1) // 2)  # pair k of those with a first part not before the second
+                for x in set(held_parts) - set(both):
+                    del held_parts[x]
+                for x in both:
+                    if x not in held_parts:
+                        held_parts[x] = _read_part(parts[x], copied, folder, usual)
+                q, o = (held_parts[x] for x in both)
+                yield from part_links(q, o)
+                if q is not o:
+                    yield from part_links(o, q)
+
+    pairs = n * (n + 1) // 2
+    return common.stored(spark.range(0, pairs, 1, min(pairs, max(64, pairs // 16))).mapInArrow(common.trimmed(run), LINKS), "media-links")
+
+
+def _link_counts(files: DataFrame, links: DataFrame) -> DataFrame:
+    """id, links: how many other images each is linked to, by links between files.
+
+    Ids with one file are counted by file, the others by id, so copies are not paired."""
+    own = files.filter("file IS NOT NULL").select("id", "file").distinct()
+    several = own.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    own = own.join(several.withColumn("several", F.lit(True)), "id", "left").select("id", "file", F.coalesce("several", F.lit(False)).alias("several"))
+    own = common.stored(own, "media-own")
+    one, many = own.filter("NOT several"), own.filter("several")
+    next_to = links.select("file_a", "file_b").union(links.select("file_b", "file_a")).union(own.select("file", "file")).toDF("x", "file").distinct()
+    owner = F.struct("several", F.when(F.col("several"), F.col("id")).otherwise(F.col("file")).alias("name"))
+    owners = own.select(owner.alias("owner"), F.col("file").alias("x")).distinct()
+    reached = common.stored(owners.join(next_to, "x").select("owner", "file").distinct(), "media-reached")
+    by_file = one.groupBy("file").agg(F.count("*").alias("n"))
+    ones = reached.join(by_file, "file").groupBy("owner").agg(F.sum("n").alias("n"))
+    others = reached.join(many.select("file", "id"), "file").select("owner", "id").distinct().groupBy("owner").agg(F.count("*").alias("n"))
+    sums = ones.union(others).groupBy("owner").agg((F.sum("n") - 1).alias("links"))  # but for itself
+    return own.select("id", owner.alias("owner")).distinct().join(sums, "owner").select("id", "links")
+
+
 def _classes(described: DataFrame) -> DataFrame:
     held = blocks.write(described, "media-blocks", BLOCK)
-    short = min(64, (BLOCK >> 4).bit_length() + held.n.bit_length() + SPARE)  # a block has about a corner for 16 bytes
-    answered = blocks.answer(held, blocks.ask(held, ask_groups(held.buckets, short)), answer_groups)
-    links = common.stored(blocks.resolve(held, answered, link(held.buckets, short), LINKS), "media-links")
-    homes = links.filter("uri IS NOT NULL").select("a", "uri").distinct()
-    claims = links.filter("claim").select("a", "b").distinct().join(homes.select("a", F.col("uri").alias("home")), "a")
-    claims = claims.join(homes.select(F.col("a").alias("b"), "uri"), "b")
-    # the corners of a go once to each block that has others of it; what is collected is bounded by a's own groups
-    claims = common.stored(claims.groupBy("home", "uri", "a").agg(F.collect_set("b").alias("others")), "media-claims")
-    parts = claims.groupBy("uri").agg(F.ceil(F.sum(F.size("others")) / SPLIT).alias("parts"))
-    claims = claims.join(parts, "uri").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    claims = claims.repartition(max(1, held.n), "home").sortWithinPartitions("home").select("home", "uri", "part", "a", "others")
-    claims = claims.mapInArrow(common.trimmed(send), CLAIMS).repartition(max(1, held.n), "uri", "part").sortWithinPartitions("uri", "part")
-    real = claims.mapInArrow(common.trimmed(verify), "a long, b long").union(links.filter("uri IS NULL AND NOT claim").select("a", "b"))
-    real = common.stored(real.filter("a <> b").distinct(), "media-verified")
-    classes = graph.components(real.select("a", "b"))
-    both = real.select("a", "b").union(real.select("b", "a")).distinct()  # a link counts for either image
-    counts = both.groupBy("a").agg(F.count("*").alias("links"))
-    mine = links.filter("uri IS NOT NULL").select("a")
-    out = mine.join(classes, mine.a == classes.node, "left").join(counts, "a", "left")
-    null_id = F.lit(-(1 << 63))
-    as_id = lambda c: F.when(c == null_id, F.lit(None)).otherwise(c)
+    files = _files(held)
+    links = _linked_files(held, files)
+    least = files.filter("file IS NOT NULL").groupBy("file").agg(F.min("id").alias("b"))
+    copies = files.join(least, "file").filter("id <> b").select(F.col("id").alias("a"), "b")
+    classes = graph.components(links.select("a", "b").union(copies))
+    mine = files.select(F.col("id").alias("a"))
+    out = mine.join(classes, mine.a == classes.node, "left").join(_link_counts(files, links).withColumnRenamed("id", "a"), "a", "left")
+    as_id = lambda c: F.when(c == F.lit(NULL_ID), F.lit(None)).otherwise(c)
     return out.select(
         as_id(F.col("a")).alias("image_id"),
         as_id(F.coalesce("component", "a")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).alias("n_links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 

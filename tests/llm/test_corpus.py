@@ -398,8 +398,7 @@ def test_links_against_all_pairs(spark):
         for b, a in expected:
             root[a] = root[b] = min(root[a], root[b])
     assert {r.image_id: r.class_id for r in out} == root
-    for r in out:  # in groups of more than MEMBERS images not all are compared with all
-        assert min(both[r.image_id], media.MEMBERS) <= r.n_links <= both[r.image_id]
+    assert all(r.n_links == both[r.image_id] for r in out)
 
 
 def test_an_image_of_smaller_id_with_the_same_patches_elsewhere(spark, monkeypatch):
@@ -414,27 +413,57 @@ def test_an_image_of_smaller_id_with_the_same_patches_elsewhere(spark, monkeypat
     assert got == {1: (1, 0), 2: (2, 1), 3: (2, 1)}
 
 
-def test_large_groups_have_a_first_few(monkeypatch):
-    """With MEMBERS of 3, each block is told of the first MEMBERS images of a group that are another's and before its last one."""
-    monkeypatch.setattr(media, "MEMBERS", 3)
-    pack = lambda rows: media.lm.pack([np.array(x, np.uint64) for x in zip(*rows, strict=True)])  # noqa: E731  key steps, id, place, size
-    asked = [pack([(5, 10, 1, 9), (0, 40, 2, 9)]), pack([(5, 20, 3, 9), (1, 5, 4, 9)]), pack([(5, 30, 5, 9), (0, 50, 6, 9), (0, 90, 7, 9)]), b""]
-    told = [[x.tolist() for x in media.lm.unpack(r)] for r in media.answer_groups(0, asked)]
-    assert [t[1] for t in told] == [[20, 30], [10], [10, 20], []] and [t[0] for t in told] == [[0, 0], [0], [0, 0], []]
-    assert told[2][2] == [1, 3]
+def described(n, k, rng):
+    """Images whose corners are from a few, so that groups hold most images, some moved, some with corners side by side."""
+    bits, rows = rng.integers(0, 256, (60, 16)), []
+    for i in range(n):
+        own = np.zeros(rng.integers(3, k), media.CORNER)
+        own["bits"] = bits[(rng.zipf(1.3, len(own)) - 1) % 60]
+        own["x"], own["y"], own["level"], own["turn"] = rng.integers(0, 60, len(own)), rng.integers(0, 40, len(own)), rng.integers(0, 2, len(own)), rng.integers(0, 2, len(own))
+        if i % 3 == 0 and rows:
+            other = np.frombuffer(rows[rng.integers(0, len(rows))][1], media.CORNER, offset=8)
+            own = np.concatenate([own, other[: rng.integers(0, len(other))]])
+            own["x"] += np.uint16(rng.integers(0, 9))
+        rows.append((i, (i + 1).to_bytes(8, "little") + own.tobytes()))
+    return rows
 
 
-def test_neighbours_against_all_pairs():
-    rng = np.random.default_rng(4)
-    corners = np.zeros(400, media.CORNER)
-    corners["x"], corners["y"], corners["level"] = rng.integers(0, 150, 400), rng.integers(0, 150, 400), rng.integers(0, 2, 400)
-    image = np.sort(rng.integers(0, 3, 400))
-    got = media._neighbours(corners, image)
-    for i in range(400):
-        of = [j for j in range(400) if j != i and image[j] == image[i] and corners["level"][j] == corners["level"][i]]
-        apart = {j: (int(corners["x"][i]) - int(corners["x"][j])) ** 2 + (int(corners["y"][i]) - int(corners["y"][j])) ** 2 for j in of}
-        least = min(apart.values())
-        assert (got[i] == -1 and least > (media.REACH << int(corners["level"][i])) ** 2) or apart[int(got[i])] == least
+def all_links(rows):
+    """Every pair of images by all their corners."""
+    held = [(i, np.frombuffer(c, media.CORNER, offset=8)) for i, c in rows]
+    pairs = [(x, y) for (_, y), (_, x) in itertools.combinations(held, 2)]
+    names = [(j, i) for (i, _), (j, _) in itertools.combinations(held, 2)]
+    return {n for n, good in zip(names, media.linked(pairs), strict=True) if good}
+
+
+def test_no_link_is_lost_in_large_groups(spark, monkeypatch):
+    """All linked pairs are found and counted, whatever the size of the groups and of what is looked at at once."""
+    rows = described(120, 30, np.random.default_rng(6))
+    expected = all_links(rows)
+    assert 100 < len(expected) < 6000
+    usual = np.zeros(1 << media.USUAL, np.int64)
+    for looked, cells in ((media.LOOKED, media.CELLS), (50, 300)):
+        monkeypatch.setattr(media, "LOOKED", looked)
+        monkeypatch.setattr(media, "CELLS", cells)
+        parts = [media.Part(np.array([i for i, _ in rows[k::2]]), [c for _, c in rows[k::2]], usual) for k in range(2)]
+        found = [(max(r["a"], r["b"]), min(r["a"], r["b"])) for q in parts for o in parts for batch in media.part_links(q, o) for r in batch.to_pylist()]
+        assert len(found) == len(set(found)) and set(found) == expected
+    both = collections.Counter(i for pair in expected for i in pair)
+    got = media._classes(spark.createDataFrame(rows, "doc_id long, text binary").repartition(3)).collect()
+    assert {r.image_id: r.n_links for r in got} == {i: both[i] for i, _ in rows}
+
+
+def test_links_of_many_copies(spark):
+    """Copies of a file are counted, not paired; rows of one id are one image, with the links of all of them."""
+    rng = np.random.default_rng(8)
+    first = np.zeros(20, media.CORNER)
+    first["x"], first["y"], first["bits"] = rng.integers(0, 2000, 20), rng.integers(0, 2000, 20), rng.integers(0, 256, (20, 16))
+    second, few = first[:15].copy(), first[:2].copy()
+    x, y, z = (bytes([k] * 8) + c.tobytes() for k, c in ((1, first), (2, second), (3, few)))
+    rows = [(i, x) for i in range(30)] + [(i, y) for i in range(40, 45)] + [(50, z), (51, z), (52, z), (60, x), (60, z), (61, None)]
+    got = {r.image_id: (r.class_id, r.n_links) for r in media._classes(spark.createDataFrame(rows, "doc_id long, text binary").repartition(4)).collect()}
+    expected = {**{i: (0, 35) for i in [*range(30), *range(40, 45)]}, **{i: (0, 3) for i in (50, 51, 52)}, 60: (0, 38), 61: (61, 0)}
+    assert got == expected
 
 
 def test_copies_whose_corners_stand_in_full_groups(spark):
@@ -443,7 +472,7 @@ def test_copies_whose_corners_stand_in_full_groups(spark):
     common = np.zeros(40, media.CORNER)
     common["x"], common["y"], common["bits"] = rng.integers(0, 2000, 40), rng.integers(0, 2000, 40), rng.integers(0, 256, (40, 16))
     rows = []
-    for i in range(media.MEMBERS + 4):
+    for i in range(20):
         other = common.copy()
         other["x"], other["y"] = rng.integers(0, 60000, 40), rng.integers(0, 60000, 40)
         rows.append((i, bytes([i] * 8) + other.tobytes()))
@@ -451,7 +480,7 @@ def test_copies_whose_corners_stand_in_full_groups(spark):
     own["bits"][:4] = rng.integers(0, 256, (4, 16))
     rows += [(100, b"a" * 8 + own.tobytes()), (101, b"b" * 8 + own.tobytes())]
     got = {r.image_id: r.class_id for r in media._classes(spark.createDataFrame(rows, "doc_id long, text binary")).collect()}
-    assert got == {**{i: i for i in range(media.MEMBERS + 4)}, 100: 100, 101: 100}
+    assert got == {**{i: i for i in range(20)}, 100: 100, 101: 100}
 
 
 def test_media_odd(spark):
