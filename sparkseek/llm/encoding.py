@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20  # text encoded at once; one longer text is a slice of its own
 JOINED = 4000  # words of one string
+AT_ONCE = 100_000  # characters given to the library at once: what it returns takes many times their size
 WORD_END = "</w>"
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRE_TOKENIZER = [
@@ -46,7 +47,10 @@ def gather(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndar
     """pool[begins[0]:begins[0] + lengths[0]], then the next range, and so on."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64  # half the memory
+    at = np.repeat((begins - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 def splits_words(spec: dict) -> bool:
@@ -80,8 +84,14 @@ class ChunkEncoder:
 
     def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of the chunks end to end, and how many each has."""
-        coded = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        return np.concatenate([*coded, np.zeros(0, np.uint32)]), np.fromiter(map(len, coded), np.int64, len(coded))
+        coded, sizes = [np.zeros(0, np.uint32)], []
+        ends = np.cumsum([len(c) for c in chunks]) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(chunks)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for e in self.tokenizer.encode_batch_fast(chunks[a:b], add_special_tokens=False):
+                coded.append(np.array(e.ids, dtype=np.uint32))
+                sizes.append(len(coded[-1]))
+        return np.concatenate(coded), np.array(sizes, dtype=np.int64)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """The same for chunks of letters alone; None if one is more than a word to the tokenizer."""
@@ -129,9 +139,10 @@ class ChunkEncoder:
         words = parts.flatten().dictionary_encode()
         pool, lengths = self._distinct(words.dictionary)
         which = words.indices.to_numpy()
+        of_text = np.asarray(parts.offsets)[1:] - parts.offsets[0].as_py()
+        del parts, words  # the text once more
         each = lengths[which]
         ids = gather(pool, (np.cumsum(lengths) - lengths)[which], each)
-        of_text = np.asarray(parts.offsets)[1:] - parts.offsets[0].as_py()
         return self._closed(ids, np.concatenate([[0], np.cumsum(each)])[of_text], end_id)
 
     @staticmethod

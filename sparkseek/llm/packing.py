@@ -165,6 +165,7 @@ def pack_documents(
                     packer.add(doc_id, ids[a:b].copy())
                 if packer.out:
                     yield packer.rows()
+                common.release_memory()
         packer.finish()
         if packer.out:
             yield packer.rows()

@@ -134,3 +134,21 @@ def _next_whole(left):
         out.append(r)
         at += r.length
     return out
+
+
+def test_the_library_is_given_little_at_once():
+    """What the library returns takes many times the size of its input, so a slice of text goes to it in runs."""
+    encoder, seen = encoding.ChunkEncoder(WORDS), []
+    library = encoder.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, chunks, **options):
+            seen.append(sum(map(len, chunks)))
+            return library.encode_batch_fast(chunks, **options)
+
+    encoder.tokenizer = Watched()
+    text = " ".join(f"{k:x}{'-' * (k % 7)} w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}xyz" for k in range(40000))
+    ids, starts = encoder.encode(pa.array([text, None, "a b."]), 1)
+    expected = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in (text, "", "a b.")]
+    assert ids.tolist() == sum(expected, []) and starts.tolist() == [0, *np.cumsum([len(x) for x in expected]).tolist()]
+    assert len(seen) > 4 and max(seen) < 2 * encoding.AT_ONCE
