@@ -50,7 +50,7 @@ FEW = 3  # corners that must agree among those looked up
 MATCHES, SHARE = 6, 0.25  # corners that must agree: so many, and so large a part of those of the image with fewer
 BLOCK = 1 << 20
 PART = 8 << 20  # bytes of images that are held against as many others at once
-LOOKED, CELLS = 1 << 20, 1 << 22  # matches looked at, and pairs of images counted, at once
+LOOKED, CELLS = 1 << 19, 20  # matches looked at once, and bits of the cells that pairs of images are counted in
 USUAL, SAMPLE = 17, 64  # bits of keys that are counted, over so many blocks, to tell rare ones
 NULL_ID = -(1 << 63)
 CORNER = np.dtype([("x", "<u2"), ("y", "<u2"), ("level", "u1"), ("turn", "u1"), ("bits", "u1", (BITS // 8,))])
@@ -305,6 +305,7 @@ class Part:
         place = which.ravel() * max(len(held), 1) + np.repeat(self.image, TABLES)
         order = np.argsort(place, kind="stable")
         self.place, self.corner = place[order], order // TABLES
+        self.which = which.reshape(-1, TABLES)
 
     def of(self, i: int) -> np.ndarray:
         return self.corners[self.starts[i] : self.starts[i] + self.n[i]]
@@ -320,22 +321,31 @@ def candidates(q: Part, o: Part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return
     least = np.where(q.tied, MATCHES, _least_votes(q.n, q.n))
     used = np.flatnonzero(q.rank < (q.n - least + FEW)[q.image])
-    corner, table, key = np.repeat(used, TABLES), np.tile(np.arange(TABLES), len(used)), q.keys[used].ravel()
-    at = np.minimum(np.searchsorted(o.names, key), len(o.names) - 1)
-    known = o.names[at] == key
-    corner, table, at = corner[known], table[known], at[known]
+    corner, table, name = np.repeat(used, TABLES), np.tile(np.arange(TABLES), len(used)), q.which[used].ravel()
+    both = np.minimum(np.searchsorted(o.names, q.names), len(o.names) - 1)
+    known = np.flatnonzero(o.names[both[name]] == q.names[name])
+    order = known[np.argsort(name[known])]  # looked up in order, which is far quicker
+    begin, end = np.zeros((2, len(name)), dtype=np.int64)
+    first = np.where(q.tied, 0, np.searchsorted(o.n, q.n))
+    begin[order] = np.searchsorted(o.place, both[name[order]] * n_other + first[q.image[corner[order]]])
+    end[order] = np.searchsorted(o.place, (both[name[order]] + 1) * n_other)
+    some = np.flatnonzero(begin < end)
+    corner, table, at, begin, end = corner[some], table[some], both[name[some]], begin[some], end[some]
     image = q.image[corner]
-    first = np.where(q.tied, 0, np.searchsorted(o.n, q.n))[image]
-    step = max(1, CELLS // n_other)
-    todo = [(a, min(a + step, len(q.n)), 0, n_other) for a in range(0, len(q.n), step)]
+    looked = np.cumsum(end - begin)
+    cuts = np.unique(image[np.searchsorted(looked, np.arange(0, looked[-1], LOOKED // 2))]) if len(some) else image
+    todo = [(a, b, 0, n_other) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q.n)], strict=True)]
     while todo:
         a, b, c, d = todo.pop()
         own = slice(*np.searchsorted(image, (a, b)))
-        lo = np.searchsorted(o.place, at[own] * n_other + np.maximum(first[own], c))
-        count = np.maximum(np.searchsorted(o.place, at[own] * n_other + d) - lo, 0)
+        lo, hi = begin[own], end[own]
+        if (c, d) != (0, n_other):
+            lo = np.maximum(lo, np.searchsorted(o.place, at[own] * n_other + c))
+            hi = np.minimum(hi, np.searchsorted(o.place, at[own] * n_other + d))
+        count = np.maximum(hi - lo, 0)
         if count.sum() > LOOKED and (b - a > 1 or d - c > 1):
-            half, end = (a + b) // 2, (c + d) // 2
-            todo += [(a, half, c, d), (half, b, c, d)] if b - a > 1 else [(a, b, c, end), (a, b, end, d)]
+            half, middle = (a + b) // 2, (c + d) // 2
+            todo += [(a, half, c, d), (half, b, c, d)] if b - a > 1 else [(a, b, c, middle), (a, b, middle, d)]
             continue
         if count.sum() > LOOKED:  # many equal patches: held against each other whole
             if _from(q, o, np.array([a]), np.array([c]))[0]:
@@ -355,8 +365,8 @@ def candidates(q: Part, o: Part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 one, other = one[hit], other[hit]
                 hit = np.bitwise_count(q.words[one] ^ o.words[other]).sum(axis=1) <= DIFFER
                 one, other = one[hit], other[hit]
-            pair = (q.image[one] - a) * (d - c) + o.image[other] - c
-            hit = np.bincount(pair, minlength=1)[pair] >= FEW if len(pair) else np.zeros(0, dtype=bool)
+            pair = ((q.image[one] * n_other + o.image[other]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)).astype(np.int64)
+            hit = np.bincount(pair, minlength=1)[pair] >= FEW  # pairs that share a cell are sorted out below
             one, other = one[hit], other[hit]
         if len(one):
             i, j = q.image[one], o.image[other]
@@ -505,27 +515,31 @@ def _linked_files(held: blocks.Blocks, files: DataFrame) -> DataFrame:
                     yield from part_links(o, q)
 
     pairs = n * (n + 1) // 2
-    return common.stored(spark.range(0, pairs, 1, min(pairs, max(64, pairs // 16))).mapInArrow(common.trimmed(run), LINKS), "media-links")
+    return common.stored(spark.range(0, pairs, 1, min(pairs, max(24, pairs // 16))).mapInArrow(common.trimmed(run), LINKS), "media-links")
 
 
 def _link_counts(files: DataFrame, links: DataFrame) -> DataFrame:
     """id, links: how many other images each is linked to, by links between files.
 
-    Ids with one file are counted by file, the others by id, so copies are not paired."""
+    Links are counted by file.  Only those to files with copies are joined, to add the copies,
+    and those of files of ids with several files, which count by id: copies are not paired."""
     own = files.filter("file IS NOT NULL").select("id", "file").distinct()
-    several = own.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    own = own.join(several.withColumn("several", F.lit(True)), "id", "left").select("id", "file", F.coalesce("several", F.lit(False)).alias("several"))
-    own = common.stored(own, "media-own")
-    one, many = own.filter("NOT several"), own.filter("several")
-    next_to = links.select("file_a", "file_b").union(links.select("file_b", "file_a")).union(own.select("file", "file")).toDF("x", "file").distinct()
-    owner = F.struct("several", F.when(F.col("several"), F.col("id")).otherwise(F.col("file")).alias("name"))
-    owners = own.select(owner.alias("owner"), F.col("file").alias("x")).distinct()
-    reached = common.stored(owners.join(next_to, "x").select("owner", "file").distinct(), "media-reached")
-    by_file = one.groupBy("file").agg(F.count("*").alias("n"))
-    ones = reached.join(by_file, "file").groupBy("owner").agg(F.sum("n").alias("n"))
-    others = reached.join(many.select("file", "id"), "file").select("owner", "id").distinct().groupBy("owner").agg(F.count("*").alias("n"))
-    sums = ones.union(others).groupBy("owner").agg((F.sum("n") - 1).alias("links"))  # but for itself
-    return own.select("id", owner.alias("owner")).distinct().join(sums, "owner").select("id", "links")
+    several = own.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit(True).alias("several"))
+    own = common.stored(own.join(several, "id", "left").select("id", "file", F.coalesce("several", F.lit(False)).alias("several")), "media-own")
+    by_file = own.groupBy("file").agg(F.count_if(~F.col("several")).alias("n"))
+    next_to = links.select("file_a", "file_b").union(links.select("file_b", "file_a")).union(own.select("file", "file")).toDF("x", "file")
+    next_to = common.stored(next_to.distinct(), "media-next")
+    # of ids with one file: a neighbour each, and what files of more or fewer such ids add
+    more = by_file.filter("n <> 1").select("file", (F.col("n") - 1).alias("n"))
+    ones = next_to.groupBy("x").agg(F.count("*").alias("n")).union(next_to.join(more, "file").groupBy("x").agg(F.sum("n").alias("n")))
+    many = own.filter("several").select("file", "id")
+    others = next_to.join(many, "file").select("x", "id").distinct().groupBy("x").agg(F.count("*").alias("n"))
+    per_file = ones.union(others).groupBy("x").agg((F.sum("n") - 1).alias("links"))  # but for itself
+    single = own.filter("NOT several").join(per_file, F.col("file") == F.col("x")).select("id", "links")
+    reached = many.withColumnRenamed("file", "x").join(next_to, "x").select("id", "file").distinct()
+    one_of = reached.join(by_file, "file").groupBy("id").agg(F.sum("n").alias("n"))
+    met = reached.join(many.withColumnRenamed("id", "other"), "file").select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("n"))
+    return single.union(one_of.union(met).groupBy("id").agg((F.sum("n") - 1).alias("links")))
 
 
 def _classes(described: DataFrame) -> DataFrame:
