@@ -27,6 +27,7 @@ whatever their names.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -49,7 +50,8 @@ DIFFER = 40  # bits of 128 in which matching descriptors may differ; by chance 6
 FEW = 3  # corners that must agree among those looked up
 MATCHES, SHARE = 6, 0.25  # corners that must agree: so many, and so large a part of those of the image with fewer
 BLOCK = 1 << 20
-PART = 8 << 20  # bytes of images that are held against as many others at once
+PART = 16 << 20  # bytes of images that are held against as many others at once
+AT_ONCE = 1 << 16  # pixels that are described at once
 LOOKED, CELLS = 1 << 19, 20  # matches looked at once, and bits of the cells that pairs of images are counted in
 USUAL, SAMPLE = 17, 64  # bits of keys that are counted, over so many blocks, to tell rare ones
 NULL_ID = -(1 << 63)
@@ -72,26 +74,39 @@ def write_pgm(pixels: np.ndarray) -> bytes:
 
 
 def _box(x: np.ndarray) -> np.ndarray:
-    """Mean of 3 x 3 around each pixel; edges repeat."""
-    p = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="edge")
-    rows = p[:, :-2] + p[:, 1:-1] + p[:, 2:]
-    return (rows[:, :, :-2] + rows[:, :, 1:-1] + rows[:, :, 2:]) * np.float32(1 / 9)
+    """Mean of 3 x 3 around each pixel; edges repeat.
+
+    Sums run over the flat array, which is far quicker than by rows; what they take from other rows or images is put right."""
+    for axis in (1, 2):
+        step = x.shape[2] if axis == 1 else 1
+        out, flat = x.copy(), x.reshape(-1)
+        sums, at, ends = out.reshape(-1), np.moveaxis(x, axis, 0), np.moveaxis(out, axis, 0)
+        sums[step:] += flat[:-step]
+        sums[:-step] += flat[step:]
+        ends[0] = at[0] + at[0] + at[min(1, len(at) - 1)]
+        ends[-1] = at[max(-2, -len(at))] + at[-1] + at[-1]
+        x = out
+    x *= np.float32(1 / 9)
+    return x
 
 
 def _largest(x: np.ndarray, reach: int) -> np.ndarray:
-    for axis in (1, 2):
-        width = [(0, 0)] * 3
-        width[axis] = (reach, reach)
-        p = np.pad(x, width, constant_values=-np.inf)
-        n = x.shape[axis]
-        best, span = p, 1  # largest of `span` from each place on, doubled until the window is covered
-        take = (lambda a, i, m: a[:, i : i + m]) if axis == 1 else (lambda a, i, m: a[:, :, i : i + m])
+    """The largest value up to `reach` rows and columns around each pixel."""
+    n, height, width = x.shape
+    wide = width + 2 * reach
+    p = np.full((n, height + 2 * reach, wide), -np.inf, dtype=x.dtype)
+    p[:, reach : reach + height, reach : reach + width] = x
+    best = p.reshape(-1)
+    for step in (1, wide):
+        span = 1  # largest of `span` from each place on, doubled until the window is covered
         while 2 * span <= 2 * reach + 1:
-            m = best.shape[axis] - span
-            best = np.maximum(take(best, 0, m), take(best, span, m))
+            best = np.maximum(best[: len(best) - span * step], best[span * step :])
             span *= 2
-        x = np.maximum(take(best, 0, n), take(best, 2 * reach + 1 - span, n))
-    return x
+        rest = (2 * reach + 1 - span) * step
+        best = np.maximum(best[: len(best) - rest], best[rest:])
+    out = np.empty(p.size, dtype=x.dtype)
+    out[: len(best)] = best
+    return out.reshape(p.shape)[:, :height, :width]
 
 
 def _tests() -> np.ndarray:
@@ -110,25 +125,36 @@ _DISC = (_SIDE[:, None] ** 2 + _SIDE**2 <= RADIUS**2).astype(np.float32)
 _MOMENTS = np.stack([(_DISC * _SIDE).ravel(), (_DISC * _SIDE[:, None]).ravel()], axis=1)
 
 
-def corners(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (CORNER) of images of one shape, and the number of each one's image."""
+def corners(stack: np.ndarray, heights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Corners (CORNER) of images of one width, and the number of each one's image.
+
+    Rows of an image beyond its height are of 255, as all around it: they change nothing but what is cut here."""
     out, of = [], []
+    ends = (heights if heights is not None else np.full(len(stack), stack.shape[1])) + 2 * (RADIUS + 1)
     level_image = np.pad(stack.astype(np.float32), ((0, 0), (RADIUS + 1,) * 2, (RADIUS + 1,) * 2), constant_values=255)
     for level in range(LEVELS):
         _, height, width = level_image.shape
         if min(height, width) <= 2 * RADIUS + 2:
             break
         smooth = _box(level_image)
-        dy, dx = np.zeros_like(smooth), np.zeros_like(smooth)
+        dy, dx, flat = np.zeros_like(smooth), np.zeros_like(smooth), smooth.reshape(-1)
         dy[:, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
-        dx[:, :, 1:-1] = smooth[:, :, 2:] - smooth[:, :, :-2]
+        np.subtract(flat[2:], flat[:-2], out=dx.reshape(-1)[1:-1])
+        dx[:, :, 0] = dx[:, :, -1] = 0
         a, b, c = _box(dx * dx), _box(dy * dy), _box(dx * dy)
-        response = a * b - c * c - np.float32(0.05) * (a + b) ** 2
+        response = a * b
+        response -= c * c
+        a += b
+        a *= a
+        a *= np.float32(0.05)
+        response -= a
         top = response.max(axis=(1, 2), keepdims=True)
-        found = (response == _largest(response, NEAR)) & (response > LEAST * top) & (response > 1)
-        found[:, :RADIUS] = found[:, -RADIUS:] = False
+        found = response == _largest(response, NEAR)
+        found &= response > np.maximum(LEAST * top, np.float32(1))
+        found[:, :RADIUS] = False
+        found &= (np.arange(height) < np.where(ends > 2 * RADIUS + 2, ends - RADIUS, 0)[:, None])[:, :, None]
         found[:, :, :RADIUS] = found[:, :, -RADIUS:] = False
-        image, y, x = np.nonzero(found)
+        image, y, x = np.unravel_index(np.flatnonzero(found), found.shape)
         if len(image):
             rows = (y[:, None] + _SIDE)[:, :, None]
             columns = (x[:, None] + _SIDE)[:, None, :]
@@ -153,6 +179,7 @@ def corners(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h, w = height // 2 * 2, width // 2 * 2
         even = level_image[:, :h, :w]
         level_image = (even[:, ::2, ::2] + even[:, 1::2, ::2] + even[:, ::2, 1::2] + even[:, 1::2, 1::2]) / np.float32(4)
+        ends = ends // 2
     if not out:
         return np.zeros(0, CORNER), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(of)
@@ -161,20 +188,23 @@ def corners(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def describe(images: list[bytes | None]) -> list[bytes | None]:
     """For each file: its 64-bit hash and its corners, or None."""
     pixels = [read_pgm(d) for d in images]
-    shapes: dict[tuple[int, int], list[int]] = {}
-    for i, p in enumerate(pixels):
-        if p is not None:
-            shapes.setdefault(p.shape, []).append(i)
+    order = sorted((i for i, p in enumerate(pixels) if p is not None), key=lambda i: pixels[i].shape[::-1])
     out: list[bytes | None] = [None] * len(images)
-    for shape, own in shapes.items():
-        at_once = max(1, (1 << 19) // (shape[0] * shape[1]))
-        for a in range(0, len(own), at_once):
-            part = own[a : a + at_once]
-            found, of = corners(np.stack([pixels[i] for i in part]))
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(len(part) + 1))
-            for k, i in enumerate(part):
-                out[i] = xxhash.xxh3_64_digest(images[i]) + found[order[cuts[k] : cuts[k + 1]]].tobytes()
+    while order:
+        low, width = pixels[order[0]].shape
+        tall = low + max(4, low // 8)  # what is stacked is filled up to the height of the last
+        part = order[: max(1, AT_ONCE // (tall * width))]
+        part = [i for i in part if pixels[i].shape[1] == width and len(pixels[i]) <= tall]
+        order = order[len(part) :]
+        heights = np.array([len(pixels[i]) for i in part])
+        stack = np.full((len(part), heights[-1], width), 255, np.uint8)
+        for k, i in enumerate(part):
+            stack[k, : heights[k]] = pixels[i]
+        found, of = corners(stack, heights)
+        by_image = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[by_image], np.arange(len(part) + 1))
+        for k, i in enumerate(part):
+            out[i] = xxhash.xxh3_64_digest(images[i]) + found[by_image[cuts[k] : cuts[k + 1]]].tobytes()
     return out
 
 
@@ -219,7 +249,9 @@ def agreeing(image: np.ndarray, corner: np.ndarray, other: np.ndarray, here: np.
     for ox in (0, 0.5):  # bins overlap by half
         for oy in (0, 0.5):
             shift = (np.floor(dx / SHIFT + ox).astype(np.int64) << 32) + np.floor(dy / SHIFT + oy).astype(np.int64)
-            order = np.lexsort((corner, shift, kind))
+            bin_ = ((kind * 0x632BE5AB + shift).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)).astype(np.int64)
+            full = np.flatnonzero(np.bincount(bin_, minlength=1)[bin_] >= least)  # bins that share a number are sorted out below
+            order = full[np.lexsort((corner[full], shift[full], kind[full]))]
             k, s, c = kind[order], shift[order], corner[order]
             cell = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))[: len(k)]
             fresh = cell | np.append(True, c[1:] != c[:-1])[: len(k)]  # a corner counts once
@@ -260,17 +292,21 @@ def linked(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return good
 
 
-def _tied(corners: np.ndarray, image: np.ndarray, n_images: int) -> np.ndarray:
-    """Images in which two corners of one level and turn are so near that both may agree with one corner on one move."""
-    order = np.lexsort((corners["y"], corners["turn"], corners["level"], image))
+def _most(corners: np.ndarray, image: np.ndarray, n_images: int) -> np.ndarray:
+    """For each image, a bound of its corners (of one level and turn) that agree with one corner on one move."""
     kind = (image * LEVELS + corners["level"]) * TURNS + corners["turn"]
+    order = np.argsort(kind << 16 | corners["y"], kind="stable")
     kind, x, y = kind[order], corners["x"][order].astype(np.int64), corners["y"][order].astype(np.int64)
-    out, at, step = np.zeros(n_images, dtype=bool), np.arange(len(order)), 1
+    near, at, step = np.ones(len(order), dtype=np.int64), np.arange(len(order)), 1
     while len(at):
-        at = at[at + step < len(order)]
-        at = at[(kind[at] == kind[at + step]) & (y[at + step] - y[at] <= SHIFT) & ~out[image[order[at]]]]
-        out[image[order[at[np.abs(x[at] - x[at + step]) <= SHIFT]]]] = True
+        at = at[: np.searchsorted(at, len(order) - step)]
+        at = at[(kind[at] == kind[at + step]) & (y[at + step] - y[at] <= SHIFT)]
+        close = at[np.abs(x[at] - x[at + step]) <= SHIFT]
+        near[close] += 1
+        near[close + step] += 1
         step += 1
+    out = np.ones(n_images, dtype=np.int64)
+    np.maximum.at(out, image[order], near)
     return out
 
 
@@ -279,119 +315,239 @@ def _least_votes(n: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.maximum(MATCHES, np.ceil(SHARE * np.minimum(n, other)).astype(np.int64))
 
 
+def _in_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of 64-bit keys: by their first bits and their places as one number, unless that leaves some out of order."""
+    low = np.uint64(max(len(keys) - 1, 1).bit_length())
+    both = (keys >> low << low) + np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    held = keys[order]
+    return np.argsort(keys, kind="stable") if (held[1:] < held[:-1]).any() else order
+
+
 class Part:
-    """Images of MATCHES corners or more, those with fewer corners first, and their corners by key.
+    """Images of MATCHES corners or more and their corners by key.
 
+    Images are in runs by `most`, of 1, of 2 and above, those with fewer corners first in each.
     usual[i] is about how many corners have keys that begin with the bits of i; `rank` orders the
-    corners of an image by that, rare ones first.  It settles what is looked at, not what is found."""
+    corners of an image by that, rare ones first.  It settles what is looked at, not what is found.
+    Entries are a corner and a table each, by key and then by image."""
 
     def __init__(self, ids: np.ndarray, files: list[bytes], usual: np.ndarray):
-        held = sorted((k for k in range(len(files)) if len(files[k]) >= 8 + MATCHES * CORNER.itemsize), key=lambda k: len(files[k]))
+        held = [k for k in range(len(files)) if len(files[k]) >= 8 + MATCHES * CORNER.itemsize]
+        n = np.array([(len(files[k]) - 8) // CORNER.itemsize for k in held], dtype=np.int64)
+        corners = np.frombuffer(b"".join(files[k][8:] for k in held), CORNER)
+        most = _most(corners, np.repeat(np.arange(len(held)), n), len(held))
+        by = np.lexsort((n, np.minimum(most, 3)))
+        held, starts = [held[k] for k in by], (np.cumsum(n) - n)[by]
+        self.n, self.most = n[by], most[by]
+        self.starts = np.cumsum(self.n) - self.n
+        self.runs = [(int(x), int(y)) for x, y in itertools.pairwise(np.searchsorted(np.minimum(self.most, 3), [1, 2, 3, 4])) if x < y]
+        corners = corners[encoding.gather(np.arange(len(corners)), starts, self.n)]
+        self.corners = corners
         self.ids = np.asarray(ids, np.int64)[held]
         self.hashes = np.array([int.from_bytes(files[k][:8], "little", signed=True) for k in held], dtype=np.int64)
-        self.corners = np.concatenate([np.frombuffer(files[k], CORNER, offset=8) for k in held] + [np.zeros(0, CORNER)])
-        self.n = np.array([(len(files[k]) - 8) // CORNER.itemsize for k in held], dtype=np.int64)
-        self.starts = np.cumsum(self.n) - self.n
-        self.image = np.repeat(np.arange(len(held)), self.n)
-        self.keys = _group_keys(self.corners["bits"])
-        self.words = np.ascontiguousarray(self.corners["bits"]).view("<u8").reshape(-1, 2)
-        self.packed = _packed(self.corners)
-        self.tied = _tied(self.corners, self.image, len(held))
-        order = np.lexsort((usual[_bins(self.keys)].sum(axis=1), self.image))
-        self.rank = np.empty(len(order), dtype=np.int64)
-        self.rank[order] = np.arange(len(order)) - self.starts[self.image[order]]
-        # entries by key and image; `place` is both in one number
-        self.names, which = np.unique(self.keys.ravel(), return_inverse=True)
-        place = which.ravel() * max(len(held), 1) + np.repeat(self.image, TABLES)
-        order = np.argsort(place, kind="stable")
-        self.place, self.corner = place[order], order // TABLES
-        self.which = which.reshape(-1, TABLES)
+        self.image = np.repeat(np.arange(len(held), dtype=np.int32), self.n)
+        self.words = np.ascontiguousarray(corners["bits"]).view("<u8").reshape(-1, 2)
+        self.packed = _packed(corners)
+        keys = _group_keys(corners["bits"])
+        seen = usual[_bins(keys)].sum(axis=1)
+        self.by_rank = np.argsort(self.image * (seen.max(initial=0) + 1) + seen, kind="stable")
+        self.rank = np.empty(len(corners), dtype=np.int32)
+        self.rank[self.by_rank] = np.arange(len(corners)) - self.starts[self.image]
+        flat = keys.ravel()
+        order = _in_order(flat)
+        flat = flat[order]
+        fresh = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+        self.names = flat[fresh]
+        self.entry_name = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+        self.which = np.empty(len(order), dtype=np.int32)
+        self.which[order] = self.entry_name
+        self.which = self.which.reshape(-1, TABLES)
+        self.entry = (order // TABLES).astype(np.int32)
+        self.entry_table = (order % TABLES).astype(np.int8)
+        self.entry_image = self.image[self.entry]
+        self.entry_cell = self.entry_image.astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.entry_known = [np.ascontiguousarray(self.which[:, t])[self.entry] for t in range(TABLES - 1)]
+        self.place = self.entry_name * np.int64(max(len(held), 1)) + self.entry_image  # name and image in one number
+        self.ptr = np.append(np.flatnonzero(fresh), len(order))
+        self._rarest: dict[int, np.ndarray] = {}
+        self.ends = [np.searchsorted(self.place, np.arange(len(self.names)) * len(held) + end) for _, end in self.runs]
+
+    def rarest(self, most: int) -> np.ndarray:
+        """Entries of the corners that are looked up against images of which so many corners agree with one; kept for the next."""
+        if most not in self._rarest:
+            c = -(-_least_votes(self.n, self.n) // most)
+            self._rarest[most] = np.flatnonzero((self.rank < (self.n - c + np.minimum(FEW, c))[self.image])[self.entry])
+        return self._rarest[most]
 
     def of(self, i: int) -> np.ndarray:
         return self.corners[self.starts[i] : self.starts[i] + self.n[i]]
 
 
-def candidates(q: Part, o: Part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of images of q and o that may be linked: of those to be found from q's side, all that are.
-
-    A link needs `least` corners of the image of larger id, or as many of the other unless the former is tied.
-    If it has them in the n corners of one image, FEW of them at least are among any n - least + FEW of these."""
-    n_other = len(o.n)
-    if not n_other or not len(q.n):
-        return
-    least = np.where(q.tied, MATCHES, _least_votes(q.n, q.n))
-    used = np.flatnonzero(q.rank < (q.n - least + FEW)[q.image])
-    corner, table, name = np.repeat(used, TABLES), np.tile(np.arange(TABLES), len(used)), q.which[used].ravel()
-    both = np.minimum(np.searchsorted(o.names, q.names), len(o.names) - 1)
-    known = np.flatnonzero(o.names[both[name]] == q.names[name])
-    order = known[np.argsort(name[known])]  # looked up in order, which is far quicker
-    begin, end = np.zeros((2, len(name)), dtype=np.int64)
-    first = np.where(q.tied, 0, np.searchsorted(o.n, q.n))
-    begin[order] = np.searchsorted(o.place, both[name[order]] * n_other + first[q.image[corner[order]]])
-    end[order] = np.searchsorted(o.place, (both[name[order]] + 1) * n_other)
-    some = np.flatnonzero(begin < end)
-    corner, table, at, begin, end = corner[some], table[some], both[name[some]], begin[some], end[some]
-    image = q.image[corner]
-    looked = np.cumsum(end - begin)
-    cuts = np.unique(image[np.searchsorted(looked, np.arange(0, looked[-1], LOOKED // 2))]) if len(some) else image
-    todo = [(a, b, 0, n_other) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q.n)], strict=True)]
-    while todo:
-        a, b, c, d = todo.pop()
-        own = slice(*np.searchsorted(image, (a, b)))
-        lo, hi = begin[own], end[own]
-        if (c, d) != (0, n_other):
-            lo = np.maximum(lo, np.searchsorted(o.place, at[own] * n_other + c))
-            hi = np.minimum(hi, np.searchsorted(o.place, at[own] * n_other + d))
-        count = np.maximum(hi - lo, 0)
-        if count.sum() > LOOKED and (b - a > 1 or d - c > 1):
-            half, middle = (a + b) // 2, (c + d) // 2
-            todo += [(a, half, c, d), (half, b, c, d)] if b - a > 1 else [(a, b, c, middle), (a, b, middle, d)]
-            continue
-        if count.sum() > LOOKED:  # many equal patches: held against each other whole
-            if _from(q, o, np.array([a]), np.array([c]))[0]:
-                yield np.array([a]), np.array([c])
-            continue
-        one = np.repeat(corner[own], count)
-        other = o.corner[np.arange(len(one)) + np.repeat(lo - (np.cumsum(count) - count), count)]
-        again = np.zeros(len(one), dtype=bool)  # known by an earlier table
-        tables = np.repeat(table[own], count)
+def _same(q: Part, o: Part) -> np.ndarray:
+    """For each name of q, the place of the same among those of o, or -1."""
+    if len(q.names) > len(o.names):
+        return _turned(_same(o, q), len(q.names))
+    if not len(q.names):
+        return np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(o.names, q.names), len(o.names) - 1)
+    return np.where(o.names[at] == q.names, at, -1).astype(np.int32)
+
+
+def _turned(same: np.ndarray, n: int) -> np.ndarray:
+    """What _same() gives the other way round, for n names there."""
+    out = np.full(n, -1, dtype=np.int32)
+    known = np.flatnonzero(same >= 0)
+    out[same[known]] = known
+    return out
+
+
+def _expanded(lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each range and its places, for ranges of `count` from lo on."""
+    kind = np.int32 if max(int(count.sum()), int(lo.max(initial=0))) < 1 << 30 else np.int64
+    one = np.repeat(np.arange(len(count), dtype=kind), count)
+    return one, np.arange(len(one), dtype=kind) + (lo - (np.cumsum(count) - count)).astype(kind)[one]
+
+
+class _Pairs:
+    """Links of the images of q with those of o that have as many corners or more, or as many and a smaller id.
+
+    A link needs `least` agreeing corners of the image of larger id.  If that is the one of o, up to `most`
+    of them agree with one corner of q, so c = least / most corners of q agree on its move; else c = least do.
+    Of these, `few` at least are among any n - c + few of the n corners: the rarest are looked up, and
+    pairs of which few agree there are decided by the other corners as well."""
+
+    def __init__(self, q: Part, o: Part, same: np.ndarray):
+        self.q, self.o, self.known = q, o, same[q.which]
+        self.least = _least_votes(q.n, q.n)
+        self.entry_name = same[q.entry_name]
+
+    def needed(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs: whether q's image has the larger id, the few that must agree, and how many corners are looked up."""
+        later = self.q.ids[i] > self.o.ids[j]
+        c = np.where(later, self.least[i], -(-self.least[i] // self.o.most[j]))
+        few = np.minimum(FEW, c)
+        return later, few, self.q.n[i] - c + few
+
+    def looked(self, run: int) -> Iterator[tuple[np.ndarray, np.ndarray] | tuple[int, int]]:
+        """Matches (corners of q and o) of pairs that may be linked, pairs whole; or a pair with more than LOOKED of them."""
+        q, o, n_other = self.q, self.o, len(self.o.n)
+        start, stop = o.runs[run]
+        most = int(o.most[start:stop].max())
+        few, some = min(FEW, -(-MATCHES // most)), q.rarest(most)
+        name = self.entry_name[some]
+        known = np.flatnonzero(np.append(o.ends[run] > o.ends[run - 1] if run else o.ends[run] > o.ptr[:-1], False)[name])  # -1 is the last
+        some, name = some[known], name[known].astype(np.int64)
+        image, end = q.entry_image[some], o.ends[run][name]
+        first = start + np.searchsorted(o.n[start:stop], q.n)
+        begin = np.searchsorted(o.place, name * n_other + first[image])
+        full = np.flatnonzero(begin < end)
+        if not len(full):
+            return
+        full = np.sort(image[full].astype(np.int64) << 32 | full) & 0xFFFFFFFF  # by image
+        some, name, image, begin, end = some[full], name[full], image[full], begin[full], end[full]
+        corner, table = q.entry[some], q.entry_table[some]
+        rank = q.rank[corner]
+        before = [np.where(table > t, self.known[corner, t], np.int32(-2)) for t in range(TABLES - 1)]
+        cell = image.astype(np.uint32) * np.uint32(0x85EBCA77)
+        total = np.cumsum(end - begin)
+        cuts = np.unique(image[np.searchsorted(total, np.arange(0, total[-1], LOOKED // 2), "right")])
+        todo = [(a, b, start, stop) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q.n)], strict=True)]
+        while todo:
+            a, b, c, d = todo.pop()
+            own = slice(*np.searchsorted(image, (a, b)))
+            lo, hi = begin[own], end[own]
+            if (c, d) != (start, stop):
+                lo = np.maximum(lo, np.searchsorted(o.place, name[own] * n_other + c))
+                hi = np.minimum(hi, np.searchsorted(o.place, name[own] * n_other + d))
+            count = np.maximum(hi - lo, 0)
+            if count.sum() > LOOKED and (b - a > 1 or d - c > 1):
+                half, middle = (a + b) // 2, (c + d) // 2
+                todo += [(a, half, c, d), (half, b, c, d)] if b - a > 1 else [(a, b, c, middle), (a, b, middle, d)]
+                continue
+            if count.sum() > LOOKED:  # many equal patches: held against each other whole
+                yield a, c
+                continue
+            e, at = _expanded(lo, count)
+            again = np.zeros(len(e), dtype=bool)  # known by an earlier table
+            for there, here in zip(o.entry_known, before, strict=True):
+                again |= there[at] == here[own][e]
+            e, at = e[~again], at[~again]
+            for near in (False, True):
+                if near:
+                    i, j = image[own][e], o.entry_image[at]
+                    later, _, limit = self.needed(i, j)
+                    hit = ((q.n[i] < o.n[j]) | later) & (q.ids[i] != o.ids[j]) & (rank[own][e] < limit)
+                    e, at = e[hit], at[hit]
+                pair = (cell[own][e] + o.entry_cell[at] >> np.uint32(32 - CELLS)).astype(np.int64)
+                hit = np.bincount(pair, minlength=1)[pair] >= few  # pairs that share a cell are sorted out below
+                e, at = e[hit], at[hit]
+            one, other = corner[own][e], o.entry[at]
+            hit = np.bitwise_count(q.words[one] ^ o.words[other]).sum(axis=1) <= DIFFER
+            if hit.any():
+                yield one[hit], other[hit]
+
+    def agreed(self, corner: np.ndarray, one: np.ndarray, other: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """agreeing() for matches; moves are of the image of smaller id, as in linked()."""
+        q, o = self.q, self.o
+        i, j = q.image[one].astype(np.int64), o.image[other]
+        later = q.ids[i] > o.ids[j]
+        here, there = np.where(later, q.packed[one], o.packed[other]), np.where(later, o.packed[other], q.packed[one])
+        return agreeing(i, np.where(later, one, other) if corner is None else corner, j, here, there, least)
+
+    def rest(self, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matches of pairs by the corners of q that were not looked up."""
+        q, o, n_other = self.q, self.o, len(self.o.n)
+        pair, at = _expanded(q.starts[i] + limit, q.n[i] - limit)
+        one = q.by_rank[at]
+        which = self.known[one]
+        k, table = np.nonzero(which >= 0)
+        place = which[k, table] * np.int64(n_other) + j[pair[k]]
+        lo = np.searchsorted(o.place, place)
+        found = np.flatnonzero(o.place[np.minimum(lo, len(o.place) - 1)] == place)
+        k, table, lo, place = k[found], table[found], lo[found], place[found]
+        e, at = _expanded(lo, np.searchsorted(o.place, place, "right") - lo)
+        one, other, table, which = one[k][e], o.entry[at], table[e], which[k][e]
+        good = np.bitwise_count(q.words[one] ^ o.words[other]).sum(axis=1) <= DIFFER
         for t in range(TABLES - 1):
-            again |= (tables > t) & (q.keys[one, t] == o.keys[other, t])
-        one, other = one[~again], other[~again]
-        for near in (False, True):
-            if near:
-                i, j = q.image[one], o.image[other]
-                hit = _from(q, o, i, j) & (q.rank[one] < q.n[i] - _least_votes(q.n[i], o.n[j]) + FEW)
-                one, other = one[hit], other[hit]
-                hit = np.bitwise_count(q.words[one] ^ o.words[other]).sum(axis=1) <= DIFFER
-                one, other = one[hit], other[hit]
-            pair = ((q.image[one] * n_other + o.image[other]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)).astype(np.int64)
-            hit = np.bincount(pair, minlength=1)[pair] >= FEW  # pairs that share a cell are sorted out below
-            one, other = one[hit], other[hit]
-        if len(one):
-            i, j = q.image[one], o.image[other]
-            later = q.ids[i] > o.ids[j]  # moves are of the image of smaller id, as in linked()
-            i, j, _ = agreeing(i, one, j, np.where(later, q.packed[one], o.packed[other]), np.where(later, o.packed[other], q.packed[one]), FEW)
-            yield i, j
-
-
-def _from(q: Part, o: Part, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether a pair is to be found from the image of q: each is from one of the two."""
-    later = q.ids[i] > o.ids[j]
-    return np.where(later, (q.n[i] <= o.n[j]) | q.tied[i], (o.ids[j] > q.ids[i]) & (o.n[j] > q.n[i]) & ~o.tied[j])
-
-
-def part_links(q: Part, o: Part) -> Iterator[pa.RecordBatch]:
+            good &= (table <= t) | (which[:, t] != o.which[other, t])
+        return one[good], other[good]
+
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        q, o, n_other = self.q, self.o, len(self.o.n)
+        for run, (start, stop) in enumerate(o.runs):
+            few = min(FEW, -(-MATCHES // int(o.most[start:stop].max())))
+            for one, other in self.looked(run):
+                if isinstance(one, int):
+                    i, j = np.array([one]), np.array([other])
+                    if (q.ids[i] != o.ids[j]) & ((q.n[i] < o.n[j]) | (q.ids[i] > o.ids[j])):
+                        yield (i, j) if linked([(q.of(one), o.of(other)) if q.ids[one] > o.ids[other] else (o.of(other), q.of(one))])[0] else (i[:0], j[:0])
+                    continue
+                i, j, n = self.agreed(one, one, other, few)
+                later, enough, limit = self.needed(i, j)
+                sure = later & (n >= self.least[i])
+                yield i[sure], j[sure]
+                open_ = np.flatnonzero(~sure & (n >= enough))
+                if not len(open_):
+                    continue
+                i, j, limit = i[open_], j[open_], limit[open_]
+                name, of = i * n_other + j, q.image[one].astype(np.int64) * n_other + o.image[other]
+                size = np.cumsum(q.n[i] - limit)
+                cuts = np.unique(np.append(0, np.searchsorted(size, np.arange(LOOKED, size[-1], LOOKED)))).tolist()
+                for a, b in zip(cuts, [*cuts[1:], len(i)], strict=True):
+                    at = np.minimum(np.searchsorted(name[a:b], of), b - a - 1)
+                    mine = np.flatnonzero(name[a:b][at] == of)
+                    more, others = self.rest(i[a:b], j[a:b], limit[a:b])
+                    x, y, n = self.agreed(None, np.concatenate([one[mine], more]), np.concatenate([other[mine], others]), MATCHES)
+                    good = n >= self.least[x]
+                    yield x[good], y[good]
+
+
+def part_links(q: Part, o: Part, same: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Rows of LINKS: the linked images found from q's side."""
-    for first, second in candidates(q, o):
-        at = 0
-        sizes = np.cumsum(q.n[first] + o.n[second])
-        while at < len(first):
-            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 100_000)))
-            i, j = first[at:end], second[at:end]
-            pairs = [(q.of(x), o.of(y)) if q.ids[x] > o.ids[y] else (o.of(y), q.of(x)) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            good = linked(pairs)
-            i, j, at = i[good], j[good], end
+    if len(q.n) and len(o.n):
+        for i, j in _Pairs(q, o, _same(q, o) if same is None else same).links():
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q.ids[i], q.hashes[i], o.ids[j], o.hashes[j])], _NAMES)
 
@@ -408,16 +564,17 @@ def _usual(held: blocks.Blocks) -> np.ndarray:
     """How often keys that begin alike occur, by at most SAMPLE blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << USUAL, dtype=np.int64)
         for batch in batches:
             for uri in batch.column("uri").to_pylist():
-                files = [f for f in blocks.read(uri).column("text").to_pylist() if f]
-                corners = np.concatenate([np.frombuffer(f, CORNER, offset=8) for f in files] + [np.zeros(0, CORNER)])
-                counts = np.bincount(_bins(_group_keys(corners["bits"])).ravel(), minlength=1 << USUAL)
-                yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 0xFFFF).astype("<u2").tobytes()])], ["counts"])
+                corners = np.frombuffer(b"".join(f[8:] for f in blocks.read(uri).column("text").to_pylist() if f), CORNER)
+                total += np.bincount(_bins(_group_keys(corners["bits"])).ravel(), minlength=1 << USUAL)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 0xFFFF).astype("<u2").tobytes()])], ["counts"])
 
-    some = held.table.orderBy(F.xxhash64("block"), "block").limit(SAMPLE).repartition(min(SAMPLE, max(1, held.n)), "block")
+    some = held.table.orderBy(F.xxhash64("block"), "block").limit(SAMPLE).repartition(min(6, max(1, held.n)))
     total = np.zeros(1 << USUAL, dtype=np.int64)
-    for row in some.select("uri").mapInArrow(common.trimmed(run), "counts binary").toLocalIterator():
+    for row in some.select("uri").mapInArrow(common.trimmed(run), "counts binary").collect():  # in one job, of a few rows
         total += np.frombuffer(row["counts"], "<u2")
     return total
 
@@ -488,7 +645,7 @@ def _linked_files(held: blocks.Blocks, files: DataFrame) -> DataFrame:
     folder = common.work_dir(spark, "media-copies-of")
     copied, usual = _write_copies(files, folder), _usual(held)
     listed = held.table.select("block", "uri", "bytes").orderBy("block").collect()
-    limit = min(PART, max(PART // 32, sum(r["bytes"] for r in listed) // 8))
+    limit = min(PART, max(PART // 64, sum(r["bytes"] for r in listed) // 6))
     parts, size = [[]], 0
     for r in listed:
         if parts[-1] and size + r["bytes"] > limit:
@@ -510,9 +667,10 @@ def _linked_files(held: blocks.Blocks, files: DataFrame) -> DataFrame:
                     if x not in held_parts:
                         held_parts[x] = _read_part(parts[x], copied, folder, usual)
                 q, o = (held_parts[x] for x in both)
-                yield from part_links(q, o)
+                same = _same(q, o)
+                yield from part_links(q, o, same)
                 if q is not o:
-                    yield from part_links(o, q)
+                    yield from part_links(o, q, _turned(same, len(o.names)))
 
     pairs = n * (n + 1) // 2
     return common.stored(spark.range(0, pairs, 1, min(pairs, max(24, pairs // 16))).mapInArrow(common.trimmed(run), LINKS), "media-links")

@@ -453,6 +453,40 @@ def test_no_link_is_lost_in_large_groups(spark, monkeypatch):
     assert {r.image_id: r.n_links for r in got} == {i: both[i] for i, _ in rows}
 
 
+def test_parts_without_a_common_patch():
+    """Parts that share no key have no links, and some of their images may share one corner with many."""
+    rng, usual, parts = np.random.default_rng(5), np.zeros(1 << media.USUAL, np.int64), []
+    for k in range(2):
+        corners = np.zeros(20, media.CORNER)
+        corners["bits"] = rng.integers(0, 256, (20, 16))
+        parts.append(media.Part(np.array([2 * k, 2 * k + 1]), [bytes([k, i] * 4) + corners.tobytes() for i in range(2)], usual))
+    found = [len(b) for q in parts for o in parts for b in media.part_links(q, o)]
+    assert found == [1, 1]
+
+
+def test_sampled_keys_are_counted_in_one_job(spark):
+    """Not in one after the other for each block."""
+    rows = described(60, 30, np.random.default_rng(7))
+    held = blocks.write(spark.createDataFrame(rows, "doc_id long, text binary").repartition(12), "media-blocks")
+    assert held.n > 8
+    spark.sparkContext.setJobGroup("usual", "")
+    try:
+        usual = media._usual(held)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert usual.sum() == media.TABLES * sum((len(c) - 8) // media.CORNER.itemsize for _, c in rows)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("usual")) < held.n
+
+
+def test_pictures_described_together_are_described_as_alone():
+    """Pictures of one width are stacked, whatever their heights."""
+    rng = np.random.default_rng(3)
+    images = [media.write_pgm(rng.integers(0, 255, (h, w)).astype(np.uint8)) for h in (1, 2, 3, 15, 16, 17, 18, 30, 31, 33, 200, 201) for w in (80, 2, 80, 37)]
+    together = media.describe([*images, None, b"P5"])
+    assert together[:-2] == [media.describe([image])[0] for image in images] and together[-2:] == [None, None]
+    assert sum(len(c) > 8 for c in together[:-2]) > 20
+
+
 def test_links_of_many_copies(spark):
     """Copies of a file are counted, not paired; rows of one id are one image, with the links of all of them."""
     rng = np.random.default_rng(8)
