@@ -50,7 +50,7 @@ DIFFER = 40  # bits of 128 in which matching descriptors may differ; by chance 6
 FEW = 3  # corners that must agree among those looked up
 MATCHES, SHARE = 6, 0.25  # corners that must agree: so many, and so large a part of those of the image with fewer
 BLOCK = 1 << 20
-PART = 16 << 20  # bytes of images that are held against as many others at once
+PART = 12 << 20  # bytes of images that are held against as many others at once
 AT_ONCE = 1 << 16  # pixels that are described at once
 LOOKED, CELLS = 1 << 19, 20  # matches looked at once, and bits of the cells that pairs of images are counted in
 USUAL, SAMPLE = 17, 64  # bits of keys that are counted, over so many blocks, to tell rare ones
@@ -154,19 +154,14 @@ def corners(stack: np.ndarray, heights: np.ndarray | None = None) -> tuple[np.nd
         found[:, :RADIUS] = False
         found &= (np.arange(height) < np.where(ends > 2 * RADIUS + 2, ends - RADIUS, 0)[:, None])[:, :, None]
         found[:, :, :RADIUS] = found[:, :, -RADIUS:] = False
-        image, y, x = np.unravel_index(np.flatnonzero(found), found.shape)
+        spot = np.flatnonzero(found)
+        image, y, x = np.unravel_index(spot, found.shape)
         if len(image):
-            rows = (y[:, None] + _SIDE)[:, :, None]
-            columns = (x[:, None] + _SIDE)[:, None, :]
-            patches = smooth[image[:, None, None], rows, columns]
-            flat = patches.reshape(len(image), -1)
-            moments = flat @ _MOMENTS
+            patches = smooth.reshape(-1)[spot[:, None] + (_SIDE[:, None] * width + _SIDE).ravel()]
+            moments = patches @ _MOMENTS
             turn = np.rint(np.arctan2(moments[:, 1], moments[:, 0]) / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
-            bits = np.empty((len(image), BITS), dtype=bool)
-            for t in range(TURNS):
-                own = np.flatnonzero(turn == t)
-                turned = flat[own]
-                bits[own] = turned[:, _TESTS[t, :, 0]] < turned[:, _TESTS[t, :, 1]]
+            begin = (np.arange(len(image)) * patches.shape[1])[:, None]
+            bits = patches.reshape(-1)[_TESTS[turn, :, 0] + begin] < patches.reshape(-1)[_TESTS[turn, :, 1] + begin]
             found_here = np.zeros(len(image), dtype=CORNER)
             found_here["x"], found_here["y"] = (x - RADIUS - 1 if level == 0 else x) << level, (y - RADIUS - 1 if level == 0 else y) << level
             if level:
@@ -244,16 +239,16 @@ def agreeing(image: np.ndarray, corner: np.ndarray, other: np.ndarray, here: np.
     angle = 2 * np.pi * turned / TURNS
     dx = x - size * (np.cos(angle) * x2 - np.sin(angle) * y2)
     dy = y - size * (np.sin(angle) * x2 + np.cos(angle) * y2)
-    kind = ((pair * (2 * LEVELS - 1) + level - level2 + LEVELS - 1) * TURNS + turned).astype(np.int64)
+    kind = ((pair * (2 * LEVELS - 1) + level - level2 + LEVELS - 1) * TURNS + turned).astype(np.int64) << 34  # and 17 bits for a shift each way
     best = np.zeros(len(pairs), dtype=np.int64)
     for ox in (0, 0.5):  # bins overlap by half
         for oy in (0, 0.5):
-            shift = (np.floor(dx / SHIFT + ox).astype(np.int64) << 32) + np.floor(dy / SHIFT + oy).astype(np.int64)
-            bin_ = ((kind * 0x632BE5AB + shift).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)).astype(np.int64)
+            move = kind + (np.floor(dx / SHIFT + ox).astype(np.int64) + (1 << 16) << 17) + np.floor(dy / SHIFT + oy).astype(np.int64) + (1 << 16)
+            bin_ = (move.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)).astype(np.int64)
             full = np.flatnonzero(np.bincount(bin_, minlength=1)[bin_] >= least)  # bins that share a number are sorted out below
-            order = full[np.lexsort((corner[full], shift[full], kind[full]))]
-            k, s, c = kind[order], shift[order], corner[order]
-            cell = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))[: len(k)]
+            order = full[np.lexsort((corner[full], move[full]))]
+            k, c = move[order], corner[order]
+            cell = np.append(True, k[1:] != k[:-1])[: len(k)]
             fresh = cell | np.append(True, c[1:] != c[:-1])[: len(k)]  # a corner counts once
             votes = np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(cell)) if len(k) else np.zeros(0, np.int64)
             np.maximum.at(best, pair[order][cell], votes)
@@ -352,7 +347,7 @@ class Part:
         self.packed = _packed(corners)
         keys = _group_keys(corners["bits"])
         seen = usual[_bins(keys)].sum(axis=1)
-        self.by_rank = np.argsort(self.image * (seen.max(initial=0) + 1) + seen, kind="stable")
+        self.by_rank = np.argsort(self.image * (seen.max(initial=0) + 1) + seen, kind="stable").astype(np.int32)
         self.rank = np.empty(len(corners), dtype=np.int32)
         self.rank[self.by_rank] = np.arange(len(corners)) - self.starts[self.image]
         flat = keys.ravel()
@@ -370,15 +365,15 @@ class Part:
         self.entry_cell = self.entry_image.astype(np.uint32) * np.uint32(0x9E3779B1)
         self.entry_known = [np.ascontiguousarray(self.which[:, t])[self.entry] for t in range(TABLES - 1)]
         self.place = self.entry_name * np.int64(max(len(held), 1)) + self.entry_image  # name and image in one number
-        self.ptr = np.append(np.flatnonzero(fresh), len(order))
+        self.ptr = np.append(np.flatnonzero(fresh), len(order)).astype(np.int32)
         self._rarest: dict[int, np.ndarray] = {}
-        self.ends = [np.searchsorted(self.place, np.arange(len(self.names)) * len(held) + end) for _, end in self.runs]
+        self.ends = [np.searchsorted(self.place, np.arange(len(self.names)) * len(held) + end).astype(np.int32) for _, end in self.runs]
 
     def rarest(self, most: int) -> np.ndarray:
         """Entries of the corners that are looked up against images of which so many corners agree with one; kept for the next."""
         if most not in self._rarest:
             c = -(-_least_votes(self.n, self.n) // most)
-            self._rarest[most] = np.flatnonzero((self.rank < (self.n - c + np.minimum(FEW, c))[self.image])[self.entry])
+            self._rarest[most] = np.flatnonzero((self.rank < (self.n - c + np.minimum(FEW, c))[self.image])[self.entry]).astype(np.int32)
         return self._rarest[most]
 
     def of(self, i: int) -> np.ndarray:
@@ -603,7 +598,7 @@ def _files(held: blocks.Blocks) -> DataFrame:
                 columns = [pa.array([block] * len(file), pa.int64()), rows.column("doc_id").fill_null(NULL_ID).combine_chunks(), pa.array(file, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "id", "file"])
 
-    spread = held.table.select("block", "uri").repartition(max(1, held.n), "block")
+    spread = held.table.select("block", "uri").repartition(max(1, min(held.n, max(24, held.n // 8))))
     return common.stored(spread.mapInArrow(common.trimmed(run), "block long, id long, file long"), "media-files")
 
 
@@ -645,7 +640,7 @@ def _linked_files(held: blocks.Blocks, files: DataFrame) -> DataFrame:
     folder = common.work_dir(spark, "media-copies-of")
     copied, usual = _write_copies(files, folder), _usual(held)
     listed = held.table.select("block", "uri", "bytes").orderBy("block").collect()
-    limit = min(PART, max(PART // 64, sum(r["bytes"] for r in listed) // 6))
+    limit = min(PART, max(PART // 48, sum(r["bytes"] for r in listed) // 6))
     parts, size = [[]], 0
     for r in listed:
         if parts[-1] and size + r["bytes"] > limit:
