@@ -14,8 +14,8 @@ Images are 8-bit gray PGM files (P5) in a binary column.
 
 All linked pairs are found, each file taken once: parts of the images are held against
 all parts.  In the image of a pair with fewer corners, enough of these must agree, so some
-of any that leave out fewer than enough do: the rarest are looked up, and only pairs of
-which FEW agree on a move are verified by all corners.  What this looks at grows with the
+of any that leave out fewer than enough do: the rarest are looked up, and only for pairs of
+which FEW agree on a move the others are, too.  What this looks at grows with the
 square of the images; the README has figures.  n_links counts the other images, copies
 among them, that an image is linked to.
 
@@ -50,7 +50,7 @@ DIFFER = 40  # bits of 128 in which matching descriptors may differ; by chance 6
 FEW = 3  # corners that must agree among those looked up
 MATCHES, SHARE = 6, 0.25  # corners that must agree: so many, and so large a part of those of the image with fewer
 BLOCK = 1 << 20
-PART = 12 << 20  # bytes of images that are held against as many others at once
+PART = 8 << 20  # bytes of images that are held against as many others at once
 AT_ONCE = 1 << 16  # pixels that are described at once
 LOOKED, CELLS = 1 << 19, 20  # matches looked at once, and bits of the cells that pairs of images are counted in
 USUAL, SAMPLE = 17, 64  # bits of keys that are counted, over so many blocks, to tell rare ones
@@ -640,7 +640,7 @@ def _linked_files(held: blocks.Blocks, files: DataFrame) -> DataFrame:
     folder = common.work_dir(spark, "media-copies-of")
     copied, usual = _write_copies(files, folder), _usual(held)
     listed = held.table.select("block", "uri", "bytes").orderBy("block").collect()
-    limit = min(PART, max(PART // 48, sum(r["bytes"] for r in listed) // 6))
+    limit = min(PART, max(PART // 32, sum(r["bytes"] for r in listed) // 6))
     parts, size = [[]], 0
     for r in listed:
         if parts[-1] and size + r["bytes"] > limit:
@@ -666,6 +666,7 @@ def _linked_files(held: blocks.Blocks, files: DataFrame) -> DataFrame:
                 yield from part_links(q, o, same)
                 if q is not o:
                     yield from part_links(o, q, _turned(same, len(o.names)))
+                del q, o, same  # else held while the next are read
 
     pairs = n * (n + 1) // 2
     return common.stored(spark.range(0, pairs, 1, min(pairs, max(24, pairs // 16))).mapInArrow(common.trimmed(run), LINKS), "media-links")
