@@ -61,3 +61,33 @@ def test_payload(spark):
     for r in codecs.payload_bytes(index).collect():
         size = sum(len(codecs.encode_postings(*own, r.version)) for own in lists.values())
         assert (r.bytes, r.kb, r.ratio) == (size, size / 1024, size / plain)
+
+
+@pytest.mark.parametrize("version", [1, 2, 3, 4])
+def test_many_lists_cost_no_more_calls(version, monkeypatch):
+    rng = np.random.default_rng(version)
+    sizes = rng.choice([1, 1, 1, 2, 127, 128, 129, 300], 500)
+    docs = np.concatenate([np.sort(rng.choice(100_000, n, replace=False)) for n in sizes])
+    counts = rng.choice([1, 2, 9], len(docs))
+    flat = np.concatenate([np.sort(rng.choice(20_000, n, replace=False)) for n in counts])
+    calls, own = [], codecs._bit_lengths
+    monkeypatch.setattr(codecs, "_bit_lengths", lambda v: calls.append(1) or own(v))
+    code, whole = codecs.encode_lists(docs, sizes, counts, flat, version)
+    assert len(calls) <= 5  # not one for each list
+    for found, expected in zip(codecs.decode_lists(code, whole), (docs, sizes, counts, flat), strict=True):
+        assert found.tolist() == expected.tolist()
+    poss, at = np.split(flat, np.cumsum(counts)[:-1]), np.cumsum(sizes) - sizes
+    alone = [codecs.encode_postings(docs[a : a + n].tolist(), [p.tolist() for p in poss[a : a + n]], version) for a, n in zip(at, sizes, strict=True)]
+    assert code.tobytes() == b"".join(alone)
+    with pytest.raises(ValueError):
+        codecs.decode_lists(code[:-1], np.append(whole[:-1], whole[-1] - 1))
+
+
+def test_a_frequent_term_is_many_containers(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('a w', id) AS text")
+    index = t.postings(t.tokenized(docs))
+    coded = codecs.encode_index(index).cache()
+    assert max(r.docs for r in coded.select("docs").collect()) <= 1 << 14
+    assert coded.filter("term = 'a'").groupBy().sum("docs").first()[0] == 40_000
+    assert codecs.decode_index(coded).exceptAll(index).count() == 0 == index.exceptAll(codecs.decode_index(coded)).count()
+    coded.unpersist()
