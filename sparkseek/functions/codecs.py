@@ -58,11 +58,12 @@ def with_gaps(postings: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     ).drop("_part", "_prev", "_before", "_start", "_rank")
 
 
-def block_sizes(gaps: DataFrame, by: str = "term") -> DataFrame:
-    """COD-2: a row per block of a list: values, varint bytes, widest value, PForDelta bytes.
+def block_sizes(gaps: DataFrame, by: str = "term", more: dict[str, Column] | None = None) -> DataFrame:
+    """COD-2: a row per block of a list: values, varint bytes, widest value, PForDelta bytes; more sums if asked.
 
     PForDelta's need only how many values are longer than each width."""
-    sized = gaps.select(by, F.floor(F.col("rank") / BLOCK).alias("block"), bits(F.col("gap")).alias("bits"))
+    more = more or {}
+    sized = gaps.select("*", F.floor(F.col("rank") / BLOCK).alias("block"), bits(F.col("gap")).alias("bits"))
     # a histogram of widths 0..32 in five sums: seven counts of up to BLOCK, eight bits each, in a long
     part = [F.when(F.floor(F.col("bits") / 7) == g, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bits") % 7 * 8).cast("int"))).otherwise(0) for g in range(5)]
     counted = sized.groupBy(by, "block").agg(
@@ -70,15 +71,18 @@ def block_sizes(gaps: DataFrame, by: str = "term") -> DataFrame:
         F.sum(F.greatest(F.lit(1), F.ceil(F.col("bits") / 7))).cast("long").alias("varint"),
         F.max("bits").alias("widest"),
         *[F.sum(x).alias(f"h{g}") for g, x in enumerate(part)],
+        *[x.alias(name) for name, x in more.items()],
     )
-    of_width = F.array(*[F.shiftright(f"h{w // 7}", w % 7 * 8).bitwiseAND(F.lit(255)) for w in range(33)])
+    # one walk over the widths from 32 down; at each, the values that are longer are known
+    of_width = F.array(*[F.struct(F.lit(w).alias("width"), F.shiftright(f"h{w // 7}", w % 7 * 8).bitwiseAND(F.lit(255)).alias("n")) for w in range(32, -1, -1)])
+    none = F.struct(F.lit(0).cast("long").alias("over"), F.lit(None).cast("long").alias("least"))
 
-    def cost(width: Column) -> Column:
-        over = F.aggregate(F.slice("of_width", width + 2, F.lit(33)), F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.transform(F.array(over), lambda n: F.when(n <= EXCEPTIONS, 3 + F.ceil(F.col("values") * width / 8) + 5 * n))[0]
+    def step(held: Column, of: Column) -> Column:
+        cost = F.when(held["over"] <= EXCEPTIONS, 3 + F.ceil(F.col("values") * of["width"] / 8) + 5 * held["over"])
+        return F.struct((held["over"] + of["n"]).alias("over"), F.least(held["least"], cost).alias("least"))  # skips nulls
 
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(32)), cost))
-    return counted.withColumn("of_width", of_width).select(by, "block", "values", "varint", "widest", best.cast("long").alias("pfordelta"))
+    best = F.aggregate(of_width, none, step)["least"]
+    return counted.select(by, "block", "values", "varint", "widest", best.alias("pfordelta"), *more)
 
 
 def list_sizes(gaps: DataFrame) -> DataFrame:
@@ -487,20 +491,31 @@ def decode_index(coded: DataFrame) -> DataFrame:
 def payload_bytes(postings: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """COD-8, SRC-11: a row per container version: its bytes for all postings, in KB too, and their share of plain ones.
 
-    All versions are encoded in one pass over the lists; files.write_tsv writes the table."""
-    lists = postings.groupBy("term", F.floor(F.col("doc_id") / chunk).alias("part")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "poss"))).alias("list"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, plain = dict.fromkeys(VERSIONS, 0), 0
-        for batch in batches:
-            for r in batch.column("list").to_pylist():
-                docs, poss = [x["doc_id"] for x in r], [x["poss"] for x in r]
-                plain += 4 * sum(2 + len(p) for p in poss)  # four bytes for each document, count and position
-                for version in VERSIONS:
-                    sums[version] += len(encode_postings(docs, poss, version))
-        rows = [pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64()), pa.array([plain] * len(sums), pa.int64())]
-        yield pa.RecordBatch.from_arrays(rows, ["version", "bytes", "plain"])
-
-    each = lists.select("list").mapInArrow(run, "version int, bytes long, plain long").groupBy("version")
-    total = each.agg(F.sum("bytes").alias("bytes"), F.sum("plain").alias("plain"))
-    return total.select("version", "bytes", (F.col("bytes") / 1024).alias("kb"), F.expr("try_divide(bytes, plain)").alias("ratio"))
+    Lengths are formulas, so no list is held: a window gives the gaps of a container, and
+    all versions are summed up in one pass over the postings; files.write_tsv writes the table."""
+    order = Window.partitionBy("list").orderBy("doc_id")
+    placed = postings.select(F.struct("term", F.floor(F.col("doc_id") / chunk).alias("part")).alias("list"), "doc_id", "poss")
+    apart = F.transform("poss", lambda x, i: bits(x - F.when(i > 0, F.get("poss", i - 1)).otherwise(0)))
+    rows = placed.select(
+        "list",
+        (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("gap"),
+        (F.row_number().over(order) - 1).alias("rank"),
+        F.size("poss").cast("long").alias("tf"),
+        apart.alias("wide"),
+    )
+    varint_of = F.aggregate("wide", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(1), F.ceil(w / 7)))
+    sums = {"positions": F.sum("tf"), "tf_varint": F.sum(varint_bytes(F.col("tf"))), "tf_widest": F.max(bits(F.col("tf"))), "pos_varint": F.sum(varint_of), "pos_widest": F.max(F.array_max("wide"))}
+    blocks = block_sizes(rows, "list", sums)
+    lists = blocks.groupBy("list").agg(*[(F.max if c.endswith("widest") else F.sum)(c).alias(c) for c in ("values", "varint", "widest", "pfordelta", *sums)])
+
+    def packed(n: str, widest: str) -> Column:
+        return 1 + F.ceil(F.col(n) * F.coalesce(widest, F.lit(0)) / 8)
+
+    tf, pos = packed("values", "tf_widest"), packed("positions", "pos_widest")
+    docs = 4 + F.when(F.col("widest") > 32, F.raise_error(F.lit("PForDelta takes numbers below 2 ** 32"))).otherwise(F.col("pfordelta"))
+    best = 2 + F.least("tf_varint", tf) + F.least("pos_varint", pos)
+    streams = {1: F.col("varint") + F.col("tf_varint") + F.col("pos_varint"), 2: packed("values", "widest") + tf + pos, 3: docs + tf + pos, 4: docs + best}
+    plain = 4 * (2 * F.col("values") + F.col("positions"))  # four bytes for each document, count and position
+    total = lists.agg(F.sum(plain).alias("plain"), *[F.sum((_HEAD + 3 * 8 + x).cast("long")).alias(f"v{n}") for n, x in streams.items()])
+    each = total.select("plain", F.inline(F.array(*[F.struct(F.lit(n).alias("version"), F.coalesce(f"v{n}", F.lit(0)).alias("bytes")) for n in streams])))
+    return each.select("version", "bytes", (F.col("bytes") / 1024).alias("kb"), F.expr("try_divide(bytes, plain)").alias("ratio"))

@@ -91,3 +91,8 @@ def test_a_frequent_term_is_many_containers(spark):
     assert coded.filter("term = 'a'").groupBy().sum("docs").first()[0] == 40_000
     assert codecs.decode_index(coded).exceptAll(index).count() == 0 == index.exceptAll(codecs.decode_index(coded)).count()
     coded.unpersist()
+
+
+def test_payload_holds_no_list(spark):
+    plan = codecs.payload_bytes(t.postings(t.tokenized(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
