@@ -22,11 +22,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkseek.functions.batches import runs
 from sparkseek.plans import compile as c
 from sparkseek.plans import query as q
 from sparkseek.sources import shared
 
 TOKEN = r"[\p{L}\p{Nd}]+"
+TOKENS_AT_ONCE = 1 << 17  # of documents whose postings are made together
 K1, B = 1.2, 0.75
 
 
@@ -42,6 +44,34 @@ def tokenized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("n_tok", F.size("tokens"))
 
 
+def postings_of(batch: pa.RecordBatch, lengths: bool = False) -> Iterator[pa.RecordBatch]:
+    """postings() of the documents of a batch, in runs of about TOKENS_AT_ONCE tokens."""
+    for a, b in runs(np.diff(np.asarray(batch.column("tokens").offsets)), TOKENS_AT_ONCE):
+        docs = batch.slice(a, b - a)
+        lists = docs.column("tokens")
+        words = lists.flatten().dictionary_encode()
+        sizes = np.diff(np.asarray(lists.offsets))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = row * max(len(words.dictionary), 1) + words.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), dtype=bool), key[1:] != key[:-1]]))
+        offsets = np.append(begins, len(key)).astype(np.int32)
+        first = pa.array(order[begins])
+        more = [pa.array(sizes[row[order[begins]]].astype(np.int32))] if lengths else []
+        yield pa.RecordBatch.from_arrays(
+            [
+                words.dictionary.take(words.indices.take(first)),
+                docs.column("doc_id").take(pa.array(row[order[begins]])),
+                pa.array(np.diff(offsets).astype(np.int64)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[order].astype(np.int32))),
+                *more,
+            ],
+            ["term", "doc_id", "tf", "poss", *["n_tok"][: len(more)]],
+        )
+
+
 def postings(tokenized_docs: DataFrame, lengths: bool = False) -> DataFrame:
     """IR-2: a row per term and document: tf and ascending positions; with n_tok of the document if asked.
 
@@ -50,28 +80,7 @@ def postings(tokenized_docs: DataFrame, lengths: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("tokens")
-            words = lists.flatten().dictionary_encode()
-            sizes = np.diff(np.asarray(lists.offsets))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            key = row * max(len(words.dictionary), 1) + words.indices.to_numpy()
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            begins = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), dtype=bool), key[1:] != key[:-1]]))
-            offsets = np.append(begins, len(key)).astype(np.int32)
-            first = pa.array(order[begins])
-            more = [pa.array(sizes[row[order[begins]]].astype(np.int32))] if lengths else []
-            yield pa.RecordBatch.from_arrays(
-                [
-                    words.dictionary.take(words.indices.take(first)),
-                    batch.column("doc_id").take(pa.array(row[order[begins]])),
-                    pa.array(np.diff(offsets).astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos[order].astype(np.int32))),
-                    *more,
-                ],
-                ["term", "doc_id", "tf", "poss", *["n_tok"][: len(more)]],
-            )
+            yield from postings_of(batch, lengths)
 
     kind = tokenized_docs.schema["doc_id"].dataType.simpleString()
     schema = f"term string, doc_id {kind}, tf long, poss array<int>" + (", n_tok int" if lengths else "")

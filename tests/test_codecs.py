@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +97,12 @@ def test_a_frequent_term_is_many_containers(spark):
 def test_payload_holds_no_list(spark):
     plan = codecs.payload_bytes(t.postings(t.tokenized(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))))._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_postings_are_made_of_few_tokens_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([[f"w{i % 900}" for i in range(2000)]] * 300)], ["doc_id", "tokens"])
+    out = list(t.postings_of(batch))
+    assert max(sum(b.column("tf").to_pylist()) for b in out) <= t.TOKENS_AT_ONCE < 600_000
+    assert sum(sum(b.column("tf").to_pylist()) for b in out) == 600_000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [i for i in range(300) for _ in range(900)]
