@@ -296,9 +296,7 @@ class IvfPq:
                         if not len(who):
                             continue
                         rows = np.flatnonzero(own == i)
-                        d = np.full((len(q_ids), len(rows)), np.inf)
-                        d[who] = self._distances(q[who], int(i), codes[rows])
-                        best.add(d, ids[rows])
+                        best.add(*self._nearest(q, who, int(i), codes[rows], ids[rows], k))
                 yield best.rows(q_ids)
 
             return coded.filter(F.col("list").isin(lists)).mapInArrow(run, PAIRS)
@@ -313,6 +311,19 @@ class IvfPq:
         apart = F.zip_with("q", "embedding", lambda x, y: x.cast("double") - y)
         return merged(pairs.select("q_id", "vec_id", F.aggregate(apart, F.lit(0.0), lambda a, x: a + x * x).alias("distance")), k)
 
+    def _nearest(self, q: np.ndarray, who: np.ndarray, i: int, codes: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids of the k nearest rows of list i for the queries that ask it, infinite for the others;
+        so many queries at once that their pairs with the rows are PAIRS_AT_ONCE."""
+        m = min(k, len(ids))
+        near, names = np.full((len(q), m), np.inf), np.zeros((len(q), m), dtype=np.int64)
+        step = max(1, PAIRS_AT_ONCE // len(ids))
+        for a in range(0, len(who), step):
+            some = who[a : a + step]
+            best = Best(len(some), k)
+            best.add(self._distances(q[some], i, codes), ids)
+            near[some], names[some] = best.d, best.i
+        return near, names
+
     def _distances(self, q: np.ndarray, i: int, codes: np.ndarray) -> np.ndarray:
         if self.books is None:
             return squared_distances(q, codes.astype(np.float64))

@@ -137,3 +137,17 @@ def test_benchmark(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert all(family in out for family in ("IVF ", "IVF_PQ", "LSH", "HNSW"))
     assert spark.read.json(str(tmp_path / "summary")).filter("global_best").count() == 1
+
+
+def test_lists_are_held_against_few_queries_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(700, 8)), rng.normal(size=(5000, 8)).astype(np.float32)
+    index = v.IvfPq(np.zeros((1, 8)), None)
+    pairs, own = [], v.IvfPq._distances
+    monkeypatch.setattr(v.IvfPq, "_distances", lambda self, q, i, codes: pairs.append(len(q) * len(codes)) or own(self, q, i, codes))
+    who = np.arange(0, 700, 2)
+    near, names = index._nearest(q, who, 0, x, np.arange(5000), 10)
+    assert max(pairs) <= v.PAIRS_AT_ONCE < len(who) * len(x) == sum(pairs)
+    d = ((q[who, None] - x[None, :].astype(np.float64)) ** 2).sum(axis=2)
+    assert np.sort(names[who]).tolist() == np.sort(np.argsort(d, axis=1)[:, :10]).tolist()
+    assert np.isinf(near[1::2]).all()
